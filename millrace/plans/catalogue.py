@@ -1,0 +1,18 @@
+"""All queries of the core, by name."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.session import table
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {"exact_dedup_keep_first": lambda spark, d: table(spark, d, "documents").groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("doc_id"))}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
