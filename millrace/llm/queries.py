@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.llm.leaks import leaked_pairs, leaks, scrub
+from millrace.llm.mixing import Mixture, mix
 from millrace.llm.neardup import similar_conversations
 from millrace.llm.packing import fill_report, pack_conversations
+from millrace.llm.pairs import broken_pairs
+from millrace.llm.spam import line_kinds, spam_pages
 from millrace.llm.splits import grouped_split, split_report, tied_values
 from millrace.llm.tokens import token_budget
-from millrace.session import table
+from millrace.session import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,8 +62,46 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_conversations(table(spark, sf_dir, "raw_seed_records")).groups().withColumnRenamed("id", "row_id")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return broken_pairs(table(spark, sf_dir, "raw_seed_records"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_pairs(leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def p6_scrubbed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return scrub(docs, materialize(leaks(docs, table(spark, sf_dir, "benchmark")), "leaks"))
+
+
+def _mixture(spark: SparkSession, sf_dir: str) -> Mixture:
+    """The target table has a row per source."""
+    targets = table(spark, sf_dir, "mix_targets").where("source is not null").orderBy("source").select("source", "target_share", "max_repeats").collect()
+    return mix(table(spark, sf_dir, "documents"), [tuple(r) for r in targets])
+
+
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir).rows
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir).report()
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam_pages(table(spark, sf_dir, "documents"))
+
+
+def p8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_kinds(table(spark, sf_dir, "documents"))
+
+
+_ALL = (p1_token_budget, p2_packed, p2_fill, p3_found, p3_split, p3_shares, p4_found, p4_groups, p5_found, p6_found, p6_scrubbed, p7_mixture, p7_shares, p8_found, p8_lines)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_token_budget, p2_packed, p2_fill, p3_found, p3_split, p3_shares, p4_found, p4_groups)}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -92,4 +134,10 @@ ORACLE = {
         n AS (SELECT row_id, count(*) AS n FROM s GROUP BY 1),
         p AS (SELECT a.row_id AS row_id_a, b.row_id AS row_id_b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.row_id < b.row_id GROUP BY 1, 2)
         SELECT row_id_a, row_id_b FROM p JOIN n x ON x.row_id = row_id_a JOIN n y ON y.row_id = row_id_b WHERE k >= 0.6 * (x.n + y.n - k)""",
+    "p6_found": """
+        WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+        b AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark WHERE text IS NOT NULL),
+        dg AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' '))) AS g FROM w),
+        bg AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' '))) AS g FROM b)
+        SELECT DISTINCT doc_id, item_id FROM dg JOIN bg USING (g)""",
 }
