@@ -12,13 +12,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import has_keyword, strip, text_of
+from millrace.functions.text import has_keyword, let, strip, text_of
 
 
 def matched(response: Column | str, concepts: Column) -> Column:
     """The concepts that the response holds as plain substrings, without case."""
-    t = F.lower(text_of(response))
-    return F.filter(F.coalesce(concepts, F.array().cast("array<string>")), lambda c: F.contains(t, F.lower(c)))
+    asked = F.coalesce(concepts, F.array().cast("array<string>"))
+    return let(F.lower(text_of(response)), lambda t: F.filter(asked, lambda c: F.contains(t, F.lower(c))))
 
 
 def concept_score(response: Column | str, required: Column, forbidden: Column) -> Column:

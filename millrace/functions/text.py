@@ -5,7 +5,7 @@ Nulls are read as empty texts. White space is Unicode's, letters and digits are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -19,6 +19,11 @@ NO_WORD = r"[^\p{L}\p{N}_]"
 FENCE = r"(?m)^```"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once; an expression used within a lambda is computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def text_of(col: Column | str) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
@@ -71,16 +76,20 @@ def normalize_text(col: Column | str) -> Column:
     return strip(t)
 
 
-def ngrams(items: Column, n: int) -> Column:
-    """All runs of ``n`` items as strings; none if there are fewer."""
+def _runs(items: Column, n: int) -> Column:
     last = F.size(items) - n + 1
     return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(items, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
+def ngrams(items: Column, n: int) -> Column:
+    """All runs of ``n`` items as strings; none if there are fewer."""
+    return let(items, lambda x: _runs(x, n))
+
+
 def repetition(col: Column | str, n: int = 4) -> Column:
     """Share of n-grams of words that repeat an earlier one; 0 without n-grams."""
-    grams = ngrams(words(col), n)
-    return F.when(F.size(grams) > 0, 1.0 - F.size(F.array_distinct(grams)) / F.size(grams)).otherwise(F.lit(0.0))
+    share = lambda g: F.when(F.size(g) > 0, 1.0 - F.size(F.array_distinct(g)) / F.size(g)).otherwise(F.lit(0.0))
+    return let(ngrams(words(col), n), share)
 
 
 def repeats_too_much(col: Column | str, *, limit: float = 0.4, n: int = 4, least: int = 20) -> Column:
@@ -90,8 +99,7 @@ def repeats_too_much(col: Column | str, *, limit: float = 0.4, n: int = 4, least
 
 def unigram_repetition(col: Column | str, *, empty: float = 1.0) -> Column:
     """Share of words that repeat an earlier one; ``empty`` without words."""
-    w = words(col)
-    return F.when(F.size(w) > 0, 1 - F.size(F.array_distinct(w)) / F.size(w)).otherwise(F.lit(empty))
+    return let(words(col), lambda w: F.when(F.size(w) > 0, 1 - F.size(F.array_distinct(w)) / F.size(w)).otherwise(F.lit(empty)))
 
 
 def fences_balanced(col: Column | str) -> Column:
@@ -111,7 +119,7 @@ def cut_off(col: Column | str) -> Column:
 
 def shingles(tokens: Column, k: int = 3) -> Column:
     """Distinct runs of ``k`` tokens; of fewer tokens, the distinct tokens."""
-    return F.array_distinct(F.when(F.size(tokens) < k, tokens).otherwise(ngrams(tokens, k)))
+    return let(tokens, lambda x: F.array_distinct(F.when(F.size(x) < k, x).otherwise(_runs(x, k))))
 
 
 def ascii_words(col: Column | str) -> Column:
@@ -136,13 +144,11 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def has_keyword(col: Column | str, keywords: Column) -> Column:
     """Whether any keyword stands in the text between word boundaries, without case."""
-    t = F.lower(text_of(col))
-    return F.exists(keywords, lambda k: t.rlike(_bounded(k)))
+    return let(F.lower(text_of(col)), lambda t: F.exists(keywords, lambda k: F.rlike(t, _bounded(k))))
 
 
 def has_all_keywords(col: Column | str, keywords: Column) -> Column:
-    t = F.lower(text_of(col))
-    return F.forall(keywords, lambda k: t.rlike(_bounded(k)))
+    return let(F.lower(text_of(col)), lambda t: F.forall(keywords, lambda k: F.rlike(t, _bounded(k))))
 
 
 def _bounded(keyword: Column) -> Column:
@@ -187,7 +193,7 @@ def title(col: Column | str) -> Column:
 
 
 def score_text(col: Column) -> Column:
-    return F.coalesce(F.format_string("%.4f", col), F.lit("N/A"))
+    return F.when(col.isNull(), F.lit("N/A")).otherwise(F.format_string("%.4f", col))
 
 
 def delta_text(col: Column) -> Column:

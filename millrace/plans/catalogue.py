@@ -1,18 +1,724 @@
-"""All queries of the core, by name."""
+"""All queries of the core, by name, and the SQL that states each of them independently where SQL can."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.session import table
+from millrace.functions import quality as Q
+from millrace.functions import scoring as S
+from millrace.functions import text as X
+from millrace.operators import decontam, dedup, evaluate, generate, lineage, normalize, splits, stats, tokens
+from millrace.plans import pipelines
+from millrace.plans import sql as L
+from millrace.session import materialize, shared_root, table
+from millrace.sources import files
+from millrace.streaming import intake as streaming
 
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"exact_dedup_keep_first": lambda spark, d: table(spark, d, "documents").groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("doc_id"))}
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents")
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "raw_seed_records")
+
+
+# ---------------------------------------------------------------- duplicates and profiles
+
+
+@query(f"SELECT doc_id, source, lang FROM documents QUALIFY doc_id = min(doc_id) OVER (PARTITION BY sha256({L.squeeze('text')}))")
+def exact_dedup_keep_first(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.keep_first(_documents(spark, d).select("doc_id", "source", "lang", "text"), "text", "doc_id").select("doc_id", "source", "lang")
+
+
+@query(f"""
+    WITH f AS (SELECT coalesce(source, '(none)') AS source, doc_id, min(doc_id) OVER (PARTITION BY sha256({L.squeeze("text")})) AS first_id FROM documents)
+    SELECT source, count(*) AS n, count(*) FILTER (first_id <> doc_id) AS n_duplicates, avg((first_id <> doc_id)::INT) AS duplicate_rate FROM f GROUP BY source""")
+def duplicate_rate_per_source(spark: SparkSession, d: str) -> DataFrame:
+    docs = _documents(spark, d).select("doc_id", F.coalesce("source", F.lit("(none)")).alias("source"), "text")
+    return stats.duplicate_rate(dedup.exact_duplicates(docs, "text", "doc_id"), "first_id", "doc_id", ["source"])
+
+
+@query(f"""
+    SELECT lang, count(*) AS n_docs, coalesce(sum(strlen(text)), 0)::BIGINT AS n_bytes, coalesce(sum(length(text)), 0)::BIGINT AS n_chars, coalesce(sum(len({L.words("text")})), 0)::BIGINT AS n_words
+    FROM documents GROUP BY lang""")
+def doc_stats_by_lang(spark: SparkSession, d: str) -> DataFrame:
+    return stats.document_statistics(_documents(spark, d), "text", ["lang"])
+
+
+@query("""
+    SELECT source, count(*) AS n, quantile_cont(n_chars, 0.5) AS median, quantile_cont(n_chars, 0.9) AS p90, quantile_cont(n_chars, 0.95) AS p95, quantile_cont(n_chars, 0.99) AS p99,
+        max(n_chars)::DOUBLE AS longest FROM documents GROUP BY source""")
+def length_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    return stats.length_percentiles(_documents(spark, d), F.col("n_chars"), ["source"])
+
+
+_MESSAGES = "raw_seed_records r, (SELECT row_id AS k, unnest(messages) AS m FROM raw_seed_records) u WHERE u.k = r.row_id"
+
+
+@query("""
+    WITH p AS (SELECT coalesce(list_sum(list_transform(list_filter(messages, lambda m: m.role = 'user'), lambda m: coalesce(length(m.content), 0))), 0) AS q,
+        coalesce(list_sum(list_transform(list_filter(messages, lambda m: m.role = 'assistant'), lambda m: coalesce(length(m.content), 0))), 0) AS a,
+        coalesce(list_sum(list_transform(messages, lambda m: coalesce(length(m.content), 0))), 0) AS t FROM raw_seed_records)
+    SELECT count(*) AS n_records, avg(q)::DOUBLE AS avg_question_chars, avg(a)::DOUBLE AS avg_answer_chars, avg(round_even(t / 4.0, 0))::DOUBLE AS avg_tokens,
+        min(round_even(t / 4.0, 0))::BIGINT AS min_tokens, max(round_even(t / 4.0, 0))::BIGINT AS max_tokens FROM p""")
+def record_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return stats.record_statistics(_records(spark, d))
+
+
+@query("SELECT coalesce(category, 'unknown') AS value, count(*) AS n, count(*) * 100.0::DOUBLE / sum(count(*)) OVER () AS pct FROM raw_seed_records GROUP BY 1")
+def category_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return stats.histogram(_records(spark, d), "category")
+
+
+@query("SELECT coalesce(difficulty, 'unknown') AS value, count(*) AS n, count(*) * 100.0::DOUBLE / sum(count(*)) OVER () AS pct FROM raw_seed_records GROUP BY 1")
+def difficulty_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return stats.histogram(_records(spark, d), "difficulty")
+
+
+@query(f"""
+    WITH t AS (SELECT text, len({L.words("text")}) AS n FROM documents)
+    SELECT count(*) AS n_docs, sum(length(text)) / sum(n) AS chars_per_token, sum(n) / sum(len({L.words("text")})) AS tokens_per_word, 0.0::DOUBLE AS unknown_rate, avg(n) AS mean_tokens,
+        quantile_cont(n, 0.5)::DOUBLE AS median_tokens FROM t""")
+def tokenizer_report(spark: SparkSession, d: str) -> DataFrame:
+    counted = _documents(spark, d).select("text", X.word_count("text").alias("n"))
+    return stats.tokenizer_report(counted, "text", "n")
+
+
+# ---------------------------------------------------------------- quality
+
+
+@query(f"""
+    WITH g AS (SELECT doc_id, {L.words("text")} AS w FROM documents), r AS (SELECT doc_id, len(w) AS n, {L.repetition(L.ngrams("w", 4))} AS repetition FROM g)
+    SELECT doc_id, repetition, n >= 20 AND repetition > 0.4 AS clean_flag, n >= 30 AND repetition > 0.45 AS filter_flag FROM r""")
+def ngram_repetition_flags(spark: SparkSession, d: str) -> DataFrame:
+    return _documents(spark, d).select("doc_id", X.repetition("text").alias("repetition"), X.repeats_too_much("text").alias("clean_flag"), X.repeats_too_much("text", limit=0.45, least=30).alias("filter_flag"))
+
+
+@query(f"""
+    WITH p AS (SELECT seq_id, entry_point, {L.strip("instruction")} AS i, {L.strip("output")} AS r FROM raw_opencoder)
+    SELECT seq_id, entry_point, {L.pair_reason("i", "r")} AS reason FROM p""")
+def quality_filter_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "raw_opencoder").select("seq_id", "entry_point", Q.pair_reason("instruction", "output").alias("reason"))
+
+
+@query(f"""
+    WITH p AS (SELECT {L.strip("instruction")} AS i, {L.strip("output")} AS r FROM raw_opencoder), s AS (SELECT coalesce({L.pair_reason("i", "r")}, 'accepted') AS value FROM p)
+    SELECT value, count(*) AS n, count(*) * 100.0::DOUBLE / sum(count(*)) OVER () AS pct FROM s GROUP BY value""")
+def rejection_breakdown(spark: SparkSession, d: str) -> DataFrame:
+    return stats.histogram(table(spark, d, "raw_opencoder"), F.coalesce(Q.pair_reason("instruction", "output"), F.lit("accepted")))
+
+
+@query(f"SELECT doc_id, {L.cut_off('text')} AS cut_off, {L.fences('text')} % 2 = 0 AS balanced FROM documents")
+def truncation_flags(spark: SparkSession, d: str) -> DataFrame:
+    return _documents(spark, d).select("doc_id", X.cut_off("text").alias("cut_off"), X.fences_balanced("text").alias("balanced"))
+
+
+@query(f"SELECT row_id, {L.placeholder('m.content')} AS placeholder, len({L.secrets('m.content')}) AS n_secrets FROM {_MESSAGES}")
+def placeholder_and_secret_flags(spark: SparkSession, d: str) -> DataFrame:
+    said = _records(spark, d).select("row_id", F.explode("messages").alias("m"))
+    return said.select("row_id", Q.placeholder("m.content").alias("placeholder"), F.size(Q.find_secrets("m.content")).alias("n_secrets"))
+
+
+@query(f"SELECT doc_id, {L.ungrounded('text')} AS ungrounded FROM documents")
+def grounding_filter(spark: SparkSession, d: str) -> DataFrame:
+    return _documents(spark, d).select("doc_id", Q.ungrounded("text").alias("ungrounded"))
+
+
+_SCHEMA_SQL = f"""
+    CASE WHEN {L.strip("id")} = '' THEN 'Field ''id'' must be a non-empty string' WHEN {L.strip("category")} = '' THEN 'Field ''category'' must be a non-empty string'
+    WHEN coalesce(difficulty, '') NOT IN ('beginner', 'intermediate', 'advanced') THEN 'Field ''difficulty'' must be one of beginner, intermediate, advanced, got ''' || coalesce(difficulty, 'None') || ''''
+    WHEN {L.strip("source")} = '' THEN 'Field ''source'' must be a non-empty string' WHEN tags IS NULL THEN 'Field ''tags'' must be a list'
+    WHEN coalesce(len(messages), 0) < 2 THEN 'Field ''messages'' must be a list with at least 2 messages (user and assistant)'
+    WHEN len(faults) > 0 THEN faults[1]
+    WHEN NOT list_contains(list_transform(messages, lambda m: m.role), 'user') THEN 'Conversation must contain at least one message with role ''user'''
+    WHEN NOT list_contains(list_transform(messages, lambda m: m.role), 'assistant') THEN 'Conversation must contain at least one message with role ''assistant''' END"""
+
+
+@query(f"""
+    WITH f AS (SELECT *, list_filter(list_transform(messages, lambda m, i: CASE WHEN coalesce(m.role, '') NOT IN ('system', 'user', 'assistant')
+            THEN 'Message at index ' || (i - 1) || ' has invalid role ''' || coalesce(m.role, 'None') || '''' WHEN {L.strip("m.content")} = ''
+            THEN 'Message at index ' || (i - 1) || ' has empty or non-string content' END), lambda x: x IS NOT NULL) AS faults FROM raw_seed_records)
+    SELECT row_id, {_SCHEMA_SQL} AS reason FROM f""")
+def schema_validation(spark: SparkSession, d: str) -> DataFrame:
+    return _records(spark, d).select("row_id", Q.schema_reason(*[F.col(c) for c in ("id", "category", "difficulty", "source", "tags", "messages")]).alias("reason"))
+
+
+def _role_named(messages: str = "messages") -> Column:
+    """Messages with the two speakers' other names replaced, as a reader of this data would do first."""
+    low = lambda m: F.lower(F.trim(m["role"]))
+    return F.transform(messages, lambda m: F.struct(F.when(low(m).isin("human", "user"), "user").when(low(m).isin("bot", "assistant"), "assistant").otherwise(m["role"]).alias("role"), m["content"].alias("content")))
+
+
+@query()
+def record_validation(spark: SparkSession, d: str) -> DataFrame:
+    return pipelines.validated(_records(spark, d).withColumn("messages", _role_named()), "row_id").select("row_id", "reason")
+
+
+@query()
+def normalized_text(spark: SparkSession, d: str) -> DataFrame:
+    return _documents(spark, d).select("doc_id", X.normalize_text("text").alias("text"))
+
+
+@query()
+def curated_records(spark: SparkSession, d: str) -> DataFrame:
+    return pipelines.curate(_records(spark, d).withColumn("messages", _role_named()), "row_id")
+
+
+@query()
+def curated_splits(spark: SparkSession, d: str) -> DataFrame:
+    return pipelines.curate_and_split(_records(spark, d).withColumn("messages", _role_named()), "row_id")
+
+
+# ---------------------------------------------------------------- normalizing
+
+
+def _shown(df: DataFrame) -> DataFrame:
+    ms = F.col("messages")
+    return df.select("id", ms[0]["content"].alias("system"), ms[1]["content"].alias("instruction"), ms[2]["content"].alias("response"), "source", "category", "difficulty")
+
+
+_SYSTEM = L.quoted(normalize.SYSTEM_PROMPT)
+
+
+@query(f"""
+    WITH p AS (SELECT *, {L.strip("instruction")} AS i, {L.strip("output")} AS r FROM raw_opencoder)
+    SELECT coalesce('opencoder_' || seq_id, {L.content_id("opencoder", "i", "r")}) AS id, {_SYSTEM} AS system, i AS instruction, r AS response, 'opencoder_educational_instruct' AS source,
+        'coding_educational' AS category, 'intermediate' AS difficulty FROM p WHERE i <> '' AND r <> ''""")
+def normalize_opencoder(spark: SparkSession, d: str) -> DataFrame:
+    return _shown(normalize.normalize_opencoder(table(spark, d, "raw_opencoder")))
+
+
+@query(f"""
+    WITH p AS (SELECT *, {L.strip("instruction")} AS i, {L.strip("output")} AS r FROM raw_opencoder)
+    SELECT coalesce('bigcode_' || nullif(seq_id::VARCHAR, ''), 'bigcode_' || nullif(md5(code), ''), {L.content_id("bigcode", "i", "r")}) AS id, {_SYSTEM} AS system, i AS instruction, r AS response,
+        'bigcode_self_oss_instruct_sc2' AS source, 'coding_exec_validated' AS category, 'advanced' AS difficulty FROM p WHERE i <> '' AND r <> ''""")
+def normalize_bigcode(spark: SparkSession, d: str) -> DataFrame:
+    return _shown(normalize.normalize_bigcode(_as_bigcode(table(spark, d, "raw_opencoder"))))
+
+
+def _as_bigcode(df: DataFrame) -> DataFrame:
+    """The coding set in the layout of the other one, of which there is no table."""
+    return df.select("instruction", F.col("output").alias("response"), F.col("seq_id").cast("string").alias("id"), F.md5("code").alias("sha1"), F.array("entry_point").alias("concepts"), F.col("testcase").alias("seed"))
+
+
+@query(f"""
+    WITH p AS (SELECT *, coalesce({L.contents("messages", "user")}[1], '') AS i, coalesce({L.contents("messages", "assistant")}[1], '') AS r FROM raw_smoltalk WHERE len(messages) >= 2)
+    SELECT {L.content_id("smoltalk", "i", "r")} AS id, {_SYSTEM} AS system, i AS instruction, r AS response, 'smoltalk_magpie_ultra' AS source, coalesce(category, 'general_instruction') AS category,
+        coalesce(difficulty, 'intermediate') AS difficulty FROM p WHERE i <> '' AND r <> ''""")
+def normalize_smoltalk(spark: SparkSession, d: str) -> DataFrame:
+    return _shown(normalize.normalize_smoltalk(table(spark, d, "raw_smoltalk")))
+
+
+@query(f"""
+    WITH p AS (SELECT *, coalesce({L.contents("messages", "user")}[1], '') AS i, coalesce({L.contents("messages", "assistant")}[1], '') AS r, {L.contents("messages", "system")} AS s FROM raw_seed_records)
+    SELECT coalesce(nullif(id, ''), {L.content_id("cyber", "i", "r")}) AS id, coalesce(s[len(s)], {_SYSTEM}) AS system, i AS instruction, r AS response, coalesce(source, 'cybersecurity_stream') AS source,
+        coalesce(category, 'cybersecurity') AS category, coalesce(difficulty, 'intermediate') AS difficulty FROM p WHERE i <> '' AND r <> ''""")
+def normalize_cybersecurity(spark: SparkSession, d: str) -> DataFrame:
+    return _shown(normalize.normalize_cybersecurity(_records(spark, d)))
+
+
+@query("""
+    SELECT row_id, md5(coalesce(list_reduce(list_transform(messages, lambda m: '<|im_start|>' || coalesce(m.role, '') || chr(10) || coalesce(m.content, '') || '<|im_end|>' || chr(10)),
+        lambda a, b: a || b), '') || '<|im_start|>assistant' || chr(10)) AS rendered FROM raw_seed_records""")
+def chat_template_render(spark: SparkSession, d: str) -> DataFrame:
+    return _records(spark, d).select("row_id", F.md5(normalize.render_chat(F.col("messages"), generate=True)).alias("rendered"))
+
+
+@query("SELECT row_id, len(messages) AS n, md5(list_reduce(list_transform(messages, lambda m: coalesce(m.role, '') || '=' || coalesce(m.content, '') || ';'), lambda a, b: a || b)) AS said FROM raw_seed_records WHERE len(messages) > 0")
+def conversation_assembly(spark: SparkSession, d: str) -> DataFrame:
+    turns = _records(spark, d).select("row_id", F.posexplode("messages").alias("turn", "m")).select("row_id", "turn", F.col("m.role").alias("role"), F.col("m.content").alias("content"))
+    made = normalize.assemble(turns, "row_id", "turn", "role", "content")
+    said = F.array_join(F.transform("messages", lambda m: F.concat(X.text_of(m["role"]), F.lit("="), X.text_of(m["content"]), F.lit(";"))), "")
+    return made.select("row_id", F.size("messages").alias("n"), F.md5(said).alias("said"))
+
+
+@query(f"""
+    WITH f AS (SELECT * FROM raw_opencoder WHERE seq_id IS NOT NULL ORDER BY seq_id, instruction, output LIMIT 100), p AS (SELECT {L.strip("instruction")} AS i, {L.strip("output")} AS r FROM f)
+    SELECT 'User: ' || i || chr(10) || 'Assistant: ' || r AS text FROM p WHERE i <> '' AND r <> ''""")
+def alpaca_dialogs(spark: SparkSession, d: str) -> DataFrame:
+    """The first 100 rows are the feature: the reader takes a fixed number of source rows."""
+    rows = table(spark, d, "raw_opencoder").where("seq_id is not null").withColumn("at", F.struct("seq_id", "instruction", "output"))
+    return normalize.alpaca(rows, 100, order="at")
+
+
+# ---------------------------------------------------------------- near duplicates and contamination
+
+
+@query(f"""
+    WITH t AS (SELECT row_id, array_to_string(list_transform(messages, lambda m: coalesce(m.content, '')), ' ') AS t FROM raw_seed_records),
+    w AS (SELECT row_id, list_filter(string_split({L.form("t")}, ' '), lambda x: x <> '') AS w FROM t), s AS (SELECT row_id, list_sort({L.shingles("w")}) AS s FROM w),
+    c AS (SELECT min(row_id) AS id, s, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s), u AS (SELECT id, n, unnest(s) AS g FROM c),
+    p AS (SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*) AS k FROM u a JOIN u b ON a.g = b.g AND a.id < b.id GROUP BY ALL)
+    SELECT a, b, k / (na + nb - k) AS similarity FROM p WHERE k / (na + nb - k) >= 0.8""")
+def near_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
+    said = F.array_join(F.transform("messages", lambda m: X.text_of(m["content"])), " ")
+    classes = dedup.shingle_classes(_records(spark, d), "row_id", X.comparison_shingles(said))
+    return dedup.similar_sets(classes.where("id = rep"), 0.8)
+
+
+@query()
+def near_dup_links(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.near_duplicate_links(_documents(spark, d), "text", "doc_id")
+
+
+@query()
+def near_dup_keep_first(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.near_duplicates_kept_first(_documents(spark, d).select("doc_id", "source", "text"), "text", "doc_id").select("doc_id", "source", "kept_by")
+
+
+@query()
+def prompt_near_dup_keep_first(spark: SparkSession, d: str) -> DataFrame:
+    prompts = _records(spark, d).select("row_id", normalize.user_prompt(F.col("messages")).alias("prompt"))
+    return dedup.near_duplicates_kept_first(prompts, "prompt", "row_id").select("row_id", "kept_by")
+
+
+@query()
+def split_contamination(spark: SparkSession, d: str) -> DataFrame:
+    docs = materialize(_documents(spark, d).select("doc_id", "text", splits.partition_of("text", F.lit("")).alias("split")), "split")
+    return pipelines.validate_splits(docs, "split", "text", "doc_id")
+
+
+_CONTAM_SQL = f"""
+    WITH d AS (SELECT doc_id, f, list_filter(string_split(f, ' '), lambda x: x <> '') AS w FROM (SELECT doc_id, {L.form("text")} AS f FROM documents) WHERE f <> ''),
+    b AS (SELECT item_id, f, list_filter(string_split(f, ' '), lambda x: x <> '') AS w FROM (SELECT item_id, {L.form("text")} AS f FROM benchmark) WHERE f <> ''),
+    ds AS (SELECT doc_id, {L.shingles("w")} AS s FROM d), bs AS (SELECT item_id, {L.shingles("w")} AS s FROM b),
+    du AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM ds), bu AS (SELECT item_id, len(s) AS n, unnest(s) AS g FROM bs),
+    j AS (SELECT doc_id, item_id, k / (nd + nb - k) AS sim FROM (SELECT doc_id, item_id, du.n AS nd, bu.n AS nb, count(*) AS k FROM du JOIN bu USING (g) GROUP BY ALL)),
+    hits AS (SELECT doc_id, 0 AS rank, max(item_id) AS item_id, NULL::DOUBLE AS sim FROM d JOIN b ON d.f = b.f GROUP BY doc_id
+        UNION ALL SELECT doc_id, 1, min(item_id), NULL FROM d JOIN b ON length(d.f) > 40 AND length(b.f) > 40 AND (contains(d.f, b.f) OR contains(b.f, d.f)) GROUP BY doc_id
+        UNION ALL SELECT doc_id, 2, min(item_id), arg_min(sim, item_id) FROM j WHERE sim >= 0.7 GROUP BY doc_id),
+    best AS (SELECT doc_id, ['exact', 'substring', 'jaccard'][rank + 1] AS kind, item_id AS bench_id, sim AS similarity FROM hits QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY rank) = 1)"""
+
+
+@query(_CONTAM_SQL + " SELECT * FROM best")
+def decontam_matches(spark: SparkSession, d: str) -> DataFrame:
+    return decontam.contamination(_documents(spark, d), table(spark, d, "benchmark"), key="doc_id", text="text")
+
+
+@query(_CONTAM_SQL + " SELECT source, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM best) GROUP BY source")
+def decontam_clean(spark: SparkSession, d: str) -> DataFrame:
+    docs = _documents(spark, d)
+    found = decontam.contamination(docs, table(spark, d, "benchmark"), key="doc_id", text="text")
+    return decontam.decontaminate(docs.select("doc_id", "source"), found, "doc_id").groupBy("source").agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- partitions, quotas, budgets
+
+
+@query(f"SELECT seq_id, entry_point, {L.partition_of('instruction', 'output')} AS part FROM raw_opencoder")
+def partition_assign(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "raw_opencoder").select("seq_id", "entry_point", splits.partition_of("instruction", "output").alias("part"))
+
+
+@query(f"SELECT {L.partition_of('text', chr(39) * 2)} AS part, count(*) AS n FROM documents GROUP BY 1")
+def partition_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _documents(spark, d).groupBy(splits.partition_of("text", F.lit("")).alias("part")).agg(F.count("*").alias("n"))
+
+
+@query("""
+    WITH c AS (SELECT count(*) AS n FROM documents), s AS (SELECT n, greatest(1, round_even(n * 0.05, 0)::BIGINT) AS v FROM c)
+    SELECT unnest(['train', 'validation', 'test']) AS split, unnest([n - 2 * v, v, v]) AS n FROM s""")
+def exact_split_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return splits.exact_split(_documents(spark, d).select("doc_id"), "doc_id").groupBy("split").agg(F.count("*").alias("n"))
+
+
+QUOTAS = {"ridge-crawl": 60, "lantern-wiki": 40, "pebble-forum": 25, "quill-papers": 15}
+_PLACES = "CASE source " + " ".join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(QUOTAS)) + " END"
+_LIMITS = "CASE source " + " ".join(f"WHEN '{s}' THEN {n}" for s, n in QUOTAS.items()) + " END"
+_INTAKE_SQL = f"""
+    WITH s AS (SELECT doc_id, source, {_PLACES} AS place, {_LIMITS} AS quota, CASE WHEN length({L.strip("text")}) < 300 THEN 'quality'
+            WHEN doc_id <> min(doc_id) OVER (PARTITION BY sha256({L.squeeze("text")})) THEN 'duplicate' END AS status FROM documents),
+    b AS (SELECT *, coalesce(sum(CASE WHEN status IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior FROM s WHERE quota IS NOT NULL),
+    o AS (SELECT *, CASE WHEN prior < quota THEN coalesce(status, 'accepted') END AS outcome FROM b)"""
+
+
+def _document_intake(spark: SparkSession, d: str) -> DataFrame:
+    docs = dedup.exact_duplicates(_documents(spark, d), "text", "doc_id")
+    status = F.when(F.length(X.strip("text")) < 300, "quality").when(F.col("first_id") != F.col("doc_id"), "duplicate")
+    rows = materialize(docs.select("doc_id", "source", status.alias("status")), "status")
+    return splits.intake(rows, QUOTAS, source="source", order="doc_id")
+
+
+@query(_INTAKE_SQL + " SELECT doc_id, source, CASE WHEN outcome = 'accepted' THEN row_number() OVER (PARTITION BY outcome ORDER BY prior, place) END AS position, outcome FROM o")
+def round_robin_order(spark: SparkSession, d: str) -> DataFrame:
+    return _document_intake(spark, d).select("doc_id", "source", "position", "outcome")
+
+
+@query(_INTAKE_SQL + f""", q AS (SELECT unnest({list(QUOTAS)}) AS source, unnest({list(QUOTAS.values())}) AS target)
+    SELECT q.source, target::BIGINT AS target, count(*) FILTER (outcome = 'accepted') AS accepted, count(*) FILTER (outcome = 'quality') AS rejected_quality,
+        count(*) FILTER (outcome = 'contamination') AS rejected_contamination, count(*) FILTER (outcome = 'duplicate') AS rejected_duplicate,
+        CASE WHEN sum(count(*) FILTER (outcome = 'accepted')) OVER () > 0 THEN count(*) FILTER (outcome = 'accepted') * 100.0::DOUBLE / sum(count(*) FILTER (outcome = 'accepted')) OVER () ELSE 0.0 END AS actual_pct
+    FROM q LEFT JOIN o ON q.source = o.source GROUP BY q.source, target""")
+def quota_mixture_summary(spark: SparkSession, d: str) -> DataFrame:
+    return splits.intake_summary(_document_intake(spark, d), QUOTAS, source="source")
+
+
+_CAPS = {"ridge-crawl": 0.45, "lantern-wiki": 0.25, "pebble-forum": 0.2, "quill-papers": 0.1}
+_CAP_SQL = " ".join(f"WHEN part = '{p}' AND source = '{s}' THEN {max(5, int(t * w))}" for p, t in (("validation", 60), ("test", 40)) for s, w in _CAPS.items())
+
+
+@query(f"""
+    WITH p AS (SELECT doc_id, source, {L.partition_of("text", chr(39) * 2)} AS part FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY source, part ORDER BY doc_id) AS k, CASE {_CAP_SQL} END AS cap FROM p)
+    SELECT doc_id, source, part FROM r WHERE k <= cap""")
+def finite_eval_sample(spark: SparkSession, d: str) -> DataFrame:
+    rows = materialize(_documents(spark, d).select("doc_id", "source", splits.partition_of("text", F.lit("")).alias("part")), "parts")
+    return splits.capped_per_source(rows, "source", "part", "doc_id", {"validation": 60, "test": 40}, _CAPS)
+
+
+@query(f"""
+    WITH r AS (SELECT doc_id, coalesce(sum(len({L.words("text")})) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS prior FROM documents)
+    SELECT doc_id, prior FROM r WHERE prior < 50000""")
+def token_budget_prefix(spark: SparkSession, d: str) -> DataFrame:
+    return files.word_budget(_documents(spark, d), "text", "doc_id", 50_000).select("doc_id", "prior")
+
+
+@query(f"""
+    WITH r AS (SELECT doc_id, coalesce(sum(strlen(text) + 2) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS prior FROM documents WHERE {L.strip("text")} <> '')
+    SELECT doc_id, prior FROM r WHERE prior < 500000""")
+def byte_budget_prefix(spark: SparkSession, d: str) -> DataFrame:
+    return files.byte_budget(_documents(spark, d), "text", "doc_id", 500_000).select("doc_id", "prior")
+
+
+@query(f"""
+    WITH w AS (SELECT doc_id, len({L.words("text")}) AS n FROM documents), r AS (SELECT doc_id, coalesce(sum(least(n, 4000)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior FROM w WHERE n >= 100)
+    SELECT doc_id, prior < 40000 AS held FROM r""")
+def held_out_window(spark: SparkSession, d: str) -> DataFrame:
+    return splits.held_out_window(_documents(spark, d), "doc_id", X.word_count("text")).select("doc_id", "held")
+
+
+@query("SELECT doc_id, left(text, 1000) AS preview FROM documents ORDER BY doc_id LIMIT 5")
+def document_preview(spark: SparkSession, d: str) -> DataFrame:
+    """Five rows are the feature: a look at the first documents."""
+    return files.preview(_documents(spark, d), "text", "doc_id")
+
+
+def _all_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The four sources as pairs with their source's name, a number that orders them within it, and a key."""
+    parts = []
+    for name, made in (
+        ("opencoder", normalize.normalize_opencoder(table(spark, d, "raw_opencoder"))),
+        ("bigcode", normalize.normalize_bigcode(_as_bigcode(table(spark, d, "raw_opencoder")).where("id is null"))),
+        ("smoltalk", normalize.normalize_smoltalk(table(spark, d, "raw_smoltalk"))),
+        ("cybersecurity", normalize.normalize_cybersecurity(_records(spark, d))),
+    ):
+        parts.append(pipelines.pairs_of(made).withColumn("source", F.lit(name)))
+    union = parts[0]
+    for p in parts[1:]:
+        union = union.unionByName(p)
+    # The sets bring no order of their own: a content hash gives one, and repeated rows are told apart by their count.
+    keyed = union.groupBy("source", "id", "instruction", "response").agg(F.count("*").alias("n")).withColumn("copy", F.explode(F.expr("sequence(1, cast(n as int))")))
+    seq = F.abs(F.xxhash64("source", "id", "instruction", "response", "copy") % (1 << 52))
+    return materialize(keyed.select("source", "id", "instruction", "response", seq.alias("seq"), F.xxhash64("source", "id", "instruction", "response", "copy").alias("row")), "pairs")
+
+
+@query()
+def stream_mixture(spark: SparkSession, d: str) -> DataFrame:
+    quotas = splits.quota_targets(1000, pipelines.SHARES)
+    return pipelines.stream_mixture(_all_pairs(spark, d), table(spark, d, "benchmark"), quotas).select("source", "id", "outcome", "position")
+
+
+@query()
+def stream_mixture_summary(spark: SparkSession, d: str) -> DataFrame:
+    quotas = splits.quota_targets(1000, pipelines.SHARES)
+    return splits.intake_summary(pipelines.stream_mixture(_all_pairs(spark, d), table(spark, d, "benchmark"), quotas), quotas, source="source")
+
+
+@query()
+def finite_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    return pipelines.finite_evaluation(_all_pairs(spark, d), table(spark, d, "benchmark")).select("source", "id", "partition")
+
+
+@query()
+def incremental_intake(spark: SparkSession, d: str) -> DataFrame:
+    """A stream over the coding set's files, run until all is taken in, and what it wrote."""
+    raw = table(spark, d, "raw_opencoder")
+    at = f"{shared_root(spark).rstrip('/')}/intake-{uuid.uuid4().hex}"
+    stream = streaming.read_stream(spark, f"{d}/raw_opencoder.parquet", raw.schema)
+    bench = table(spark, d, "benchmark").select("item_id", "text")
+    done = streaming.accept(stream.select("instruction", F.col("output").alias("response"), "entry_point"), bench)
+    streaming.run_to(done, at + "/out", at + "/state")
+    return spark.read.parquet(at + "/out").select("content_hash", "entry_point", "partition")
+
+
+# ---------------------------------------------------------------- tokens
+
+
+@query(f"""
+    WITH t AS (SELECT row_id, m.role AS role, len({L.words("m.content")}) AS n FROM {_MESSAGES})
+    SELECT row_id, sum(n + 2)::BIGINT AS n_tokens, sum(CASE WHEN role = 'assistant' THEN n + 1 ELSE 0 END)::BIGINT AS n_labels FROM t GROUP BY row_id""")
+def assistant_mask(spark: SparkSession, d: str) -> DataFrame:
+    masked = tokens.assistant_mask(_records(spark, d).where(F.size("messages") > 0))
+    return masked.select("row_id", F.size("tokens").cast("long").alias("n_tokens"), F.size(F.filter("labels", lambda x: x.isNotNull())).cast("long").alias("n_labels"))
+
+
+def _word_lengths(spark: SparkSession, d: str) -> DataFrame:
+    return materialize(_documents(spark, d).select("doc_id", F.transform(X.words("text"), lambda w: F.length(w)).alias("ids")), "ids")
+
+
+def _blocks_sql(length: int, stride: int) -> str:
+    again = f" UNION ALL SELECT pos, t, pos // {stride} - 1 FROM n WHERE pos % {stride} = 0 AND pos > 0" if stride == length else ""
+    return f"""
+    WITH w AS (SELECT doc_id, list_concat(list_transform({L.words("text")}, lambda x: length(x)), [3]) AS ids FROM documents), u AS (SELECT doc_id, unnest(ids) AS t, generate_subscripts(ids, 1) AS i FROM w),
+    n AS (SELECT row_number() OVER (ORDER BY doc_id, i) - 1 AS pos, t FROM u), b AS (SELECT pos, t, pos // {stride} AS block FROM n{again})
+    SELECT block, arg_min(t, pos) AS first, arg_max(t, pos) AS last, sum(t)::BIGINT AS total FROM b GROUP BY block HAVING count(*) = {length + 1}"""
+
+
+def _block_sums(made: DataFrame) -> DataFrame:
+    total = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a + x)
+    return made.select("block", F.col("tokens")[0].alias("first"), F.element_at("tokens", -1).alias("last"), total.alias("total"))
+
+
+@query(_blocks_sql(128, 128))
+def packed_blocks_overlap(spark: SparkSession, d: str) -> DataFrame:
+    return _block_sums(tokens.blocks(tokens.token_stream(_word_lengths(spark, d), "ids", "doc_id"), "ids", 128))
+
+
+@query(_blocks_sql(128, 129))
+def packed_blocks_no_overlap(spark: SparkSession, d: str) -> DataFrame:
+    return _block_sums(tokens.blocks(tokens.token_stream(_word_lengths(spark, d), "ids", "doc_id"), "ids", 128, overlap=False))
+
+
+@query(f"SELECT 'documents' AS source, 16000 AS vocab_size, 'uint16' AS dtype, 3 AS eos_token_id, count(*) AS documents, sum(len({L.words('text')}) + 1)::BIGINT AS tokens FROM documents")
+def token_manifest(spark: SparkSession, d: str) -> DataFrame:
+    stream = tokens.token_stream(_word_lengths(spark, d), "ids", "doc_id")
+    return tokens.manifest(stream, "ids", source="documents", vocabulary=16_000)
+
+
+@query(f"""
+    WITH w AS (SELECT doc_id, doc_id // 8 AS batch, len({L.words("text")}) AS n FROM documents), m AS (SELECT *, ceil(max(n) OVER (PARTITION BY batch) / 8.0)::BIGINT * 8 AS width FROM w)
+    SELECT doc_id, width, n::BIGINT AS n_real, (width - n)::BIGINT AS n_ignored FROM m""")
+def dynamic_pad(spark: SparkSession, d: str) -> DataFrame:
+    ids = tokens.word_ids("text")
+    rows = _documents(spark, d).select("doc_id", F.expr("doc_id div 8").alias("batch"), ids.alias("input_ids"), ids.alias("labels"))
+    done = tokens.dynamic_pad(rows, "batch")
+    ones = F.aggregate("attention_mask", F.lit(0).cast("long"), lambda a, x: a + x)
+    return done.select("doc_id", F.size("input_ids").cast("long").alias("width"), ones.alias("n_real"), F.size(F.filter("labels", lambda x: x == tokens.IGNORE)).cast("long").alias("n_ignored"))
+
+
+@query(f"""
+    WITH w AS (SELECT doc_id, list_concat(list_transform({L.words("text")}, lambda x: length(x)), [3]) AS ids FROM documents), p AS (SELECT doc_id, len(ids) AS n, list_position(ids, 9) AS pos FROM w)
+    SELECT doc_id, n::BIGINT AS n_tokens, (n - pos + 1)::BIGINT AS n_loss FROM p WHERE pos > 0 AND n BETWEEN 3 AND 300""")
+def marker_mask(spark: SparkSession, d: str) -> DataFrame:
+    done = tokens.marker_mask(_word_lengths(spark, d), "ids", 9)
+    return done.select("doc_id", F.size("input_ids").cast("long").alias("n_tokens"), F.aggregate("loss_mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_loss"))
+
+
+@query()
+def greedy_windows(spark: SparkSession, d: str) -> DataFrame:
+    rows = _word_lengths(spark, d).withColumn("shard", F.expr("doc_id div 4096"))
+    return tokens.greedy_windows(rows, "ids", ["doc_id"], "shard", 512)
+
+
+@query()
+def mixed_token_rows(spark: SparkSession, d: str) -> DataFrame:
+    docs = materialize(_documents(spark, d).select("doc_id", "source", F.transform(X.words("text"), lambda w: F.length(w)).alias("ids")), "ids")
+    a, b = docs.where("source = 'lantern-wiki'"), docs.where("source <> 'lantern-wiki'")
+    return tokens.mixed_rows(tokens.token_stream(b, "ids", "doc_id"), tokens.token_stream(a, "ids", "doc_id"), "ids", width=513, share=0.9)
+
+
+@query()
+def repeated_crops(spark: SparkSession, d: str) -> DataFrame:
+    return _word_lengths(spark, d).select("doc_id", tokens.repeat_and_crop(F.col("ids"), 64, F.pmod(F.xxhash64("doc_id"), F.lit(1000))).alias("tokens"))
+
+
+# ---------------------------------------------------------------- scores
+
+
+def _answers(spark: SparkSession, d: str) -> DataFrame:
+    """Replies held against questions: the data has no model's responses, so the first reply of each record stands for
+    one, and record and question meet by number."""
+    q = table(spark, d, "eval_questions").withColumn("n", F.expr("cast(regexp_extract(id, '([0-9]+)$', 1) as int)"))
+    q = q.groupBy("n").agg(F.min_by(F.struct("id", "category", "prompt", "required_concepts", "forbidden_concepts"), "id").alias("q"))
+    r = _records(spark, d).select("row_id", F.expr("cast(row_id % 60 as int)").alias("k"), normalize.first_content(F.col("messages"), "assistant").alias("response"))
+    return r.join(q, F.col("k") == F.col("n")).select("row_id", "response", "q.category", "q.prompt", "q.required_concepts", "q.forbidden_concepts")
+
+
+_ANSWER_SQL = f"""
+    WITH q AS (SELECT n, arg_min(category, id) AS category, arg_min(prompt, id) AS prompt, arg_min(required_concepts, id) AS req, arg_min(forbidden_concepts, id) AS forb
+            FROM (SELECT *, regexp_extract(id, '([0-9]+)$', 1)::INT AS n FROM eval_questions) GROUP BY n),
+    a AS (SELECT row_id, coalesce({L.contents("messages", "assistant")}[1], '') AS response, category, prompt, coalesce(req, []) AS req, coalesce(forb, []) AS forb
+        FROM (SELECT row_id, messages, (row_id % 60)::INT AS k FROM raw_seed_records) JOIN q ON k = n)"""
+_SCORED_SQL = """, m AS (SELECT *, len(list_filter(req, lambda c: contains(lower(response), lower(c)))) AS hit, len(list_filter(forb, lambda c: contains(lower(response), lower(c)))) AS bad FROM a),
+    s AS (SELECT row_id, category, hit, bad, greatest(0.0, least(1.0, CASE WHEN len(req) > 0 THEN hit / len(req) ELSE 1.0 END - 0.5 * bad))::DOUBLE AS score FROM m)"""
+
+
+@query(_ANSWER_SQL + _SCORED_SQL + " SELECT row_id, category, hit, bad, score FROM s")
+def concept_scores(spark: SparkSession, d: str) -> DataFrame:
+    s = evaluate.score_concepts(_answers(spark, d))
+    return s.select("row_id", "category", F.size("matched_required").alias("hit"), F.size("matched_forbidden").alias("bad"), "score")
+
+
+@query(_ANSWER_SQL + _SCORED_SQL + " SELECT category, count(*) AS n, avg(score) AS mean_score, grouping(category) AS is_total FROM s GROUP BY ROLLUP (category)")
+def category_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.category_means(evaluate.score_concepts(_answers(spark, d)))
+
+
+_KEYED_SQL = f""", k AS (SELECT row_id, category, prompt, response, {L.words("response")} AS w, req FROM a),
+    f AS (SELECT *, len(list_filter(req, lambda c: {L.has_word("array_to_string(w[1:8], ' ')", "c")})) > 0 AS strict, len(list_filter(req, lambda c: {L.has_word("response", "c")})) > 0 AS loose,
+        len(list_filter(req, lambda c: NOT {L.has_word("response", "c")})) = 0 AS all_keywords,
+        left(lower({L.strip("replace(string_split(prompt, chr(10))[-1], 'Assistant:', '')")}), 80) AS q, left(lower(response), 80) AS h, left(lower(prompt), 80) AS p FROM k),
+    e AS (SELECT *, q <> '' AND h <> '' AND (starts_with(h, left(q, 40)) OR starts_with(h, 'user:')) AS echo, p <> '' AND h <> '' AND starts_with(h, p) AS echo_plain FROM f)"""
+
+
+@query(_ANSWER_SQL + _KEYED_SQL + " SELECT row_id, strict, loose, all_keywords, echo, echo_plain FROM e")
+def keyword_scores(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.score_keywords(_answers(spark, d), answer="response", keywords="required_concepts").select("row_id", "strict", "loose", "all_keywords", "echo", "echo_plain")
+
+
+@query(_ANSWER_SQL + _KEYED_SQL + " SELECT category, count(*) AS n, avg(strict::INT) AS strict_rate, avg(loose::INT) AS loose_rate, avg(echo::INT) AS echo_rate FROM e GROUP BY category")
+def category_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.category_accuracy(evaluate.score_keywords(_answers(spark, d), answer="response", keywords="required_concepts"))
+
+
+@query(_ANSWER_SQL + _KEYED_SQL + " SELECT avg(loose::INT) AS loose_rate FROM e")
+def weighted_overall(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.weighted_overall(category_accuracy(spark, d), "loose_rate")
+
+
+@query(_ANSWER_SQL + _KEYED_SQL + f""", g AS (SELECT CASE WHEN len(req) > 0 THEN loose END AS topic, contains(response, 'User:') OR contains(response, 'Assistant:') AS drift,
+        CASE WHEN len(w) > 0 THEN 1 - len(list_distinct(w)) / len(w) ELSE 1.0 END AS rep FROM e), {"p"}p AS (SELECT avg(strict::INT) AS strict, avg(loose::INT) AS loose FROM e),
+    r AS (SELECT avg(topic::INT) AS topic, avg(drift::INT) AS drift, avg(rep) AS rep FROM g)
+    SELECT strict, loose, topic, drift, rep, 0.55::DOUBLE * strict + 0.15::DOUBLE * loose + 0.15::DOUBLE * topic + 0.10::DOUBLE * (1 - drift) + 0.05::DOUBLE * (1 - rep) AS composite FROM pp, r""")
+def composite_score(spark: SparkSession, d: str) -> DataFrame:
+    a = _answers(spark, d)
+    return evaluate.composite(evaluate.score_keywords(a, answer="response", keywords="required_concepts"), evaluate.score_generation(a, answer="response", topics="required_concepts"))
+
+
+@query(_ANSWER_SQL + _SCORED_SQL + """, b AS (SELECT category, avg(score) AS before FROM s WHERE row_id % 2 = 0 GROUP BY category), c AS (SELECT category, avg(score) AS after FROM s WHERE row_id % 2 = 1 GROUP BY category)
+    SELECT category, before, after, after - before AS delta, coalesce(printf('%.4f', before), 'N/A') AS before_text, coalesce(printf('%.4f', after), 'N/A') AS after_text FROM b FULL JOIN c USING (category)""")
+def before_after_delta(spark: SparkSession, d: str) -> DataFrame:
+    """Even and odd rows stand for the two models: each row is one answer of one of them."""
+    s = evaluate.score_concepts(_answers(spark, d))
+    mean = lambda k: s.where(F.col("row_id") % 2 == k).groupBy("category").agg(F.avg("score").alias("score"))
+    return evaluate.compare(mean(0), mean(1)).select("category", "before", "after", "delta", "before_text", "after_text")
+
+
+@query("SELECT count(*) AS n_tasks, count(*) FILTER (coalesce(contains(code, 'def ' || entry_point), false)) AS n_passed, avg(coalesce(contains(code, 'def ' || entry_point), false)::INT) * 100.0::DOUBLE AS pass_at_1 FROM raw_opencoder")
+def pass_at_1(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.pass_at_1(table(spark, d, "raw_opencoder").select(F.coalesce(F.contains("code", F.concat(F.lit("def "), F.col("entry_point"))), F.lit(False)).alias("passed")))
+
+
+@query()
+def extracted_code(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "raw_opencoder").where("entry_point is not null")
+    return evaluate.prepare_code(rows, "output", "entry_point", "instruction").select("seq_id", "entry_point", "generated_code")
+
+
+@query(f"""
+    WITH n AS (SELECT doc_id, list_filter(regexp_extract_all(regexp_replace({L.strip("text")}, '\\.+$', ''), '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '\\p{{Nd}}+')) AS n FROM documents)
+    SELECT doc_id, n[len(n)] AS last_number FROM n""")
+def last_numbers(spark: SparkSession, d: str) -> DataFrame:
+    return _documents(spark, d).select("doc_id", S.last_number("text").alias("last_number"))
+
+
+@query(f"""
+    WITH n AS (SELECT doc_id, text, doc_id % 100 AS e FROM documents), c AS (SELECT doc_id, coalesce(lang, 'none') AS lang, contains({L.text("text")}, (doc_id % 100)::VARCHAR) AS correct FROM documents)
+    SELECT lang AS category, count(*) AS n, count(*) FILTER (correct) AS correct, avg(correct::INT) AS accuracy, grouping(lang) AS is_total FROM c GROUP BY ROLLUP (lang)""")
+def arithmetic_diagnostic(spark: SparkSession, d: str) -> DataFrame:
+    """The document stands for a continuation and its number for the expected result; a substring is enough."""
+    rows = _documents(spark, d).select(F.coalesce("lang", F.lit("none")).alias("category"), S.number_correct("text", F.col("doc_id") % 100).alias("ok"))
+    return evaluate.diagnostics(rows, "category", "ok")
+
+
+_DIRECTIONS = {"east": S.EAST, "west": S.WEST}
+
+
+@query("WITH e AS (SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN 'east' ELSE 'west' END AS expected, text FROM documents) SELECT doc_id, expected, CASE expected " + " ".join(f"WHEN '{k}' THEN " + " OR ".join(L.has_word("text", L.quoted(w)) for w in ws) for k, ws in _DIRECTIONS.items()) + " END AS correct FROM e")
+def direction_diagnostic(spark: SparkSession, d: str) -> DataFrame:
+    e = F.when(F.col("doc_id") % 2 == 0, "east").otherwise("west")
+    return _documents(spark, d).select("doc_id", e.alias("expected"), S.direction_correct("text", e).alias("correct"))
+
+
+@query(f"""
+    SELECT doc_id, contains({L.text("text")}, 'User:') OR contains({L.text("text")}, 'Assistant:') AS drift, contains(lower({L.text("text")}), 'running') AND NOT contains(lower({L.text("text")}), 'sleep') AS runs,
+        array_to_string({L.words("text")}[1:8], ' ') AS first8, len({L.words("text")}) AS n_words FROM documents""")
+def continuation_flags(spark: SparkSession, d: str) -> DataFrame:
+    return _documents(spark, d).select("doc_id", X.drifts_to_dialog("text").alias("drift"), S.runs_while_asleep("text").alias("runs"), X.first_words("text").alias("first8"), X.word_count("text").alias("n_words"))
+
+
+@query("SELECT lang, source AS candidate, n_chars FROM (SELECT lang, source, max(n_chars) AS n_chars FROM documents WHERE source IS NOT NULL GROUP BY lang, source) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, source) = 1")
+def best_candidates(spark: SparkSession, d: str) -> DataFrame:
+    rows = _documents(spark, d).where("source is not null").groupBy("lang", "source").agg(F.max("n_chars").alias("n_chars"))
+    return evaluate.best_candidate(rows, ["lang"], "source", "n_chars").select("lang", F.col("source").alias("candidate"), "n_chars")
+
+
+@query("SELECT exp(least(20.0, avg(ln(1 + n_chars)))) AS perplexity FROM documents")
+def perplexity(spark: SparkSession, d: str) -> DataFrame:
+    return stats.perplexity(_documents(spark, d).select(F.log1p("n_chars").alias("loss")), "loss")
+
+
+# ---------------------------------------------------------------- lineage and generators
+
+
+def _lineage(spark: SparkSession, d: str) -> DataFrame:
+    """A forest of checkpoints by the documents' numbers: every number descends from a third of it."""
+    return _documents(spark, d).select(F.concat(F.lit("checkpoint-"), F.expr("doc_id div 3").cast("string")).alias("parent_checkpoint"), F.concat(F.lit("checkpoint-"), F.col("doc_id").cast("string")).alias("checkpoint_path"))
+
+
+_LINEAGE_SQL = """
+    WITH RECURSIVE e AS (SELECT DISTINCT 'checkpoint-' || (doc_id // 3) AS p, 'checkpoint-' || doc_id AS c FROM documents),
+    top AS (SELECT DISTINCT p AS node FROM e WHERE p NOT IN (SELECT c FROM e)), r AS (SELECT node FROM top UNION ALL SELECT min(p) FROM e WHERE NOT EXISTS (SELECT * FROM top) HAVING min(p) IS NOT NULL)"""
+
+
+@query(_LINEAGE_SQL + " SELECT node FROM r")
+def lineage_roots(spark: SparkSession, d: str) -> DataFrame:
+    return lineage.roots(_lineage(spark, d))
+
+
+@query(_LINEAGE_SQL + """, t(node, root, depth, path) AS (SELECT node, node, 0, [node] FROM r UNION ALL SELECT e.c, root, depth + 1, list_append(path, e.c) FROM t JOIN e ON t.node = e.p WHERE NOT list_contains(path, e.c))
+    SELECT node, root, depth, array_to_string(path, '>') AS path FROM t""")
+def lineage_paths(spark: SparkSession, d: str) -> DataFrame:
+    return lineage.paths(_lineage(spark, d)).withColumn("path", F.array_join("path", ">"))
+
+
+@query("SELECT 'checkpoint-' || doc_id AS checkpoint_path, doc_id AS step FROM documents ORDER BY doc_id DESC LIMIT 3")
+def latest_checkpoints(spark: SparkSession, d: str) -> DataFrame:
+    """Three are the feature: what is kept of all checkpoints."""
+    return lineage.latest(_lineage(spark, d).select("checkpoint_path"), "checkpoint_path", keep=3)
+
+
+@query()
+def semantic_dialogs(spark: SparkSession, d: str) -> DataFrame:
+    return generate.dialogs(spark, 2000, generate.SEMANTIC, plain=0.35)
+
+
+@query()
+def binding_dialogs(spark: SparkSession, d: str) -> DataFrame:
+    return generate.dialogs(spark, 2000, generate.BINDING, seed=20260813)
+
+
+@query("SELECT unnest(['single_fact', 'multi_fact', 'distractor', 'relation_reversal', 'paraphrase', 'pronoun', 'multi_hop', 'sentence_order', 'entity_generalization', 'distractor_binding']) AS category, 60::BIGINT AS n")
+def binding_benchmark(spark: SparkSession, d: str) -> DataFrame:
+    return generate.category_counts(generate.binding_benchmark(spark))
+
+
+@query("SELECT unnest(['addition', 'subtraction']) AS kind, 500::BIGINT AS n")
+def arithmetic_dialogs(spark: SparkSession, d: str) -> DataFrame:
+    return generate.arithmetic(spark, 500).groupBy("kind").agg(F.count("*").alias("n"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,8 +14,10 @@ from millrace.operators.splits import partition_of
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, *, files: int | None = None) -> DataFrame:
-    """New parquet files under ``path``; ``files`` bounds how many one step takes."""
+    """New parquet files under ``path``, a folder or one file; ``files`` bounds how many one step takes."""
     reader = spark.readStream.schema(schema)
+    if os.path.isfile(path):
+        reader, path = reader.option("pathGlobFilter", os.path.basename(path)), os.path.dirname(path)
     return (reader.option("maxFilesPerTrigger", str(files)) if files else reader).parquet(path)
 
 
