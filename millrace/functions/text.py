@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 
 #: A class of all white space, for Java and RE2 alike.
 SPACE = r"[\t-\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: The same characters one by one.
+BLANKS = "".join(chr(c) for c in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 #: What is no word character of the comparison form.
 NO_WORD = r"[^\p{L}\p{N}_]"
 FENCE = r"(?m)^```"
@@ -30,7 +32,7 @@ def text_of(col: Column | str) -> Column:
 
 def strip(col: Column | str) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(text_of(col), f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text_of(col), F.lit(BLANKS))
 
 
 def words(col: Column | str) -> Column:
@@ -112,9 +114,11 @@ ORPHANS = ("and", "or", "but", "because", "the", "a", "an", "with", "in", "for")
 
 def cut_off(col: Column | str) -> Column:
     """Blank, an open fence, or an orphaned word at the end."""
-    t = strip(col)
-    orphan = F.lower(F.right(t, F.lit(20))).rlike(f" (?:{'|'.join(ORPHANS)})$")
-    return (t == "") | ~fences_balanced(t) | orphan
+
+    def found(t: Column) -> Column:
+        return (t == "") | ~fences_balanced(t) | F.lower(F.right(t, F.lit(20))).rlike(f" (?:{'|'.join(ORPHANS)})$")
+
+    return let(strip(col), found)
 
 
 def shingles(tokens: Column, k: int = 3) -> Column:

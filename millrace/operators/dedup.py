@@ -41,9 +41,13 @@ def keep_first(df: DataFrame, text: Column | str, key: str) -> DataFrame:
 
 
 def shingle_classes(df: DataFrame, key: str, sets: Column) -> DataFrame:
-    """id, rep (the least id with the same set of shingles), set (sorted hashes), n. Null and empty sets are left out."""
-    rows = df.select(F.col(key).alias("id"), F.array_sort(F.array_distinct(F.transform(sets, lambda s: F.xxhash64(s)))).alias("set")).where("size(set) > 0")
-    return first_by(rows, ["set"], "id", "rep").withColumn("n", F.size("set"))
+    """id, rep (the least id with the same set of shingles), set (sorted hashes), n. Null and empty sets are left out.
+
+    Sets are told apart by two hashes of 96 bits in all. The shingles are computed once and kept in a table.
+    """
+    rows = df.select(F.col(key).alias("id"), F.array_sort(F.array_distinct(F.transform(sets, lambda s: F.xxhash64(s)))).alias("set"))
+    rows = materialize(rows.where("size(set) > 0").withColumns({"__a": F.xxhash64("set"), "__b": F.hash("set")}), "shingles")
+    return first_by(rows, ["__a", "__b"], "id", "rep").select("id", "rep", "set", F.size("set").alias("n"))
 
 
 def similar_sets(left: DataFrame, threshold: float, right: DataFrame | None = None) -> DataFrame:

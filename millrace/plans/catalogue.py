@@ -581,9 +581,9 @@ def category_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 
 _KEYED_SQL = f""", k AS (SELECT row_id, category, prompt, response, {L.words("response")} AS w, req FROM a),
-    f AS (SELECT *, len(list_filter(req, lambda c: {L.has_word("array_to_string(w[1:8], ' ')", "c")})) > 0 AS strict, len(list_filter(req, lambda c: {L.has_word("response", "c")})) > 0 AS loose,
-        len(list_filter(req, lambda c: NOT {L.has_word("response", "c")})) = 0 AS all_keywords,
-        left(lower({L.strip("replace(string_split(prompt, chr(10))[-1], 'Assistant:', '')")}), 80) AS q, left(lower(response), 80) AS h, left(lower(prompt), 80) AS p FROM k),
+    i AS (SELECT *, list_transform(req, lambda c: {L.has_word("array_to_string(w[1:8], ' ')", "c")}) AS near, list_transform(req, lambda c: {L.has_word("response", "c")}) AS hits FROM k),
+    f AS (SELECT *, list_contains(near, true) AS strict, list_contains(hits, true) AS loose, NOT list_contains(hits, false) AS all_keywords,
+        left(lower({L.strip("replace(string_split(prompt, chr(10))[-1], 'Assistant:', '')")}), 80) AS q, left(lower(response), 80) AS h, left(lower(prompt), 80) AS p FROM i),
     e AS (SELECT *, q <> '' AND h <> '' AND (starts_with(h, left(q, 40)) OR starts_with(h, 'user:')) AS echo, p <> '' AND h <> '' AND starts_with(h, p) AS echo_plain FROM f)"""
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.quality import content_reason, normalize_text, pair_reason, schema_reason
+from millrace.functions.quality import content_reason, issues, normalize_text, pair_reason, schema_reason
 from millrace.functions.text import strip
 from millrace.operators.decontam import contamination
 from millrace.operators.dedup import first_by, near_duplicates_kept_first, split_contamination
@@ -28,11 +28,11 @@ def validated(records: DataFrame, key: str) -> DataFrame:
     cols = {c: F.col(c) for c in ("id", "category", "difficulty", "source", "tags", "messages")}
     rows = records.withColumn("__schema", schema_reason(**cols))
     turns = rows.where("__schema is null").select(key, F.posexplode("messages").alias("i", "m")).select(key, "i", F.col("m.role").alias("role"), normalize_text(F.col("m.content")).alias("content"))
-    clean = turns.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "role", "content"))).alias("t"))
-    clean = clean.select(F.col(key).alias("__k"), F.transform("t", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("__clean"))
+    turns = turns.withColumn("found", issues(F.col("content")))
+    clean = turns.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "role", "content", "found"))).alias("__clean")).withColumnRenamed(key, "__k")
     both = rows.join(clean, F.col(key) == F.col("__k"), "left")
     both = both.withColumn("reason", F.coalesce("__schema", content_reason(F.col("__clean"))))
-    return both.withColumn("messages", F.when(F.col("reason").isNull(), F.col("__clean")).otherwise(F.col("messages"))).drop("__schema", "__k", "__clean")
+    return both.withColumn("messages", F.when(F.col("reason").isNull(), F.transform("__clean", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))).otherwise(F.col("messages"))).drop("__schema", "__k", "__clean")
 
 
 def curate(records: DataFrame, key: str, *, threshold: float = 0.8) -> DataFrame:

@@ -60,5 +60,14 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a compressed table that are worth a task of their own.
+TASK_BYTES = 256 << 10
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """The table of that name. One in fewer pieces than the session has cores, such as a single small file, is dealt out
+    to as many tasks as its size is worth; a large table, which is read in many pieces, is left as it is."""
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    tasks = min(spark.sparkContext.defaultParallelism, size // TASK_BYTES)
+    return df.repartition(tasks) if tasks > 1 and df.rdd.getNumPartitions() < tasks else df
