@@ -90,10 +90,10 @@ def dynamic_pad(df: DataFrame, batch: str, ids: str = "input_ids", labels: str =
 def token_stream(df: DataFrame, ids: str, order: str, *, eos: int | None = EOS) -> DataFrame:
     """Documents with ``start``, the place of their first token in the stream of all, and an end token each.
 
-    ``order`` is a number, unique by document. ``df`` is read several times.
+    ``order`` is a number, unique by document. Null tokens are none. ``df`` is read several times.
     """
-    full = F.concat(F.col(ids), F.array(F.lit(eos).cast("int"))) if eos is not None else F.col(ids)
-    rows = df.withColumn(ids, F.coalesce(full, F.array().cast("array<int>")))
+    own = F.coalesce(F.col(ids), F.array().cast("array<int>"))
+    rows = df.withColumn(ids, F.concat(own, F.array(F.lit(eos).cast("int"))) if eos is not None else own)
     return prefix(rows, [], value_bucket(df, order), [order], sums={"start": F.size(ids).cast("long")})
 
 
