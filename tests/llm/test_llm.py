@@ -425,6 +425,14 @@ def test_spam(text, flag):
     assert (sum(w) > 0 and sum(w[1:]) > 0.5 * sum(w)) is flag
 
 
+def test_stuffed_lines():
+    assert spam.stuffed(words.words("Best router. Get router router. Router here. More router, router. Router now. Router!"))
+    assert spam.stuffed([x for i in range(12) for x in ("sale", "kit", f"town{i}")])
+    assert not spam.stuffed(words.words(PROSE)) and not spam.stuffed(["router"] * 11)
+    alone = "sale kit town. " * 30
+    assert sum(spam.LineModel().words(PROSE + "\n\n" + alone)[1:]) >= 90
+
+
 def test_viterbi_finds_the_likeliest_path():
     from itertools import product
 
