@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from millrace.functions import quality as Q
 from millrace.functions import scoring as S
 from millrace.functions import text as X
-from millrace.operators import decontam, dedup, evaluate, generate, lineage, normalize, splits, stats, tokens
+from millrace.operators import decontam, dedup, evaluate, generate, lineage, normalize, signals, splits, stats, tokens
 from millrace.plans import pipelines
 from millrace.plans import sql as L
 from millrace.session import materialize, shared_root, table
@@ -722,3 +722,65 @@ def binding_benchmark(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT unnest(['addition', 'subtraction']) AS kind, 500::BIGINT AS n")
 def arithmetic_dialogs(spark: SparkSession, d: str) -> DataFrame:
     return generate.arithmetic(spark, 500).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- signals and addresses
+
+
+_LETTER, _MARK, _DIGIT = r"\p{L}", r"[^\p{L}\p{N}\s]", r"\p{N}"
+
+
+def _share_sql(pattern: str) -> str:
+    return f"CASE WHEN length(t) > 0 THEN len(regexp_extract_all(t, '{pattern}')) / length(t) ELSE 0.0 END"
+
+
+_SIGNALS_SQL = f"""
+    WITH a AS (SELECT doc_id, {L.text("text")} AS t, {L.words("text")} AS w, list_filter(list_transform(string_split({L.text("text")}, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents),
+    s AS (SELECT doc_id, {_share_sql(_LETTER)} AS letter_ratio, {_share_sql(_MARK)} AS punctuation_ratio,
+        {_share_sql(_DIGIT)} AS digit_ratio, CASE WHEN len(l) > 0 THEN 1.0::DOUBLE - len(list_distinct(l)) / len(l) ELSE 0.0 END AS repeated_line_ratio, {L.repetition(L.ngrams("w", 4))} AS repeated_ngram_ratio,
+        CASE WHEN len(w) > 0 THEN len(regexp_extract_all(t, 'https?://')) / len(w) ELSE 0.0 END AS url_density,
+        CASE WHEN length(t) > 0 THEN (length(t) - length(regexp_replace(t, '```.*?```', '', 'gs'))) / length(t) ELSE 0.0 END AS code_ratio FROM a)"""
+
+
+@query(_SIGNALS_SQL + " SELECT * FROM s")
+def quality_signals(spark: SparkSession, d: str) -> DataFrame:
+    return signals.signals(_documents(spark, d).select("doc_id", "text"), "text").drop("text")
+
+
+@query(_SIGNALS_SQL + " SELECT doc_id, punctuation_ratio FROM s ORDER BY punctuation_ratio DESC, doc_id LIMIT 20")
+def high_symbol_slice(spark: SparkSession, d: str) -> DataFrame:
+    """Twenty rows are the feature: a slice to look at."""
+    return signals.inspection_slice(quality_signals(spark, d), "punctuation_ratio", "doc_id", largest=True).select("doc_id", "punctuation_ratio")
+
+
+_URL_SQL = """
+    WITH u AS (SELECT doc_id, text, regexp_replace(trim(url), '#.*$', '') AS u FROM documents), p AS (SELECT doc_id, text, u,
+        regexp_replace(lower(regexp_extract(u, '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?([^/?]*)', 1)), '^www\\.|:(?:80|443)$', '', 'g') AS host,
+        regexp_replace(regexp_extract(u, '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?[^/?]*([^?]*)', 1), '/+$', '') AS path,
+        regexp_replace(regexp_replace(regexp_extract(u, '\\?(.*)$', 1), '(?:^|&)(?:utm_[a-z]+|ref|fbclid|gclid)=[^&]*', '', 'g'), '^&', '') AS q FROM u),
+    c AS (SELECT doc_id, text, CASE WHEN u IS NOT NULL THEN host || path || CASE WHEN q <> '' THEN '?' || q ELSE '' END END AS url FROM p)"""
+
+
+@query(_URL_SQL + " SELECT doc_id, url FROM c")
+def canonical_urls(spark: SparkSession, d: str) -> DataFrame:
+    return _documents(spark, d).select("doc_id", signals.canonical_url("url").alias("url"))
+
+
+@query(_URL_SQL + f""", s AS (SELECT doc_id, url, {L.partition_of("text", chr(39) * 2)} AS part FROM c WHERE url <> ''), t AS (SELECT url, min(doc_id) AS train_key FROM s WHERE part = 'train' GROUP BY url)
+    SELECT doc_id, url, train_key FROM s JOIN t USING (url) WHERE part <> 'train'""")
+def shared_addresses(spark: SparkSession, d: str) -> DataFrame:
+    rows = _documents(spark, d).select("doc_id", "url", splits.partition_of("text", F.lit("")).alias("part"))
+    return signals.shared_addresses(rows, "url", "part", "doc_id")
+
+
+@query(f"""
+    WITH h AS (SELECT source, sum(len({L.words("text")}))::BIGINT AS tokens FROM documents GROUP BY source)
+    SELECT m.source, target_share AS weight, target_share * 1000000 AS token_budget, coalesce(tokens, 0) AS tokens, coalesce(tokens, 0) / (target_share * 1000000) AS filled FROM mix_targets m LEFT JOIN h ON m.source = h.source""")
+def mixture_table(spark: SparkSession, d: str) -> DataFrame:
+    targets = table(spark, d, "mix_targets").select("source", F.col("target_share").alias("weight"))
+    return signals.mixture_table(_documents(spark, d), "source", X.word_count("text").cast("long"), targets, 1_000_000)
+
+
+@query("SELECT coalesce(lang, 'unknown') AS value, count(*) AS n, count(*) * 100.0::DOUBLE / sum(count(*)) OVER () AS pct FROM documents GROUP BY 1")
+def language_distribution(spark: SparkSession, d: str) -> DataFrame:
+    return stats.histogram(_documents(spark, d), "lang")
