@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import exact_hash, prompt_shingles
@@ -161,6 +161,6 @@ def split_contamination(train: DataFrame, held: DataFrame, text: str, key: str,
 
 
 def first_seen(df: DataFrame, by: Sequence[Column | str], order: Sequence[str]) -> DataFrame:
-    """The first row in ``order`` of each value of ``by``."""
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return df.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
+    """The first row in ``order`` of each value of ``by``; ``order`` tells rows apart, its nulls come first."""
+    placed = df.withColumn("__order", F.struct(*order))
+    return first_by(placed, by, "__order", "__first").where(F.col("__order") == F.col("__first")).select(*df.columns)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.scoring import code_of, concept_score, matched
@@ -109,7 +109,6 @@ def prepare_code(df: DataFrame, completion: str, entry_point: str, prompt: str)
 def best_candidate(df: DataFrame, by: Sequence[str], candidate: str, probability: str, valid: str | None = None) -> DataFrame:
     """The likeliest candidate of each group; of equal ones the first by name. ``valid`` leaves others out."""
     rows = df if valid is None else df.where(F.col(valid))
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(probability), candidate))
-    return rows.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
-
-
+    rest = [c for c in df.columns if c not in by]
+    best = F.min_by(F.struct(*rest), F.struct((-F.col(probability)).alias("p"), F.col(candidate)))
+    return rows.where(F.col(probability).isNotNull()).groupBy(*by).agg(best.alias("__best")).select(*by, *[F.col("__best")[c].alias(c) for c in rest])

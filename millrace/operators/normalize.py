@@ -1,7 +1,7 @@
 """Rows of differing instruction sets as chat records: id, messages, source, category, difficulty, metadata.
 
-Every record has a system, a user and an assistant message. Rows without an instruction or a reply are left out. Nulls
-count as empty. Each function adds nothing but the record's columns; ``keep`` carries others along.
+Every record has a system, a user and an assistant message. Rows without an instruction or a reply are left out, or with
+``drop=False`` kept with blank ones, for a filter that counts what it rejects. Nulls count as empty. Each function adds nothing but the record's columns; ``keep`` carries others along.
 """
 
 from __future__ import annotations
@@ -40,9 +40,10 @@ def user_prompt(messages: Column) -> Column:
     return strip(F.get(F.filter(messages, lambda m: m["role"] == "user"), F.lit(0))["content"])
 
 
-def _record(df: DataFrame, keep: Sequence[str], id: Column, system: Column, user: Column, reply: Column, source: Column, category: Column, difficulty: Column, metadata: Column, when: Column | None = None) -> DataFrame:  # noqa: A002
-    kept = (user != "") & (reply != "")
-    out = df.where(kept if when is None else when & kept)
+def _record(df: DataFrame, keep: Sequence[str], id: Column, system: Column, user: Column, reply: Column, source: Column, category: Column, difficulty: Column, metadata: Column, when: Column | None = None, drop: bool = True) -> DataFrame:  # noqa: A002
+    if when is not None:
+        user, reply = (F.when(when, c).otherwise(F.lit("")) for c in (user, reply))
+    out = df.where((user != "") & (reply != "")) if drop else df
     return out.select(
         *keep,
         id.alias("id"),
@@ -55,30 +56,30 @@ def _map(**of: Column) -> Column:
     return F.create_map(*[x for k, v in of.items() for x in (F.lit(k), v.cast("string"))])
 
 
-def normalize_opencoder(df: DataFrame, *, system: str = SYSTEM_PROMPT, keep: Sequence[str] = ()) -> DataFrame:
+def normalize_opencoder(df: DataFrame, *, system: str = SYSTEM_PROMPT, keep: Sequence[str] = (), drop: bool = True) -> DataFrame:
     i, r = strip("instruction"), strip("output")
     name = F.coalesce(F.concat(F.lit("opencoder_"), F.col("seq_id").cast("string")), content_id("opencoder", i, r))
     meta = _map(code=F.col("code"), entry_point=F.col("entry_point"), testcase=F.col("testcase"), seq_id=F.col("seq_id"))
-    return _record(df, keep, name, F.lit(system), i, r, F.lit("opencoder_educational_instruct"), F.lit("coding_educational"), F.lit("intermediate"), meta)
+    return _record(df, keep, name, F.lit(system), i, r, F.lit("opencoder_educational_instruct"), F.lit("coding_educational"), F.lit("intermediate"), meta, drop=drop)
 
 
-def normalize_bigcode(df: DataFrame, *, system: str = SYSTEM_PROMPT, keep: Sequence[str] = ()) -> DataFrame:
+def normalize_bigcode(df: DataFrame, *, system: str = SYSTEM_PROMPT, keep: Sequence[str] = (), drop: bool = True) -> DataFrame:
     i, r = strip("instruction"), strip("response")
     own = F.coalesce(F.nullif(F.col("id").cast("string"), F.lit("")), F.nullif(F.col("sha1").cast("string"), F.lit("")))
     name = F.coalesce(F.concat(F.lit("bigcode_"), own), content_id("bigcode", i, r))
     meta = _map(id=F.col("id"), concepts=F.to_json("concepts"), seed=F.col("seed"), sha1=F.col("sha1"))
-    return _record(df, keep, name, F.lit(system), i, r, F.lit("bigcode_self_oss_instruct_sc2"), F.lit("coding_exec_validated"), F.lit("advanced"), meta)
+    return _record(df, keep, name, F.lit(system), i, r, F.lit("bigcode_self_oss_instruct_sc2"), F.lit("coding_exec_validated"), F.lit("advanced"), meta, drop=drop)
 
 
-def normalize_smoltalk(df: DataFrame, *, system: str = SYSTEM_PROMPT, keep: Sequence[str] = ()) -> DataFrame:
+def normalize_smoltalk(df: DataFrame, *, system: str = SYSTEM_PROMPT, keep: Sequence[str] = (), drop: bool = True) -> DataFrame:
     ms = F.col("messages")
     i, r = first_content(ms, "user"), first_content(ms, "assistant")
     category, difficulty = F.coalesce("category", F.lit("general_instruction")), F.coalesce("difficulty", F.lit("intermediate"))
     meta = _map(category=category, difficulty=difficulty, quality=F.col("quality"), reward_model_score=F.col("reward_model_score"), conversation_tokens=F.col("conversation_tokens"))
-    return _record(df, keep, content_id("smoltalk", i, r), F.lit(system), i, r, F.lit("smoltalk_magpie_ultra"), category, difficulty, meta, F.size(ms) >= 2)
+    return _record(df, keep, content_id("smoltalk", i, r), F.lit(system), i, r, F.lit("smoltalk_magpie_ultra"), category, difficulty, meta, F.coalesce(F.size(ms) >= 2, F.lit(False)), drop)
 
 
-def normalize_cybersecurity(df: DataFrame, *, system: str = SYSTEM_PROMPT, keep: Sequence[str] = ()) -> DataFrame:
+def normalize_cybersecurity(df: DataFrame, *, system: str = SYSTEM_PROMPT, keep: Sequence[str] = (), drop: bool = True) -> DataFrame:
     """Rows with messages, or with user/assistant/system or instruction/response columns; the last system message holds."""
     col = lambda *names: F.coalesce(*[F.nullif(strip(n), F.lit("")) for n in names if n in df.columns], F.lit(""))
     flat_i, flat_r = col("user", "instruction"), col("assistant", "response")
@@ -94,7 +95,7 @@ def normalize_cybersecurity(df: DataFrame, *, system: str = SYSTEM_PROMPT, keep:
     has = lambda c, other: F.coalesce(F.col(c), F.lit(other)) if c in df.columns else F.lit(other)
     name = F.coalesce(F.nullif(F.col("id").cast("string"), F.lit("")), content_id("cyber", i, r)) if "id" in df.columns else content_id("cyber", i, r)
     meta = F.create_map(F.lit("tags"), F.to_json(F.coalesce("tags", F.array().cast("array<string>")))) if "tags" in df.columns else F.create_map(F.lit("tags"), F.lit("[]"))
-    return _record(df, keep, name, s, i, r, has("source", "cybersecurity_stream"), has("category", "cybersecurity"), has("difficulty", "intermediate"), meta)
+    return _record(df, keep, name, s, i, r, has("source", "cybersecurity_stream"), has("category", "cybersecurity"), has("difficulty", "intermediate"), meta, drop=drop)
 
 
 def alpaca(df: DataFrame, n: int, *, order: str) -> DataFrame:

@@ -97,21 +97,26 @@ def token_stream(df: DataFrame, ids: str, order: str, *, eos: int | None = EOS)
     return prefix(rows, [], value_bucket(df, order), [order], sums={"start": F.size(ids).cast("long")})
 
 
+def _cut(stream: DataFrame, ids: str, stride: int, width: int) -> DataFrame:
+    """block and tokens: the stream's tokens from every ``stride``-th place on, ``width`` of them; only full blocks.
+
+    Documents are cut into the pieces that fall into blocks, so rows move by piece, not by token.
+    """
+    rows = stream.select("start", F.col(ids).alias("ids"), (F.col("start") + F.size(ids) - 1).alias("end")).where(F.size("ids") > 0)
+    first = F.expr(f"greatest(0L, (start - {width - 1} + {stride - 1}) div {stride})")
+    parts = rows.where(first <= F.expr(f"end div {stride}")).select("start", "end", "ids", F.explode(F.sequence(first, F.expr(f"end div {stride}"))).alias("block"))
+    low, high = F.greatest("start", F.col("block") * stride), F.least(F.col("end"), F.col("block") * stride + width - 1)
+    parts = parts.where(low <= high).select("block", low.alias("at"), F.slice("ids", (low - F.col("start") + 1).cast("int"), (high - low + 1).cast("int")).alias("piece"))
+    made = parts.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("p"))
+    return made.select("block", F.flatten(F.transform("p", lambda x: x["piece"])).alias("tokens")).where(F.size("tokens") == width)
+
+
 def blocks(stream: DataFrame, ids: str, length: int, *, overlap: bool = True) -> DataFrame:
     """The stream in blocks of ``length`` + 1 tokens: block, tokens.
 
     With ``overlap`` a block begins with the last token of the one before. An incomplete last block is left out.
     """
-    stride = length if overlap else length + 1
-    at = stream.select("start", F.posexplode(ids).alias("i", "token")).select((F.col("start") + F.col("i")).alias("at"), "token")
-    first = F.expr(f"at div {stride}")
-    if overlap:
-        both = F.array(first, F.when((F.col("at") % stride == 0) & (F.col("at") > 0), first - 1))
-        at = at.select("at", "token", F.explode(F.filter(both, lambda b: b.isNotNull())).alias("block"))
-    else:
-        at = at.select("at", "token", first.alias("block"))
-    made = at.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("t"))
-    return made.where(F.size("t") == length + 1).select("block", F.transform("t", lambda x: x["token"]).alias("tokens"))
+    return _cut(stream, ids, length if overlap else length + 1, length + 1)
 
 
 def inputs_and_targets(made: DataFrame) -> DataFrame:
@@ -172,9 +177,7 @@ def mixed_rows(a: DataFrame, b: DataFrame, ids: str, *, width: int, share: float
     nb = width - na
 
     def pieces(stream: DataFrame, n: int, name: str) -> DataFrame:
-        at = stream.select("start", F.posexplode(ids).alias("i", "token")).select((F.col("start") + F.col("i")).alias("at"), "token")
-        made = at.groupBy(F.expr(f"at div {n}").alias("row")).agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("t"))
-        return made.where(F.size("t") == n).select("row", F.transform("t", lambda x: x["token"]).alias(name))
+        return _cut(stream, ids, n, n).toDF("row", name)
 
     return pieces(a, na, "x").join(pieces(b, nb, "y"), "row").select("row", F.concat("x", "y").alias("tokens"))
 

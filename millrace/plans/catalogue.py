@@ -49,6 +49,11 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "raw_seed_records")
 
 
+def _rounded(df: DataFrame, *cols: str) -> DataFrame:
+    """Sums of fractions depend on their order in the last digits: what is compared by value is rounded."""
+    return df.withColumns({c: F.round(c, 6) for c in cols})
+
+
 # ---------------------------------------------------------------- duplicates and profiles
 
 
@@ -73,10 +78,10 @@ def doc_stats_by_lang(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    SELECT source, count(*) AS n, quantile_cont(n_chars, 0.5) AS median, quantile_cont(n_chars, 0.9) AS p90, quantile_cont(n_chars, 0.95) AS p95, quantile_cont(n_chars, 0.99) AS p99,
+    SELECT source, count(*) AS n, round(quantile_cont(n_chars, 0.5), 6) AS median, round(quantile_cont(n_chars, 0.9), 6) AS p90, round(quantile_cont(n_chars, 0.95), 6) AS p95, round(quantile_cont(n_chars, 0.99), 6) AS p99,
         max(n_chars)::DOUBLE AS longest FROM documents GROUP BY source""")
 def length_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    return stats.length_percentiles(_documents(spark, d), F.col("n_chars"), ["source"])
+    return _rounded(stats.length_percentiles(_documents(spark, d), F.col("n_chars"), ["source"]), "median", "p90", "p95", "p99")
 
 
 _MESSAGES = "raw_seed_records r, (SELECT row_id AS k, unnest(messages) AS m FROM raw_seed_records) u WHERE u.k = r.row_id"
@@ -423,10 +428,10 @@ def _all_pairs(spark: SparkSession, d: str) -> DataFrame:
     """The four sources as pairs with their source's name, a number that orders them within it, and a key."""
     parts = []
     for name, made in (
-        ("opencoder", normalize.normalize_opencoder(table(spark, d, "raw_opencoder"))),
-        ("bigcode", normalize.normalize_bigcode(_as_bigcode(table(spark, d, "raw_opencoder")).where("id is null"))),
-        ("smoltalk", normalize.normalize_smoltalk(table(spark, d, "raw_smoltalk"))),
-        ("cybersecurity", normalize.normalize_cybersecurity(_records(spark, d))),
+        ("opencoder", normalize.normalize_opencoder(table(spark, d, "raw_opencoder"), drop=False)),
+        ("bigcode", normalize.normalize_bigcode(_as_bigcode(table(spark, d, "raw_opencoder")).where("id is null"), drop=False)),
+        ("smoltalk", normalize.normalize_smoltalk(table(spark, d, "raw_smoltalk"), drop=False)),
+        ("cybersecurity", normalize.normalize_cybersecurity(_records(spark, d), drop=False)),
     ):
         parts.append(pipelines.pairs_of(made).withColumn("source", F.lit(name)))
     union = parts[0]
@@ -575,9 +580,9 @@ def concept_scores(spark: SparkSession, d: str) -> DataFrame:
     return s.select("row_id", "category", F.size("matched_required").alias("hit"), F.size("matched_forbidden").alias("bad"), "score")
 
 
-@query(_ANSWER_SQL + _SCORED_SQL + " SELECT category, count(*) AS n, avg(score) AS mean_score, grouping(category) AS is_total FROM s GROUP BY ROLLUP (category)")
+@query(_ANSWER_SQL + _SCORED_SQL + " SELECT category, count(*) AS n, round(avg(score), 6) AS mean_score, grouping(category) AS is_total FROM s GROUP BY ROLLUP (category)")
 def category_rollup(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.category_means(evaluate.score_concepts(_answers(spark, d)))
+    return _rounded(evaluate.category_means(evaluate.score_concepts(_answers(spark, d))), "mean_score")
 
 
 _KEYED_SQL = f""", k AS (SELECT row_id, category, prompt, response, {L.words("response")} AS w, req FROM a),
@@ -605,19 +610,20 @@ def weighted_overall(spark: SparkSession, d: str) -> DataFrame:
 @query(_ANSWER_SQL + _KEYED_SQL + f""", g AS (SELECT CASE WHEN len(req) > 0 THEN loose END AS topic, contains(response, 'User:') OR contains(response, 'Assistant:') AS drift,
         CASE WHEN len(w) > 0 THEN 1 - len(list_distinct(w)) / len(w) ELSE 1.0 END AS rep FROM e), {"p"}p AS (SELECT avg(strict::INT) AS strict, avg(loose::INT) AS loose FROM e),
     r AS (SELECT avg(topic::INT) AS topic, avg(drift::INT) AS drift, avg(rep) AS rep FROM g)
-    SELECT strict, loose, topic, drift, rep, 0.55::DOUBLE * strict + 0.15::DOUBLE * loose + 0.15::DOUBLE * topic + 0.10::DOUBLE * (1 - drift) + 0.05::DOUBLE * (1 - rep) AS composite FROM pp, r""")
+    SELECT strict, loose, topic, drift, round(rep, 6) AS rep, round(0.55::DOUBLE * strict + 0.15::DOUBLE * loose + 0.15::DOUBLE * topic + 0.10::DOUBLE * (1 - drift) + 0.05::DOUBLE * (1 - rep), 6) AS composite FROM pp, r""")
 def composite_score(spark: SparkSession, d: str) -> DataFrame:
     a = _answers(spark, d)
-    return evaluate.composite(evaluate.score_keywords(a, answer="response", keywords="required_concepts"), evaluate.score_generation(a, answer="response", topics="required_concepts"))
+    made = evaluate.composite(evaluate.score_keywords(a, answer="response", keywords="required_concepts"), evaluate.score_generation(a, answer="response", topics="required_concepts"))
+    return _rounded(made, "rep", "composite")
 
 
-@query(_ANSWER_SQL + _SCORED_SQL + """, b AS (SELECT category, avg(score) AS before FROM s WHERE row_id % 2 = 0 GROUP BY category), c AS (SELECT category, avg(score) AS after FROM s WHERE row_id % 2 = 1 GROUP BY category)
-    SELECT category, before, after, after - before AS delta, coalesce(printf('%.4f', before), 'N/A') AS before_text, coalesce(printf('%.4f', after), 'N/A') AS after_text FROM b FULL JOIN c USING (category)""")
+@query(_ANSWER_SQL + _SCORED_SQL + """, b AS (SELECT category, avg(score) AS before FROM s WHERE row_id // 60 % 2 = 0 GROUP BY category), c AS (SELECT category, avg(score) AS after FROM s WHERE row_id // 60 % 2 = 1 GROUP BY category)
+    SELECT category, round(before, 6) AS before, round(after, 6) AS after, round(after - before, 6) AS delta, coalesce(printf('%.4f', before), 'N/A') AS before_text, coalesce(printf('%.4f', after), 'N/A') AS after_text FROM b FULL JOIN c USING (category)""")
 def before_after_delta(spark: SparkSession, d: str) -> DataFrame:
-    """Even and odd rows stand for the two models: each row is one answer of one of them."""
+    """Every other sixty rows stand for one of two models: each row is one answer of one of them."""
     s = evaluate.score_concepts(_answers(spark, d))
-    mean = lambda k: s.where(F.col("row_id") % 2 == k).groupBy("category").agg(F.avg("score").alias("score"))
-    return evaluate.compare(mean(0), mean(1)).select("category", "before", "after", "delta", "before_text", "after_text")
+    mean = lambda k: s.where(F.expr("row_id div 60 % 2") == k).groupBy("category").agg(F.avg("score").alias("score"))
+    return _rounded(evaluate.compare(mean(0), mean(1)).select("category", "before", "after", "delta", "before_text", "after_text"), "before", "after", "delta")
 
 
 @query("SELECT count(*) AS n_tasks, count(*) FILTER (coalesce(contains(code, 'def ' || entry_point), false)) AS n_passed, avg(coalesce(contains(code, 'def ' || entry_point), false)::INT) * 100.0::DOUBLE AS pass_at_1 FROM raw_opencoder")

@@ -49,6 +49,19 @@ def test_curation(spark):
         pipelines.curate_and_split(frame(spark, [record(1, messages=[])]), "row")
 
 
+def test_intake_status(spark):
+    answer = "An answer that is long enough to pass the filter."
+    bench = spark.createDataFrame([(1, "Reverse a linked list in place please")], "item_id long, text string")
+    base = [("b", 1, "What is a hash table good for?", answer), ("a", 2, "What is a hash table good for?", answer), ("a", 1, "short", answer), ("a", 3, "reverse a LINKED list, in place please", answer), ("a", 4, None, answer)]
+    rows = [(i, *r) for i, r in enumerate([*base, *(("c", j, f"Question number {j} about sorting", answer) for j in range(60))])]
+    df = spark.createDataFrame(rows, "row long, source string, seq long, instruction string, response string")
+    out = {r["row"]: r["status"] for r in pipelines.intake_status(df, bench, places=["a", "b", "c"]).collect()}
+    assert out[2] == out[4] == "quality" and out[3] == "contamination" and out[0] == "duplicate" and out[1] in (None, "partition")
+    assert {out[i] for i in range(5, 65)} == {None, "partition"} and sum(out[i] == "partition" for i in range(5, 65)) < 20
+    read = pipelines.stream_mixture(df, bench, {"a": 1, "b": 1, "c": 2}).collect()
+    assert sum(r["outcome"] == "accepted" for r in read) == 3
+
+
 def test_jsonl_round_trip(spark, tmp_path):
     path = str(tmp_path / "records")
     rows = frame(spark, [record(1, category="größe 中"), record(2, tags=[])])

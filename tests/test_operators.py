@@ -251,6 +251,23 @@ def test_packing_windows(spark):
     assert [r["x"] for r in crop] == [[2, 3, 1, 2, 3], None]
 
 
+@pytest.mark.parametrize(("stride", "width"), [(4, 5), (5, 5), (1, 2), (7, 8)])
+def test_blocks_equal_plain_slices(spark, stride, width):
+    rng = random.Random(width)
+    docs = spark.createDataFrame([(i, [rng.randint(0, 99) for _ in range(rng.choice([0, 1, 2, 5, 23]))]) for i in range(25)], "id long, ids array<int>")
+    stream = tokens.token_stream(docs, "ids", "id", eos=None).cache()
+    flat = [t for r in sorted(stream.collect(), key=lambda r: r["id"]) for t in r["ids"]]
+    got = {r["block"]: r["tokens"] for r in tokens.blocks(stream, "ids", width - 1, overlap=stride < width).collect()}
+    assert got == {i: flat[i * stride : i * stride + width] for i in range(len(flat)) if len(flat[i * stride : i * stride + width]) == width}
+
+
+def test_first_seen_and_best_candidate(spark):
+    df = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), (None, 5, "z"), (None, 4, "w"), ("b", 3, "v")], "k string, n int, v string")
+    assert sorted(r["v"] for r in dedup.first_seen(df, ["k"], ["n"]).collect()) == ["v", "w", "y"]
+    rows = spark.createDataFrame([("p", "b", 0.5, True), ("p", "a", 0.5, True), ("p", "c", 0.9, False), ("q", "d", None, True)], "prefix string, cand string, prob double, ok boolean")
+    assert [(r["prefix"], r["cand"]) for r in evaluate.best_candidate(rows, ["prefix"], "cand", "prob", "ok").collect()] == [("p", "a")]
+
+
 def test_comparison(spark):
     a = spark.createDataFrame([("x", 0.4), ("only_before", 0.1)], "category string, score double")
     b = spark.createDataFrame([("x", 0.9), ("only_after", 0.2)], "category string, score double")
