@@ -122,7 +122,7 @@ def test_every_query_runs_on_small_tables(spark, data):
 
 
 def test_queries_take_empty_tables(spark, data, tmp_path):
-    for t in ("documents", "raw_seed_records", "raw_opencoder", "raw_smoltalk", "benchmark", "eval_questions"):
+    for t in ("documents", "raw_seed_records", "raw_opencoder", "raw_smoltalk", "benchmark", "eval_questions", "mix_targets"):
         table(spark, data, t).limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
     skip = {"curated_splits", "exact_split_sizes", "incremental_intake"}
     for name, query in catalogue.queries().items():
