@@ -13,6 +13,23 @@ from pyspark.sql import DataFrame, SparkSession
 _LOCAL_ROOTS: list[str] = []
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the package to the session's Python workers, once, where they would not find it themselves.
+
+    They do if PYTHONPATH names its folder, or, on one machine, if the driver was started there.
+    """
+    sc = spark.sparkContext
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    found = {os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    if (sc.master or "").startswith("local["):
+        found.add(os.getcwd())
+    if root in found or "site-packages" in root or any(os.path.basename(f).startswith("millrace-") for f in sc._python_includes):
+        return
+    folder = tempfile.mkdtemp(prefix="millrace-")  # read by the driver only, which serves the file to the workers
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    sc.addPyFile(shutil.make_archive(os.path.join(folder, f"millrace-{uuid.uuid4().hex}"), "zip", root, "millrace"))
+
+
 def local_session(cores: int = 8, shuffle: int | None = None, **conf: str) -> SparkSession:
     """A session on this machine, for tests and the bench."""
     builder = (
@@ -29,6 +46,7 @@ def local_session(cores: int = 8, shuffle: int | None = None, **conf: str) -> Sp
         builder = builder.config(key.replace("__", "."), value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
@@ -67,6 +85,7 @@ TASK_BYTES = 256 << 10
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table of that name. One in fewer pieces than the session has cores, such as a single small file, is dealt out
     to as many tasks as its size is worth; a large table, which is read in many pieces, is left as it is."""
+    ship(spark)
     df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     tasks = min(spark.sparkContext.defaultParallelism, size // TASK_BYTES)
