@@ -8,7 +8,7 @@ left out, and pairs that meet under a key are compared on a b-bit form of the wh
 on the exact sets.
 
 Texts with the same words in the same order are one class from the start: only one representative of each is indexed.
-Keys that very many representatives share are not paired but joined again under keys of a second chunk.
+Keys that very many representatives share are paired in blocks, each against each, that are spread over tasks.
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ GUARANTEED = CHUNKS * (ERRORS + 1) - 1
 BITS, PACKED = 5, 3
 #: Ids up to this number are sent to all tasks when texts are read again; more are joined.
 MAX_SENT = 1_000_000
-#: Representatives under one key from which on it is split by a second chunk; deeper keys are split at DEEP.
-HOT, DEEP, LEVELS = 1024, 32768, 3
+#: Representatives under one key from which on it is paired in blocks, and how many a block of it holds, about.
+HOT, DEEP = 1024, 4096
 FORM = [f"s{i}" for i in range(PACKED)]
 _U = np.uint64
 _MULTIPLIERS = np.random.default_rng(20240607).integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * _U(2) + _U(1)
@@ -145,11 +145,11 @@ def sign(df: DataFrame, key: str, text: Column, *, width: int) -> DataFrame:
     return df.select(F.col(key).cast("long").alias("id"), text.alias("text")).mapInArrow(run, "id long, copy_a long, copy_b long, sig array<int>, " + ", ".join(f"{c} long" for c in FORM))
 
 
-def _chunk_keys(chunk: int, seed: Column) -> list[Column]:
-    """Keys of a chunk, one for each way to leave ERRORS symbols out; the low four bits name the chunk."""
+def _chunk_keys(chunk: int) -> list[Column]:
+    """Keys of a chunk, one for each way to leave ERRORS symbols out."""
     kept = combinations(range(SYMBOLS_PER_CHUNK), SYMBOLS_PER_CHUNK - ERRORS)
     sig = [F.col("sig")[chunk * SYMBOLS_PER_CHUNK + i] for i in range(SYMBOLS_PER_CHUNK)]
-    return [F.xxhash64(seed, F.lit(chunk * 100 + v), *[sig[i] for i in at]).bitwiseAND(F.lit(~15)).bitwiseOR(F.lit(chunk).cast("long")) for v, at in enumerate(kept)]
+    return [F.xxhash64(F.lit(chunk * 100 + v), *[sig[i] for i in at]) for v, at in enumerate(kept)]
 
 
 def _meet(keyed: DataFrame, distance: int, hot: int) -> DataFrame:
@@ -209,24 +209,59 @@ def _meet(keyed: DataFrame, distance: int, hot: int) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, key long")
 
 
+def _meet_in_blocks(hot: DataFrame, distance: int) -> DataFrame:
+    """All pairs of ids under one key within ``distance``; ``hot`` is key, id and FORM.
+
+    A key's ids are dealt to blocks of about DEEP ids. A cell is two blocks, or one with itself: it is one task's work at
+    the most, and each pair of ids lies in one cell of its key.
+    """
+    blocks = hot.groupBy("key").agg(F.ceil(F.count("*") / DEEP).cast("int").alias("blocks"))
+    own = hot.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = own.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    cell = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    side = F.when(F.col("own") < F.col("other"), 0).when(F.col("own") > F.col("other"), 1).otherwise(2).cast("long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: np.ndarray | None = None
+
+        def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Of the rows of one cell."""
+            left, right = rows[rows[:, 1] != 1], rows[rows[:, 1] == 1]
+            within = left[0, 1] == 2 if len(left) else False
+            ids, others = left[:, 2], left[:, 2] if within else right[:, 2]
+            form = np.ascontiguousarray(left[:, 3:]).view(_U)
+            forms = form if within else np.ascontiguousarray(right[:, 3:]).view(_U)
+            for i in range(len(left)):
+                first = i + 1 if within else 0
+                near = others[first:][(differing(form[i], forms[first:]) <= distance) & (others[first:] != ids[i])]
+                if len(near):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(near, ids[i])), pa.array(np.maximum(near, ids[i]))], names=["a", "b"])
+
+        for batch in batches:
+            rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+            if not len(rows):
+                continue
+            if held is not None:
+                rows = np.concatenate([held, rows])
+            edge = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
+            for start, end in zip(edge[:-1], edge[1:], strict=True):
+                yield from pairs(rows[start:end])
+            held = rows[edge[-1] :]
+        if held is not None:
+            yield from pairs(held)
+
+    return dealt.select(cell.alias("cell"), side.alias("side"), "id", *FORM).repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
+
+
 def candidates(signed: DataFrame, distance: int) -> DataFrame:
-    """Pairs of representatives within ``distance``; ``signed`` is a table of id, sig and FORM."""
-    keys = [k for c in range(CHUNKS) for k in _chunk_keys(c, F.lit(0).cast("long"))]
+    """Pairs of representatives that meet under a key, within ``distance``; ``signed`` is a table of id, sig and FORM."""
+    keys = [k for c in range(CHUNKS) for k in _chunk_keys(c)]
     keyed = signed.where("sig is not null").select(F.explode(F.array(*keys)).alias("key"), "id", *FORM)
-    found = None
-    for level in range(LEVELS):
-        last = level == LEVELS - 1
-        met = materialize(_meet(keyed, distance, (1 << 62) if last else HOT if not level else DEEP), "met")
-        pairs = met.where("b is not null").select("a", "b")
-        found = pairs if found is None else found.unionByName(pairs)
-        hot = met.where("b is null").select(F.col("a").alias("hot_id"), "key")
-        if last or hot.isEmpty():
-            break
-        # Under a hot key all agree in its chunk; the pair is still found in a further chunk, whose keys are added.
-        again = signed.join(hot, F.col("id") == F.col("hot_id"))
-        chunk = F.col("key").bitwiseAND(F.lit(15))
-        more = F.array(*[F.when(chunk != c, k) for c in range(CHUNKS) for k in _chunk_keys(c, F.col("key"))])
-        keyed = again.select(F.explode(F.filter(more, lambda k: k.isNotNull())).alias("key"), "id", *FORM)
+    met = materialize(_meet(keyed, distance, HOT), "met")
+    found = met.where("b is not null").select("a", "b")
+    hot = met.where("b is null").select(F.col("a").alias("id"), "key")
+    if not hot.isEmpty():
+        found = found.unionByName(_meet_in_blocks(hot.join(signed.select("id", *FORM), "id").select("key", "id", *FORM), distance))
     return found.distinct()
 
 

@@ -2,6 +2,7 @@ import random
 from collections import Counter, defaultdict
 from itertools import combinations
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -265,6 +266,24 @@ def test_signature_guarantee():
         assert any(sum(c * neardup.SYMBOLS_PER_CHUNK + i in off for i in range(neardup.SYMBOLS_PER_CHUNK)) <= neardup.ERRORS for c in range(neardup.CHUNKS))
 
 
+def test_pairs_under_a_hot_key_are_complete(spark, monkeypatch):
+    """All agree in the first chunk; two differ in two symbols of every other chunk, so that they meet in the first only."""
+    monkeypatch.setattr(neardup, "DEEP", 300)
+    rng = np.random.default_rng(3)
+    symbols = rng.integers(0, 1 << 31, (neardup.HOT + 76, neardup.SYMBOLS), dtype=np.uint64)
+    symbols[:, : neardup.SYMBOLS_PER_CHUNK] = symbols[0, : neardup.SYMBOLS_PER_CHUNK]
+    symbols[900] = symbols[7]
+    for c in range(1, neardup.CHUNKS):
+        symbols[900, c * neardup.SYMBOLS_PER_CHUNK : c * neardup.SYMBOLS_PER_CHUNK + 2] ^= np.uint64(1)
+    form = neardup.compared_form(symbols)
+    rows = [(i, [int(x) for x in symbols[i]], *(int(x) for x in form[i].view(np.int64))) for i in range(len(symbols))]
+    signed = spark.createDataFrame(rows, "id long, sig array<int>, " + ", ".join(f"{f} long" for f in neardup.FORM))
+    # At 30 some pairs are within the distance by chance; all of them lie under the hot key.
+    got = [(r["a"], r["b"]) for r in neardup.candidates(signed, 30).collect()]
+    want = {(i, i + 1 + int(j)) for i in range(len(symbols)) for j in np.flatnonzero(neardup.differing(form[i], form[i + 1 :]) <= 30)}
+    assert (7, 900) in want and len(want) > 1000 and len(got) == len(set(got)) and set(got) == want
+
+
 def test_near_duplicates_of_nothing(spark):
     nd = neardup.near_duplicates(spark.createDataFrame([], "row_id long, t string"), F.col("t"))
     assert nd.pairs().count() == nd.groups().count() == 0
