@@ -132,26 +132,26 @@ def manifest(stream: DataFrame, ids: str, *, source: str, vocabulary: int, eos:
     )
 
 
-def greedy_windows(df: DataFrame, ids: str, order: Sequence[str], shard: str, length: int, *, pad: int = PAD) -> DataFrame:
+def greedy_windows(df: DataFrame, ids: str, order: Sequence[str], shard: str, length: int, *, pad: int = PAD, split: bool = False) -> DataFrame:
     """Examples packed in their order into windows: an example that no longer fits opens the next window.
 
-    shard, window, tokens (padded to ``length``), n_examples. Longer examples are cut to ``length``; empty ones are left
-    out. Each shard is packed on its own, as one group in Python: choose shards of bounded size.
+    shard, window, tokens (padded to ``length``), n_examples. With ``split``, longer examples are packed in pieces of
+    ``length``, each counted as an example, so that no token is lost; without it, all behind ``length`` is cut off. Empty
+    examples are left out. Each shard is packed on its own, as one group in Python: choose shards of bounded size.
     """
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         held: list[int] = []
         n = 0
-        for x in pdf.sort_values(list(order))[ids]:
-            x = list(x)[:length]
-            if not x:
-                continue
-            if len(held) + len(x) > length:
-                out.append((held, n))
-                held, n = [], 0
-            held = held + x
-            n += 1
+        for whole in pdf.sort_values(list(order))[ids]:
+            for at in range(0, len(whole) if split else min(len(whole), 1), length):
+                x = list(whole[at : at + length])
+                if len(held) + len(x) > length:
+                    out.append((held, n))
+                    held, n = [], 0
+                held = held + x
+                n += 1
         if held:
             out.append((held, n))
         return pd.DataFrame({shard: [pdf[shard].iloc[0]] * len(out), "window": range(len(out)), "tokens": [h + [pad] * (length - len(h)) for h, _ in out], "n_examples": [k for _, k in out]})

@@ -538,7 +538,7 @@ def marker_mask(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def greedy_windows(spark: SparkSession, d: str) -> DataFrame:
     rows = _word_lengths(spark, d).withColumn("shard", F.expr("doc_id div 4096"))
-    return tokens.greedy_windows(rows, "ids", ["doc_id"], "shard", 512)
+    return tokens.greedy_windows(rows, "ids", ["doc_id"], "shard", 512, split=True)
 
 
 @query()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from millrace.functions.text import prompt_shingles
 from millrace.operators import decontam, dedup, evaluate, generate, lineage, normalize, splits, stats, tokens
 from millrace.operators.prefix import hash_bucket, hash_order, prefix, value_bucket
+from millrace.plans import catalogue
 
 
 def test_prefix_equals_a_window(spark):
@@ -251,6 +252,19 @@ def test_packing_windows(spark):
     assert [r["x"] for r in crop] == [[2, 3, 1, 2, 3], None]
 
 
+def test_packing_windows_keeps_all_of_long_examples(spark):
+    df = spark.createDataFrame([(0, i, list(range(1, n + 1))) for i, n in enumerate([3, 9, 0, 16, 2])], "shard long, i long, ids array<int>")
+    out = sorted(tokens.greedy_windows(df, "ids", ["i"], "shard", 8, split=True).collect(), key=lambda r: r["window"])
+    assert [r["tokens"] for r in out] == [[1, 2, 3, 0, 0, 0, 0, 0], list(range(1, 9)), [9, 0, 0, 0, 0, 0, 0, 0], list(range(1, 9)), list(range(9, 17)), [1, 2, 0, 0, 0, 0, 0, 0]]
+    assert [r["n_examples"] for r in out] == [1] * 6
+
+
+def test_greedy_windows_query_loses_no_token(spark, tmp_path):
+    spark.createDataFrame([(0, "a b"), (1, "w " * 1300), (2, "c d e")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    packed = catalogue.queries()["greedy_windows"](spark, str(tmp_path)).collect()
+    assert sum(t != tokens.PAD for r in packed for t in r["tokens"]) == 1305
+
+
 @pytest.mark.parametrize(("stride", "width"), [(4, 5), (5, 5), (1, 2), (7, 8)])
 def test_blocks_equal_plain_slices(spark, stride, width):
     rng = random.Random(width)
