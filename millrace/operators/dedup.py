@@ -90,15 +90,22 @@ def near_duplicate_pairs(df: DataFrame, text: Column | str, key: str, *, thresho
     return similar_sets(classes.where("id = rep"), threshold)
 
 
-def near_duplicate_links(df: DataFrame, text: Column | str, key: str, *, threshold: float = 0.8, k: int = 3) -> DataFrame:
-    """One row per record with shingles: id, class_id (first record with the same set), n_links (similar records)."""
-    classes = materialize(shingle_classes(df, key, prompt_shingles(text, k)), "classes")
+def near_duplicate_links(df: DataFrame, text: Column | str, key: str, *, threshold: float = 0.8, k: int = 3, sets: Column | None = None, every: bool = False) -> DataFrame:
+    """One row per record with shingles: id, class_id (first record with the same set), n_links (similar records).
+
+    ``sets`` are shingles that take the place of the text's. With ``every``, a record without shingles has a row too: it
+    is a class of its own without links.
+    """
+    classes = materialize(shingle_classes(df, key, prompt_shingles(text, k) if sets is None else sets), "classes")
     pairs = similar_sets(classes.where("id = rep"), threshold)
     size = classes.groupBy("rep").agg(F.count("*").alias("n_copies"))
     ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("me"), F.col("b").alias("other")), F.struct(F.col("b").alias("me"), F.col("a").alias("other")))).alias("e")).select("e.*")
     linked = ends.join(size, ends["other"] == size["rep"]).groupBy("me").agg(F.sum("n_copies").alias("linked"))
     per = size.join(linked, size["rep"] == linked["me"], "left").select(F.col("rep").alias("class_id"), (F.col("n_copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
-    return classes.select("id", F.col("rep").alias("class_id")).join(per, "class_id").select("id", "class_id", "n_links")
+    found = classes.select("id", F.col("rep").alias("class_id")).join(per, "class_id").select("id", "class_id", "n_links")
+    if not every:
+        return found
+    return df.select(F.col(key).alias("id")).join(found, "id", "left").select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
 def greedy_keep(nodes: DataFrame, edges: DataFrame) -> DataFrame:

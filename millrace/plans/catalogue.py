@@ -283,14 +283,22 @@ def alpaca_dialogs(spark: SparkSession, d: str) -> DataFrame:
     p AS (SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*) AS k FROM u a JOIN u b ON a.g = b.g AND a.id < b.id GROUP BY ALL)
     SELECT a, b, k / (na + nb - k) AS similarity FROM p WHERE k / (na + nb - k) >= 0.8""")
 def near_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of the first records of equal sets, as the SQL states; near_dup_record_links has every record's class."""
     said = F.array_join(F.transform("messages", lambda m: X.text_of(m["content"])), " ")
     classes = dedup.shingle_classes(_records(spark, d), "row_id", X.comparison_shingles(said))
     return dedup.similar_sets(classes.where("id = rep"), 0.8)
 
 
+@query()
+def near_dup_record_links(spark: SparkSession, d: str) -> DataFrame:
+    """One row per record: the first record with its shingles, which near_dup_pairs names, and how many are similar."""
+    said = F.array_join(F.transform("messages", lambda m: X.text_of(m["content"])), " ")
+    return dedup.near_duplicate_links(_records(spark, d), said, "row_id", sets=X.comparison_shingles(said), every=True)
+
+
 @query()
 def near_dup_links(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.near_duplicate_links(_documents(spark, d), "text", "doc_id")
+    return dedup.near_duplicate_links(_documents(spark, d), "text", "doc_id", every=True)
 
 
 @query()

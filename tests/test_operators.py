@@ -98,6 +98,18 @@ def test_links_count_every_similar_record(spark, texts):
     assert got == {i: sum(j != i and jaccard(sets[i], sets[j]) >= 0.5 for j in ids) for i in ids}
 
 
+def test_links_have_a_row_for_every_record(spark, tmp_path):
+    base = " ".join(f"w{i}" for i in range(20))
+    texts = {1: base, 2: base, 3: base + " more", 4: "中文文档", 5: " ", 6: None, 7: "中文文档"}
+    want = {1: (1, 2), 2: (1, 2), 3: (3, 2), **{i: (i, 0) for i in range(4, 8)}}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r["id"]: (r["class_id"], r["n_links"]) for r in catalogue.queries()["near_dup_links"](spark, str(tmp_path)).collect()} == want
+    rows = [(i, [("user", t)] if i < 6 else None) for i, t in texts.items()]
+    spark.createDataFrame(rows, "row_id long, messages array<struct<role string, content string>>").write.parquet(str(tmp_path / "raw_seed_records.parquet"))
+    got = {r["id"]: (r["class_id"], r["n_links"]) for r in catalogue.queries()["near_dup_record_links"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(texts) and {i: got[i] for i in (1, 2, 3, 5, 6, 7)} == {i: want[i] for i in (1, 2, 3, 5, 6, 7)}
+
+
 def test_exact_duplicates_and_empty_tables(spark):
     df = spark.createDataFrame([(1, "A  b"), (2, "a b "), (3, "c"), (4, None), (5, "")], "id long, t string")
     assert {r["id"]: r["first_id"] for r in dedup.exact_duplicates(df, "t", "id").collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
