@@ -432,12 +432,19 @@ def document_preview(spark: SparkSession, d: str) -> DataFrame:
     return files.preview(_documents(spark, d), "text", "doc_id")
 
 
-def _all_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """The four sources as pairs with their source's name, a number that orders them within it, and a key."""
+def _all_pairs(spark: SparkSession, d: str, *, disjoint: bool) -> DataFrame:
+    """The four sources as pairs with their source's name, a number that orders them within it, and a key.
+
+    The second coding set has no table: the coding table in its layout stands for it. If ``disjoint``, each of its texts
+    goes to one of the two by a hash, else both have the whole table.
+    """
+    coding = table(spark, d, "raw_opencoder")
+    half = F.pmod(F.xxhash64(X.strip("instruction"), X.strip("output")), F.lit(2))
+    first, second = (coding.where(half == 0), coding.where(half == 1)) if disjoint else (coding, coding)
     parts = []
     for name, made in (
-        ("opencoder", normalize.normalize_opencoder(table(spark, d, "raw_opencoder"), drop=False)),
-        ("bigcode", normalize.normalize_bigcode(_as_bigcode(table(spark, d, "raw_opencoder")).where("id is null"), drop=False)),
+        ("opencoder", normalize.normalize_opencoder(first, drop=False)),
+        ("bigcode", normalize.normalize_bigcode(_as_bigcode(second), drop=False)),
         ("smoltalk", normalize.normalize_smoltalk(table(spark, d, "raw_smoltalk"), drop=False)),
         ("cybersecurity", normalize.normalize_cybersecurity(_records(spark, d), drop=False)),
     ):
@@ -454,18 +461,18 @@ def _all_pairs(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def stream_mixture(spark: SparkSession, d: str) -> DataFrame:
     quotas = splits.quota_targets(1000, pipelines.SHARES)
-    return pipelines.stream_mixture(_all_pairs(spark, d), table(spark, d, "benchmark"), quotas).select("source", "id", "outcome", "position")
+    return pipelines.stream_mixture(_all_pairs(spark, d, disjoint=True), table(spark, d, "benchmark"), quotas).select("source", "id", "outcome", "position")
 
 
 @query()
 def stream_mixture_summary(spark: SparkSession, d: str) -> DataFrame:
     quotas = splits.quota_targets(1000, pipelines.SHARES)
-    return splits.intake_summary(pipelines.stream_mixture(_all_pairs(spark, d), table(spark, d, "benchmark"), quotas), quotas, source="source")
+    return splits.intake_summary(pipelines.stream_mixture(_all_pairs(spark, d, disjoint=True), table(spark, d, "benchmark"), quotas), quotas, source="source")
 
 
 @query()
 def finite_evaluation(spark: SparkSession, d: str) -> DataFrame:
-    return pipelines.finite_evaluation(_all_pairs(spark, d), table(spark, d, "benchmark")).select("source", "id", "partition")
+    return pipelines.finite_evaluation(_all_pairs(spark, d, disjoint=False), table(spark, d, "benchmark")).select("source", "id", "partition")
 
 
 @query()

@@ -62,6 +62,18 @@ def test_intake_status(spark):
     assert sum(r["outcome"] == "accepted" for r in read) == 3
 
 
+def test_coding_sources_share_the_whole_table(spark, data):
+    raw = table(spark, data, "raw_opencoder")
+    n = raw.count()
+    assert raw.where("seq_id is not null").count() > 0.9 * n
+    count = lambda disjoint: {r["source"]: r["count"] for r in catalogue._all_pairs(spark, data, disjoint=disjoint).groupBy("source").count().collect()}
+    whole, dealt = count(False), count(True)
+    assert whole["opencoder"] == whole["bigcode"] == n
+    assert dealt["opencoder"] + dealt["bigcode"] == n and min(dealt["opencoder"], dealt["bigcode"]) > 0.25 * n
+    made = catalogue._all_pairs(spark, data, disjoint=True).where("source in ('opencoder', 'bigcode')")
+    assert made.groupBy("instruction", "response").agg(F.countDistinct("source").alias("k")).where("k > 1").isEmpty()
+
+
 def test_jsonl_round_trip(spark, tmp_path):
     path = str(tmp_path / "records")
     rows = frame(spark, [record(1, category="größe 中"), record(2, tags=[])])
