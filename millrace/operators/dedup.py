@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions.text import exact_hash, prompt_shingles
 from millrace.session import materialize
 
-#: Rounds after which the keep-first rule must be done: the longest chain of records each near the one before.
+#: Rounds after which the keep-first rule must be done, or it raises: half the longest chain of records each near the one before.
 MAX_ROUNDS = 1000
 
 
@@ -128,6 +128,9 @@ def greedy_keep(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         undecided = materialize(undecided.join(done, "id", "left_anti"), "undecided")
         live = live.join(done.select(F.col("id").alias("a")), "a", "left_anti").join(done.select(F.col("id").alias("b")), "b", "left_anti")
         live = materialize(live, "live")
+    else:
+        if not undecided.isEmpty():
+            raise RuntimeError(f"records are still undecided after {MAX_ROUNDS} rounds")
     if dropped is None:
         return nodes.select("id", F.lit(None).cast(nodes.schema["id"].dataType).alias("kept_by"))
     # The rule names the first kept record near, which may have been kept in a later round than the one that dropped.

@@ -91,6 +91,16 @@ def test_keep_first_equals_the_sequential_rule(spark, texts):
     assert got == by
 
 
+def test_keep_first_decides_all_or_raises(spark, monkeypatch):
+    nodes = spark.range(6)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(5)], "a long, b long")
+    monkeypatch.setattr(dedup, "MAX_ROUNDS", 2)
+    with pytest.raises(RuntimeError, match="undecided"):
+        dedup.greedy_keep(nodes, edges)
+    monkeypatch.setattr(dedup, "MAX_ROUNDS", 3)
+    assert {r["id"]: r["kept_by"] for r in dedup.greedy_keep(nodes, edges).collect()} == {0: None, 1: 0, 2: None, 3: 2, 4: None, 5: 4}
+
+
 def test_links_count_every_similar_record(spark, texts):
     df, sets = sets_of(spark, texts)
     got = {r["id"]: r["n_links"] for r in dedup.near_duplicate_links(df, "t", "id", threshold=0.5).collect()}
