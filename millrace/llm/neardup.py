@@ -2,19 +2,19 @@
 
 Each record's set of word sequences is sketched by minwise hashing into a signature of SYMBOLS symbols. Two signatures'
 distance is the number of symbols that differ. A multi-index Hamming join finds close signatures: the signature is cut
-into CHUNKS chunks, and by the pigeonhole principle two signatures with at most CHUNKS * (ERRORS + 1) - 1 differing
-symbols agree in some chunk up to ERRORS symbols; so each chunk is indexed once for every set of symbols that may be
-left out, and pairs that meet under a key are compared on a b-bit form of the whole signature. What remains is verified
-on the exact sets.
+into chunks, and by the pigeonhole principle two signatures with at most 2 * chunks - 1 differing symbols agree in some
+chunk up to one symbol; so each chunk is indexed once for every symbol that may be left out, and pairs that meet under a
+key are compared on a b-bit form of the whole signature. The number of chunks follows from the distance that the
+similarity asks for, so that every pair within it meets. What remains is verified on the exact sets.
 
 Texts with the same words in the same order are one class from the start: only one representative of each is indexed.
-Keys that very many representatives share are paired in blocks, each against each, that are spread over tasks.
+Keys are counted before rows move: rows of keys that very many representatives share are dealt to blocks, which are
+paired each against each, spread over tasks; no task ever holds a whole such group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -26,16 +26,20 @@ from millrace.llm.graph import spanning_forest
 from millrace.llm.words import WORD, contents
 from millrace.session import materialize
 
-CHUNKS, SYMBOLS_PER_CHUNK, ERRORS = 9, 4, 1
-SYMBOLS = CHUNKS * SYMBOLS_PER_CHUNK
-#: Signatures that differ in at most so many symbols are certain to meet.
-GUARANTEED = CHUNKS * (ERRORS + 1) - 1
+SYMBOLS = 36
+#: Numbers of chunks that a signature may be cut into. With one symbol left out of each, c chunks have SYMBOLS keys of
+#: SYMBOLS / c - 1 symbols, and signatures that differ in up to 2 c - 1 symbols are certain to meet.
+CHUNKS = (4, 6, 9, 12, 18)
 #: Bits of a symbol in the compared form, and how many words of 64 bits hold it.
 BITS, PACKED = 5, 3
 #: Ids up to this number are sent to all tasks when texts are read again; more are joined.
 MAX_SENT = 1_000_000
-#: Representatives under one key from which on it is paired in blocks, and how many a block of it holds, about.
-HOT, DEEP = 1024, 4096
+#: Representatives under one key from which on its rows are dealt to blocks, and how many a block holds, about.
+HOT = BLOCK = 1024
+#: Parts of a hot key's rows if hot keys are joined.
+SALTS = 64
+#: Comparisons that are held in memory at once.
+AT_ONCE = 1 << 20
 FORM = [f"s{i}" for i in range(PACKED)]
 _U = np.uint64
 _MULTIPLIERS = np.random.default_rng(20240607).integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * _U(2) + _U(1)
@@ -92,12 +96,12 @@ def compared_form(symbols: np.ndarray) -> np.ndarray:
 
 
 def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """In how many symbols the rows of two compared forms differ."""
+    """In how many symbols compared forms differ; words lie along the last axis."""
     x = a ^ b
     any_bit = x
     for i in range(1, BITS):
         any_bit = any_bit | (x >> _U(i))
-    return np.bitwise_count(any_bit & _U(sum(1 << (BITS * i) for i in range(SYMBOLS // PACKED)))).sum(axis=1, dtype=np.int64)
+    return np.bitwise_count(any_bit & _U(sum(1 << (BITS * i) for i in range(SYMBOLS // PACKED)))).sum(axis=-1, dtype=np.int64)
 
 
 def allowed_distance(similarity: float) -> int:
@@ -106,6 +110,14 @@ def allowed_distance(similarity: float) -> int:
     return int(SYMBOLS * p + 3.2 * (SYMBOLS * p * (1 - p)) ** 0.5 + 0.5)
 
 
+def chunks_for(distance: int) -> int:
+    """The fewest chunks that make all signatures within ``distance`` meet: the fewer, the longer are the keys."""
+    for c in CHUNKS:
+        if 2 * c - 1 >= distance:
+            return c
+    raise ValueError(f"signatures that differ in {distance} of {SYMBOLS} symbols cannot be found for certain")
+
+
 def _batches(batch: pa.RecordBatch, step: int = 2_000_000) -> Iterator[tuple[int, list[list[str]]]]:
     """Runs of rows with about ``step`` characters, so that arrays stay small whatever a batch holds."""
     texts, size, first = [], 0, 0
@@ -145,124 +157,116 @@ def sign(df: DataFrame, key: str, text: Column, *, width: int) -> DataFrame:
     return df.select(F.col(key).cast("long").alias("id"), text.alias("text")).mapInArrow(run, "id long, copy_a long, copy_b long, sig array<int>, " + ", ".join(f"{c} long" for c in FORM))
 
 
-def _chunk_keys(chunk: int) -> list[Column]:
-    """Keys of a chunk, one for each way to leave ERRORS symbols out."""
-    kept = combinations(range(SYMBOLS_PER_CHUNK), SYMBOLS_PER_CHUNK - ERRORS)
-    sig = [F.col("sig")[chunk * SYMBOLS_PER_CHUNK + i] for i in range(SYMBOLS_PER_CHUNK)]
-    return [F.xxhash64(F.lit(chunk * 100 + v), *[sig[i] for i in at]) for v, at in enumerate(kept)]
+def _keys(chunks: int) -> list[Column]:
+    """Keys of all chunks, one for each symbol that is left out of its chunk."""
+    width = SYMBOLS // chunks
+    sig = [F.col("sig")[i] for i in range(SYMBOLS)]
+    return [F.xxhash64(F.lit(out), *[sig[i] for i in range(out // width * width, out // width * width + width) if i != out]) for out in range(SYMBOLS)]
+
+
+def _close(ids: np.ndarray, form: np.ndarray, others: np.ndarray, other_form: np.ndarray, distance: int, *, within: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of one side's ids with the other's, within ``distance``; ``within`` one side, each pair once."""
+    step = max(1, AT_ONCE // max(1, len(others)))
+    for i in range(0, len(ids), step):
+        near = differing(form[i : i + step, None], other_form[None]) <= distance
+        x, y = np.nonzero(np.triu(near, i + 1) if within else near)
+        a, b = ids[i : i + step][x], others[y]
+        if len(a):
+            yield a[a != b], b[a != b]
+
+
+def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
-def _meet(keyed: DataFrame, distance: int, hot: int) -> DataFrame:
-    """Pairs of ids under one key within ``distance``; rows of a key with more than ``hot`` ids come back with a null b."""
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows that are sorted by their first column, some whole groups at a time, and where the groups begin and end."""
+    held: list[np.ndarray] = []
+
+    def whole(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return rows, np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0], True])
+
+    for batch in batches:
+        rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+        if not len(rows):
+            continue
+        last = int(np.searchsorted(rows[:, 0], rows[-1, 0], side="left"))
+        if last == 0 and held and held[0][-1, 0] == rows[0, 0]:
+            held.append(rows)
+            continue
+        if held or last:
+            yield whole(np.concatenate([*held, rows[:last]]))
+        held = [rows[last:]]
+    if held:
+        yield whole(np.concatenate(held))
+
+
+def _meet(keyed: DataFrame, distance: int) -> DataFrame:
+    """Pairs of ids under one key within ``distance``; ``keyed`` is key, id and FORM, with HOT ids a key at the most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: np.ndarray | None = None
-        burning: int | None = None  # the key whose rows are handed on as they come
-
-        def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(a), pa.int64())], names=["a", "b", "key"])
-
-        def hand_on(rows: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(rows[:, 1]), pa.nulls(len(rows), pa.int64()), pa.array(rows[:, 0])], names=["a", "b", "key"])
-
-        def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            """Of rows of whole keys, sorted by key."""
-            key = rows[:, 0]
-            edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
-            sizes = np.repeat(np.diff(edge), np.diff(edge))
-            if (sizes > hot).any():
-                yield hand_on(rows[sizes > hot])
-            rows = rows[(sizes > 1) & (sizes <= hot)]
-            left = np.arange(len(rows))
-            for d in range(1, len(rows)):
-                left = left[left + d < len(rows)]
-                left = left[rows[left, 0] == rows[left + d, 0]]
+        for rows, edge in _grouped(batches):
+            sizes = np.diff(edge)
+            form = np.ascontiguousarray(rows[:, 2:]).view(_U)
+            for k in np.flatnonzero(sizes > 24):
+                g = slice(edge[k], edge[k + 1])
+                for a, b in _close(rows[g, 1], form[g], rows[g, 1], form[g], distance, within=True):
+                    yield _pair_batch(a, b)
+            # Of small groups the rows that lie d apart are compared, all groups at once.
+            small = np.repeat((sizes > 1) & (sizes <= 24), sizes)
+            key, ids, form = rows[small, 0], rows[small, 1], form[small]
+            left = np.arange(len(ids))
+            for d in range(1, 24):
+                left = left[left + d < len(ids)]
+                left = left[key[left] == key[left + d]]
                 if not len(left):
-                    return
-                x, y = rows[left], rows[left + d]
-                near = (differing(x[:, 2:].view(_U), y[:, 2:].view(_U)) <= distance) & (x[:, 1] != y[:, 1])
-                if near.any():
-                    yield out(x[near, 1], y[near, 1])
+                    break
+                near = left[(differing(form[left], form[left + d]) <= distance) & (ids[left] != ids[left + d])]
+                if len(near):
+                    yield _pair_batch(ids[near], ids[near + d])
 
-        for batch in batches:
-            rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
-            if burning is not None:
-                same = int(np.searchsorted(rows[:, 0], burning, side="right"))
-                if same:
-                    yield hand_on(rows[:same])
-                rows = rows[same:]
-                if not len(rows):
-                    continue
-                burning = None
-            if held is not None:
-                rows = np.concatenate([held, rows])
-            last = int(np.searchsorted(rows[:, 0], rows[-1, 0], side="left"))
-            yield from pairs(np.ascontiguousarray(rows[:last])) if last else ()
-            held = rows[last:]
-            if len(held) > hot:
-                burning = int(held[0, 0])
-                yield hand_on(held)
-                held = None
-        if held is not None:
-            yield from pairs(np.ascontiguousarray(held))
-
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, key long")
-
-
-def _meet_in_blocks(hot: DataFrame, distance: int) -> DataFrame:
-    """All pairs of ids under one key within ``distance``; ``hot`` is key, id and FORM.
-
-    A key's ids are dealt to blocks of about DEEP ids. A cell is two blocks, or one with itself: it is one task's work at
-    the most, and each pair of ids lies in one cell of its key.
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+
+
+def _meet_in_blocks(hot: DataFrame, distance: int, block: int) -> DataFrame:
+    """All pairs of ids under one key within ``distance``; ``hot`` is key, n (ids of the key), id and FORM.
+
+    A key's ids are dealt to blocks of about ``block`` ids. A cell is two blocks, or one with itself: it is one task's
+    work at the most, and each pair of ids lies in one cell of its key.
     """
-    blocks = hot.groupBy("key").agg(F.ceil(F.count("*") / DEEP).cast("int").alias("blocks"))
-    own = hot.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    own = hot.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = own.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     cell = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
     side = F.when(F.col("own") < F.col("other"), 0).when(F.col("own") > F.col("other"), 1).otherwise(2).cast("long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: np.ndarray | None = None
-
-        def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            """Of the rows of one cell."""
-            left, right = rows[rows[:, 1] != 1], rows[rows[:, 1] == 1]
-            within = left[0, 1] == 2 if len(left) else False
-            ids, others = left[:, 2], left[:, 2] if within else right[:, 2]
-            form = np.ascontiguousarray(left[:, 3:]).view(_U)
-            forms = form if within else np.ascontiguousarray(right[:, 3:]).view(_U)
-            for i in range(len(left)):
-                first = i + 1 if within else 0
-                near = others[first:][(differing(form[i], forms[first:]) <= distance) & (others[first:] != ids[i])]
-                if len(near):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(near, ids[i])), pa.array(np.maximum(near, ids[i]))], names=["a", "b"])
-
-        for batch in batches:
-            rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
-            if not len(rows):
-                continue
-            if held is not None:
-                rows = np.concatenate([held, rows])
-            edge = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
+        for rows, edge in _grouped(batches):
+            form = np.ascontiguousarray(rows[:, 3:]).view(_U)
             for start, end in zip(edge[:-1], edge[1:], strict=True):
-                yield from pairs(rows[start:end])
-            held = rows[edge[-1] :]
-        if held is not None:
-            yield from pairs(held)
+                x, y = (start + np.flatnonzero(rows[start:end, 1] == k) for k in (0, 1))
+                z = start + np.flatnonzero(rows[start:end, 1] == 2)
+                for left, right, within in ((x, y, False), (z, z, True)):
+                    for a, b in _close(rows[left, 2], form[left], rows[right, 2], form[right], distance, within=within):
+                        yield _pair_batch(a, b)
 
     return dealt.select(cell.alias("cell"), side.alias("side"), "id", *FORM).repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
 
 
-def candidates(signed: DataFrame, distance: int) -> DataFrame:
-    """Pairs of representatives that meet under a key, within ``distance``; ``signed`` is a table of id, sig and FORM."""
-    keys = [k for c in range(CHUNKS) for k in _chunk_keys(c)]
+def candidates(signed: DataFrame, distance: int, *, hot: int = HOT, block: int = BLOCK) -> DataFrame:
+    """All pairs of representatives within ``distance``; ``signed`` is a table of id, sig and FORM."""
+    keys = _keys(chunks_for(distance))
     keyed = signed.where("sig is not null").select(F.explode(F.array(*keys)).alias("key"), "id", *FORM)
-    met = materialize(_meet(keyed, distance, HOT), "met")
-    found = met.where("b is not null").select("a", "b")
-    hot = met.where("b is null").select(F.col("a").alias("id"), "key")
-    if not hot.isEmpty():
-        found = found.unionByName(_meet_in_blocks(hot.join(signed.select("id", *FORM), "id").select("key", "id", *FORM), distance))
-    return found.distinct()
+    burning = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot), "hot")
+    n = burning.count()
+    if not n:
+        return _meet(keyed, distance).distinct()
+    if n <= MAX_SENT:
+        cold, many = keyed.join(F.broadcast(burning), "key", "left_anti"), keyed.join(F.broadcast(burning), "key")
+    else:  # too many to be sent along: joined, each under several numbers, so that no task gets all rows of a key
+        salted = keyed.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+        each = burning.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        cold, many = salted.join(each, ["key", "salt"], "left_anti").drop("salt"), salted.join(each, ["key", "salt"]).drop("salt")
+    return _meet(cold, distance).unionByName(_meet_in_blocks(many.select("key", "n", "id", *FORM), distance, block)).distinct()
 
 
 def _sets(df: DataFrame, key: str, text: Column, ids: DataFrame, width: int) -> DataFrame:
@@ -281,16 +285,26 @@ def _sets(df: DataFrame, key: str, text: Column, ids: DataFrame, width: int) ->
     return rows.select("id", "text").mapInArrow(run, "id long, set binary")
 
 
+def _numbered(sets: pa.Array, first: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The 48-bit hashes of some rows' sets, each with its row's number in the upper bits, and the sets' sizes."""
+    parts = [np.frombuffer(s.as_buffer(), dtype=np.uint8).reshape(-1, 6) for s in sets.slice(first, end - first)]
+    n = np.array([len(p) for p in parts])
+    flat = np.zeros((n.sum(), 8), np.uint8)
+    flat[:, :6] = np.concatenate(parts)
+    return flat.view(_U).ravel() | np.repeat(np.arange(end - first, dtype=_U) << _U(48), n), n
+
+
 def _verify(pairs: DataFrame, similarity: float) -> DataFrame:
+    """a, b, similarity of the pairs whose sets are similar enough; all sets of a run of rows are intersected at once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sims = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), dtype="V6"), np.frombuffer(y.as_buffer(), dtype="V6")
-                both = len(set(x.tolist()).intersection(y.tolist()))
-                sims.append(both / max(1, len(x) + len(y) - both))
-            keep = pa.array([s >= similarity for s in sims])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], names=["a", "b", "similarity"]).filter(keep)
+            for i in range(0, batch.num_rows, 4096):
+                part = batch.slice(i, 4096)
+                (x, n), (y, m) = (_numbered(part.column(c), 0, part.num_rows) for c in (2, 3))
+                both = np.bincount((np.intersect1d(x, y, assume_unique=True) >> _U(48)).astype(np.int64), minlength=part.num_rows)
+                sims = both / np.maximum(1, n + m - both)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sims)], names=["a", "b", "similarity"]).filter(pa.array(sims >= similarity))
 
     return pairs.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long, similarity double")
 
@@ -320,13 +334,14 @@ class NearDuplicates:
         return across.unionByName(copies)
 
 
-def near_duplicates(df: DataFrame, text: Column, *, key: str = "row_id", width: int = 5, similarity: float = 0.8) -> NearDuplicates:
+def near_duplicates(df: DataFrame, text: Column, *, key: str = "row_id", width: int = 5, similarity: float = 0.8, hot: int = HOT, block: int = BLOCK) -> NearDuplicates:
     """Find records whose sets of ``width``-word sequences have a Jaccard similarity of at least ``similarity``.
 
     ``key`` is a unique integer. A null or blank text, or one with fewer than ``width`` words, has no sequences and is
     like no other; it forms a class with rows of the same words, but no pairs. Repeated rows under other keys are
-    copies. Rows with a null key are left out. Distances up to GUARANTEED differing symbols are found for certain;
-    pairs are exact, as sets are compared. An empty table gives empty tables.
+    copies. Rows with a null key are left out. All pairs within :func:`allowed_distance` are found for certain, and a
+    similarity that no layout can guarantee is refused; pairs are exact, as sets are compared. An empty table gives
+    empty tables.
     """
     rows = df.where(F.col(key).isNotNull())
     signed = materialize(sign(rows, key, text, width=width), "signed")
@@ -335,7 +350,7 @@ def near_duplicates(df: DataFrame, text: Column, *, key: str = "row_id", width:
     members = materialize(members, "members")
     firsts = members.where("id = rep and has_words").select("id")
     alone = signed.join(firsts, "id", "left_semi")
-    pairs = materialize(candidates(alone, allowed_distance(similarity)), "pairs")
+    pairs = materialize(candidates(alone, allowed_distance(similarity), hot=hot, block=block), "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = materialize(_sets(rows, key, text, ids, width), "sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")

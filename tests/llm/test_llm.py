@@ -234,15 +234,12 @@ def corpus():
     return out + [(1000, None), (1001, " "), (1002, "two words"), (1003, "two words"), (1004, "a b c"), (1005, "A, b - c!"), (1006, "z " * 30000)]
 
 
-@pytest.mark.parametrize("hot", [False, True])
-def test_near_duplicates_equal_brute_force(spark, corpus, monkeypatch, hot):
-    if hot:  # then every key with two ids is split by a second and a third chunk
-        monkeypatch.setattr(neardup, "HOT", 1)
-        monkeypatch.setattr(neardup, "DEEP", 1)
+@pytest.mark.parametrize("hot", [neardup.HOT, 1])
+def test_near_duplicates_equal_brute_force(spark, corpus, hot):
     df = spark.createDataFrame([(i, t, "a", 0) for i, t in corpus], "row_id long, t string, rep string, sig int")
-    got = {(r["a"], r["b"]) for r in neardup.near_duplicates(df, F.col("t"), width=3, similarity=0.6).pairs().collect()}
+    got = {(r["a"], r["b"]) for r in neardup.near_duplicates(df, F.col("t"), width=3, similarity=0.6, hot=hot, block=2).pairs().collect()}
     want = similar(corpus, 3, 0.6)
-    assert got <= want and len(got) >= (0.97 if hot else 0.995) * len(want) and len(want) > 100
+    assert got <= want and len(got) >= 0.995 * len(want) and len(want) > 100
 
 
 def test_groups_and_links(spark, corpus):
@@ -258,30 +255,60 @@ def test_groups_and_links(spark, corpus):
     assert all(rows[i][1] == count[i] for i in rows if i < 1000)
 
 
-def test_signature_guarantee():
-    """Signatures with GUARANTEED differing symbols agree in all but ERRORS symbols of some chunk."""
+@pytest.mark.parametrize("similarity", [0.5, 0.6, 0.7, 0.8, 0.9])
+def test_signature_guarantee(similarity):
+    """However the allowed number of symbols is chosen to differ, some chunk keeps all its symbols but one."""
     rng = random.Random(4)
+    distance = neardup.allowed_distance(similarity)
+    width = neardup.SYMBOLS // neardup.chunks_for(distance)
     for _ in range(500):
-        off = set(rng.sample(range(neardup.SYMBOLS), neardup.GUARANTEED))
-        assert any(sum(c * neardup.SYMBOLS_PER_CHUNK + i in off for i in range(neardup.SYMBOLS_PER_CHUNK)) <= neardup.ERRORS for c in range(neardup.CHUNKS))
+        off = set(rng.sample(range(neardup.SYMBOLS), distance))
+        assert any(len(off.intersection(range(c, c + width))) <= 1 for c in range(0, neardup.SYMBOLS, width))
+    with pytest.raises(ValueError):
+        neardup.chunks_for(36)
 
 
-def test_pairs_under_a_hot_key_are_complete(spark, monkeypatch):
+def signed_table(spark, symbols):
+    form = neardup.compared_form(symbols)
+    rows = [(i, [int(x) for x in symbols[i]], *(int(x) for x in form[i].view(np.int64))) for i in range(len(symbols))]
+    return spark.createDataFrame(rows, "id long, sig array<int>, " + ", ".join(f"{f} long" for f in neardup.FORM)), form
+
+
+@pytest.mark.parametrize("hot", [1, 4, 1024])
+@pytest.mark.parametrize("similarity", [0.6, 0.8])
+def test_all_pairs_within_the_distance_meet(spark, hot, similarity):
+    """Signatures made at every distance around the allowed one, from few bases so that most keys are shared."""
+    rng = np.random.default_rng(8)
+    distance = neardup.allowed_distance(similarity)
+    bases = rng.integers(0, 1 << 31, (6, neardup.SYMBOLS), dtype=np.uint64)
+    symbols = []
+    for i in range(240):
+        row = bases[i % 6].copy()
+        off = rng.choice(neardup.SYMBOLS, i % (distance + 2), replace=False)
+        row[off] = rng.integers(0, 1 << 31, len(off), dtype=np.uint64)
+        symbols.append(row)
+    symbols = np.array(symbols)
+    signed, form = signed_table(spark, symbols)
+    got = [(r["a"], r["b"]) for r in neardup.candidates(signed, distance, hot=hot, block=16).collect()]
+    whole = (symbols[:, None] != symbols[None]).sum(axis=2)
+    close = {(i, j) for i in range(len(symbols)) for j in range(i + 1, len(symbols)) if whole[i, j] <= distance}
+    assert close <= set(got) and len(got) == len(set(got)) and len(close) > 1000
+    assert all(neardup.differing(form[a], form[b]) <= distance for a, b in got)
+
+
+def test_pairs_under_a_hot_key_are_complete(spark):
     """All agree in the first chunk; two differ in two symbols of every other chunk, so that they meet in the first only."""
-    monkeypatch.setattr(neardup, "DEEP", 300)
+    width = neardup.SYMBOLS // neardup.chunks_for(23)
     rng = np.random.default_rng(3)
     symbols = rng.integers(0, 1 << 31, (neardup.HOT + 76, neardup.SYMBOLS), dtype=np.uint64)
-    symbols[:, : neardup.SYMBOLS_PER_CHUNK] = symbols[0, : neardup.SYMBOLS_PER_CHUNK]
+    symbols[:, :width] = symbols[0, :width]
     symbols[900] = symbols[7]
-    for c in range(1, neardup.CHUNKS):
-        symbols[900, c * neardup.SYMBOLS_PER_CHUNK : c * neardup.SYMBOLS_PER_CHUNK + 2] ^= np.uint64(1)
-    form = neardup.compared_form(symbols)
-    rows = [(i, [int(x) for x in symbols[i]], *(int(x) for x in form[i].view(np.int64))) for i in range(len(symbols))]
-    signed = spark.createDataFrame(rows, "id long, sig array<int>, " + ", ".join(f"{f} long" for f in neardup.FORM))
-    # At 30 some pairs are within the distance by chance; all of them lie under the hot key.
-    got = [(r["a"], r["b"]) for r in neardup.candidates(signed, 30).collect()]
-    want = {(i, i + 1 + int(j)) for i in range(len(symbols)) for j in np.flatnonzero(neardup.differing(form[i], form[i + 1 :]) <= 30)}
-    assert (7, 900) in want and len(want) > 1000 and len(got) == len(set(got)) and set(got) == want
+    for c in range(width, neardup.SYMBOLS, width):
+        symbols[900, c : c + 2] ^= np.uint64(1)
+    signed, form = signed_table(spark, symbols)
+    got = [(r["a"], r["b"]) for r in neardup.candidates(signed, 23, block=300).collect()]
+    want = {(i, i + 1 + int(j)) for i in range(len(symbols)) for j in np.flatnonzero(neardup.differing(form[i], form[i + 1 :]) <= 23)}
+    assert (7, 900) in want and len(got) == len(set(got)) and set(got) == want
 
 
 def test_near_duplicates_of_nothing(spark):
