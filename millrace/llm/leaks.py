@@ -3,10 +3,12 @@
 The items' words make one generalised suffix automaton. A document's words are streamed through it; the length matched
 at each word is the longest run ending there that some item contains. Where it reaches the least length, the state that
 holds the run's last ``length`` words knows every item that contains them, so no pair of document and item is missed.
+Workers build the automaton from the items' words, once a process.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +22,9 @@ from millrace.llm.words import WORD
 LENGTH = 13
 #: Share of a document's words in leaked runs from which on the whole document is to be dropped.
 COVERAGE = 0.5
-#: Words of items in one automaton; more items are searched for in further passes over the documents.
-MAX_WORDS = 2_000_000
+#: Words of items in one automaton, which takes about 700 bytes a word; more items are searched for in further passes
+#: over the documents.
+MAX_WORDS = 250_000
 #: Separates items in the word stream; no word has this number.
 _NONE = -1
 
@@ -120,11 +123,31 @@ class SuffixAutomaton:
         return items, spans
 
 
+def words_of(text: str) -> tuple[list[str], str]:
+    """The words in lower case, and a text in which they stand at the same places as in ``text``."""
+    low = text.lower()
+    if len(low) == len(text):
+        return WORD.findall(low), low
+    # A letter that becomes two in lower case would move all behind it, and may be cut by its accent.
+    return [w.lower() for w in WORD.findall(text)], text
+
+
+_BY_ITEMS: dict[str, SuffixAutomaton] = {}
+
+
+def _automaton(block: list[tuple[int, list[str]]], length: int, digest: str) -> SuffixAutomaton:
+    """A process keeps the last automaton that it built: its tasks follow one another through one block."""
+    if digest not in _BY_ITEMS:
+        _BY_ITEMS.clear()
+        _BY_ITEMS[digest] = SuffixAutomaton(block, length)
+    return _BY_ITEMS[digest]
+
+
 def _blocks(items: DataFrame, key: str, text: str, limit: int) -> Iterator[list[tuple[int, list[str]]]]:
-    """The items, as many at a time as one automaton may hold."""
+    """The items, as many at a time as one automaton may hold; an item with more words is a block of its own."""
     block, size = [], 0
     for item, t in items.select(key, text).where(f"`{key}` is not null and `{text}` is not null").orderBy(key).toLocalIterator():
-        words = WORD.findall(t.lower())
+        words, _ = words_of(t)
         if size + len(words) > limit and block:
             yield block
             block, size = [], 0
@@ -134,45 +157,73 @@ def _blocks(items: DataFrame, key: str, text: str, limit: int) -> Iterator[list[
         yield block
 
 
+_SPAN = ("first", "end", "first_char", "end_char")
+_SPANS = pa.list_(pa.struct([(n, pa.int64()) for n in _SPAN]))
+
+
 def leaks(docs: DataFrame, items: DataFrame, *, doc_key: str = "doc_id", doc_text: str = "text", item_key: str = "item_id", item_text: str = "text", length: int = LENGTH, max_words: int = MAX_WORDS) -> DataFrame:
     """Documents that share a run of at least ``length`` words with an item.
 
-    One row per such document (and per block of items, if items exceed ``max_words``): key, items, n_words, spans
-    (first word, behind the last word, first character, behind the last character), coverage (share of words in spans).
-    Null and blank texts, and items with fewer words, match nothing; repeated items are reported under each key. Copies
-    of a document are reported each. Empty tables give no rows.
+    One row per such document: key, items, n_words, spans (first word, behind the last word, first character, behind the
+    last character; rising and apart), coverage (share of words in spans). ``doc_key`` is unique. Null and blank texts,
+    and items with fewer words, match nothing; repeated items are reported under each key. Copies of a document are
+    reported each. Empty tables give no rows. Items beyond ``max_words`` cost one more pass over the documents for each
+    such block; what the passes found is then merged by document.
     """
     schema = docs.select(doc_key).schema.add("items", _longs()).add("n_words", "long").add("spans", _spans()).add("coverage", "double")
-    out = None
+    out, passes = None, 0
     for block in _blocks(items, item_key, item_text, max_words):
-        automaton = SuffixAutomaton(block, length)
+        digest = hashlib.sha256(repr((length, block)).encode("utf-8", "surrogatepass")).hexdigest()
 
-        def run(batches: Iterator[pa.RecordBatch], automaton: SuffixAutomaton = automaton) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], block: list = block, digest: str = digest) -> Iterator[pa.RecordBatch]:
+            automaton = _automaton(block, length, digest)
             for batch in batches:
                 at, found = [], ([], [], [], [])
                 for i, t in enumerate(batch.column(1).to_pylist()):
                     if not t:
                         continue
-                    low = t.lower()
-                    words = WORD.findall(low)
+                    words, placed = words_of(t)
                     hit, spans = automaton.search(words)
                     if not hit:
                         continue
-                    # Lower case may have other lengths than the text; offsets are then found word by word in the text.
-                    places = [m.span() for m in WORD.finditer(t if len(low) == len(t) else low)]
+                    places = [m.span() for m in WORD.finditer(placed)]
                     at.append(i)
                     found[0].append(sorted(hit))
                     found[1].append(len(words))
-                    found[2].append([{"first": a, "end": b, "first_char": places[a][0], "end_char": places[b - 1][1]} for a, b in spans])
+                    found[2].append([dict(zip(_SPAN, (a, b, places[a][0], places[b - 1][1]), strict=True)) for a, b in spans])
                     found[3].append(sum(b - a for a, b in spans) / len(words))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(at, pa.int64())), pa.array(found[0], pa.list_(pa.int64())), pa.array(found[1], pa.int64()), pa.array(found[2], pa.list_(pa.struct([(n, pa.int64()) for n in ("first", "end", "first_char", "end_char")]))), pa.array(found[3], pa.float64())],
+                    [batch.column(0).take(pa.array(at, pa.int64())), pa.array(found[0], pa.list_(pa.int64())), pa.array(found[1], pa.int64()), pa.array(found[2], _SPANS), pa.array(found[3], pa.float64())],
                     names=[doc_key, "items", "n_words", "spans", "coverage"],
                 )
 
         part = docs.select(doc_key, doc_text).mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
-    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+        passes += 1
+    if out is None:
+        return docs.sparkSession.createDataFrame([], schema)
+    return out if passes == 1 else _merged(out, doc_key)
+
+
+def _merged(found: DataFrame, doc_key: str) -> DataFrame:
+    """One row per document of the passes' rows: spans that touch or overlap become one."""
+    whole = found.groupBy(doc_key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, shares = [], []
+            for spans, n in zip(batch.column(3).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                kept = []
+                for s in spans:
+                    if kept and s["first"] <= kept[-1]["end"]:
+                        kept[-1]["end"], kept[-1]["end_char"] = max(kept[-1]["end"], s["end"]), max(kept[-1]["end_char"], s["end_char"])
+                    else:
+                        kept.append(s)
+                rows.append(kept)
+                shares.append(sum(s["end"] - s["first"] for s in kept) / n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(rows, _SPANS), pa.array(shares, pa.float64())], names=[doc_key, "items", "n_words", "spans", "coverage"])
+
+    return whole.mapInArrow(run, found.schema)
 
 
 def _longs():
@@ -180,7 +231,7 @@ def _longs():
 
 
 def _spans():
-    return T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("first", "end", "first_char", "end_char")]))
+    return T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in _SPAN]))
 
 
 def leaked_pairs(found: DataFrame, *, doc_key: str = "doc_id") -> DataFrame:
@@ -188,12 +239,18 @@ def leaked_pairs(found: DataFrame, *, doc_key: str = "doc_id") -> DataFrame:
     return found.select(doc_key, F.explode("items").alias("item_id")).distinct()
 
 
+def leak_report(found: DataFrame, *, doc_key: str = "doc_id", coverage: float = COVERAGE) -> DataFrame:
+    """By leaking document: n_items, n_words, leaked_words (words in spans) and whether it is to be dropped whole."""
+    leaked = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"])
+    return found.select(doc_key, F.size("items").cast("long").alias("n_items"), "n_words", leaked.alias("leaked_words"), (F.col("coverage") > coverage).alias("dropped"))
+
+
 def scrub(docs: DataFrame, found: DataFrame, *, doc_key: str = "doc_id", doc_text: str = "text", coverage: float = COVERAGE) -> DataFrame:
     """``docs`` without leaks: spans are cut out, documents whose ``coverage`` exceeds the limit are left out.
 
-    ``found`` is of one block. Rows without a leak pass as they are, null texts too.
+    ``found`` is what :func:`leaks` gives, one row per document. Rows without a leak pass as they are, null texts too.
     """
-    mine = found.select(F.col(doc_key).alias("__key"), F.col("spans").alias("__spans"), F.col("coverage").alias("__coverage")).dropDuplicates(["__key"])
+    mine = found.select(F.col(doc_key).alias("__key"), F.col("spans").alias("__spans"), F.col("coverage").alias("__coverage"))
     joined = docs.join(mine, docs[doc_key] == F.col("__key"), "left").where(F.coalesce(F.col("__coverage") <= coverage, F.lit(True)))
     text = F.col(doc_text)
     starts = F.concat(F.array(F.lit(0).cast("long")), F.transform("__spans", lambda s: s["end_char"]))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm.leaks import leaked_pairs, leaks, scrub
+from millrace.llm.leaks import leak_report, leaked_pairs, leaks, scrub
 from millrace.llm.mixing import Mixture, mix
 from millrace.llm.neardup import similar_conversations
 from millrace.llm.packing import fill_report, pack_conversations
@@ -75,6 +75,11 @@ def p6_scrubbed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scrub(docs, materialize(leaks(docs, table(spark, sf_dir, "benchmark")), "leaks"))
 
 
+def p6_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every leaking document how much leaked, and whether p6_scrubbed leaves it out."""
+    return leak_report(leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def _mixture(spark: SparkSession, sf_dir: str) -> Mixture:
     """The target table has a row per source."""
     targets = table(spark, sf_dir, "mix_targets").where("source is not null").orderBy("source").select("source", "target_share", "max_repeats").collect()
@@ -97,7 +102,7 @@ def p8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_kinds(table(spark, sf_dir, "documents"))
 
 
-_ALL = (p1_token_budget, p2_packed, p2_fill, p3_found, p3_split, p3_shares, p4_found, p4_groups, p5_found, p6_found, p6_scrubbed, p7_mixture, p7_shares, p8_found, p8_lines)
+_ALL = (p1_token_budget, p2_packed, p2_fill, p3_found, p3_split, p3_shares, p4_found, p4_groups, p5_found, p6_found, p6_scrubbed, p6_coverage, p7_mixture, p7_shares, p8_found, p8_lines)
 
 
 def queries() -> dict[str, Query]:
@@ -134,6 +139,15 @@ ORACLE = {
         n AS (SELECT row_id, count(*) AS n FROM s GROUP BY 1),
         p AS (SELECT a.row_id AS row_id_a, b.row_id AS row_id_b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.row_id < b.row_id GROUP BY 1, 2)
         SELECT row_id_a, row_id_b FROM p JOIN n x ON x.row_id = row_id_a JOIN n y ON y.row_id = row_id_b WHERE k >= 0.6 * (x.n + y.n - k)""",
+    "p6_coverage": """
+        WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+        b AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark WHERE text IS NOT NULL),
+        dg AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w)),
+        bg AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' '))) AS g FROM b),
+        hit AS (SELECT doc_id, i, item_id FROM dg JOIN bg USING (g)),
+        gone AS (SELECT doc_id, count(DISTINCT place) AS leaked_words FROM (SELECT doc_id, unnest(range(i, i + 13)) AS place FROM hit) GROUP BY doc_id),
+        n AS (SELECT doc_id, count(DISTINCT item_id) AS n_items FROM hit GROUP BY doc_id)
+        SELECT doc_id, n_items, len(w)::BIGINT AS n_words, leaked_words, leaked_words > 0.5 * len(w) AS dropped FROM gone JOIN n USING (doc_id) JOIN w USING (doc_id)""",
     "p6_found": """
         WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
         b AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark WHERE text IS NOT NULL),

@@ -403,12 +403,56 @@ def test_leaks_and_scrubbing(spark):
     found = leaks.leaks(docs, items).cache()
     assert {(r["doc_id"], r["item_id"]) for r in leaks.leaked_pairs(found).collect()} == {(d, i) for d in (1, 2) for i in (1, 2, 5)}
     blocks = leaks.leaks(docs, items, max_words=10)
-    assert leaks.leaked_pairs(blocks).count() == 6
+    assert sorted(map(str, blocks.collect())) == sorted(map(str, found.collect()))
     clean = {r["doc_id"]: r["text"] for r in leaks.scrub(docs, found).collect()}
     assert set(clean) == {1, 3, 4, 5, 6} and "WORD7" not in clean[1] and clean[1].startswith("İntro text. ") and clean[1].endswith("as it is here.")
+    assert clean[1] == rows[0][1].replace(part, "") and clean[4] is None and clean[6] == rows[5][1]
     assert leaks.leaks(docs.limit(0), items).count() == leaks.leaks(docs, items.limit(0)).count() == 0
 
 
+def scrubbed(text, items, length):
+    """Brute force: every word in a shared run goes, with all that stands between two such words that follow each other."""
+    places = [(m.group().lower(), *m.span()) for m in words.WORD.finditer(text)]
+    grams = {tuple(w[i : i + length]) for w in ([m.group().lower() for m in words.WORD.finditer(t)] for t in items) for i in range(len(w) - length + 1)}
+    gone = [False] * len(places)
+    for i in range(len(places) - length + 1):
+        if tuple(p[0] for p in places[i : i + length]) in grams:
+            gone[i : i + length] = [True] * length
+    out, i = text, len(places)
+    while i:
+        i -= 1
+        if gone[i]:
+            end = places[i][2]
+            while i and gone[i - 1]:
+                i -= 1
+            out = out[: places[i][1]] + out[end:]
+    return out, sum(gone), len(places)
+
+
+@pytest.mark.parametrize("max_words", [1, 40, 10**6])
+def test_scrubbing_equals_brute_force(spark, max_words):
+    """Many blocks, runs of several items that overlap, and letters whose lower case is longer."""
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(30)] + ["İzmir", "Straße", "ÉTÉ", "中", "DŽ"]
+    items = [" ".join(rng.choices(vocabulary, k=rng.randint(3, 30))) for _ in range(12)]
+    docs = []
+    for i in range(60):
+        parts = [rng.choice(["İ! ", "-- ", "\n", "(x) "]).join(rng.choices(vocabulary, k=rng.randint(0, 40))) for _ in range(3)]
+        for _ in range(rng.randint(0, 3)):
+            w = rng.choice(items).split()
+            at = rng.randrange(len(w))
+            parts.insert(rng.randrange(3), " ".join(w[at : at + rng.randint(1, 15)]).upper().replace(" ", rng.choice([" ", ", ", "\n"])))
+        docs.append((i, " ".join(parts)))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = leaks.leaks(d, b, length=4, max_words=max_words).cache()
+    want = {i: scrubbed(t, items, 4) for i, t in docs}
+    report = {r["doc_id"]: r for r in leaks.leak_report(found).collect()}
+    assert {i: (r["leaked_words"], r["n_words"]) for i, r in report.items()} == {i: w[1:] for i, w in want.items() if w[1]} and len(report) > 20
+    assert {i for i, r in report.items() if r["dropped"]} == {i for i, w in want.items() if w[1] > 0.5 * w[2]}
+    clean = {r["doc_id"]: r["text"] for r in leaks.scrub(d, found).collect()}
+    assert clean == {i: w[0] for i, w in want.items() if not w[1] or w[1] <= 0.5 * w[2]}
+
+
 # ---------------------------------------------------------------- problem 7
 
 
