@@ -1,8 +1,8 @@
 """Broken prompt and response pairs (problem 5).
 
 A reply is held against its question: shingle containment and the longest common subsequence, sentence by sentence, tell
-copies, however reordered; sentences aligned to refusal templates tell refusals; function words tell languages; open
-fences, dangling marks and a model of how list items end tell truncation.
+copies, however reordered; sentences aligned to refusal templates tell refusals; a language model tells languages; open
+fences, dangling marks and counts of how list items end tell truncation. How items end is counted over all conversations.
 """
 
 from __future__ import annotations
@@ -14,12 +14,17 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from millrace.llm.words import ASKERS, CJK, LANGUAGES, REPLIERS, prose, role, votes
-from millrace.operators.splits import bounded_sample
+from millrace.llm.words import ASKERS, CJK, REPLIERS, LanguageModel, prose, role, seeded
+from millrace.session import materialize
 
-#: Replies of about so many conversations, chosen by hash, teach how complete list items end; twice as many at the most.
-ENDINGS_SAMPLE = 4000
+#: An ending is complete if it ends at least this share of its occurrences in list items.
+ENDS = 0.02
+#: Doubtful endings up to this number are sent along to be counted; more are joined to the counts of all endings.
+MAX_SENT = 200_000
+#: Endings that a task counts before it hands them on.
+COUNTED = 200_000
 #: A reply is a copy if this share of it lies in the question.
 COPIED = 0.78
 #: A sentence of more than four words with less than this share in the question is the reply's own.
@@ -28,6 +33,8 @@ OWN = 0.65
 HELP = 40
 #: Share of a template that a sentence must hold, in order.
 ALIGNED = 0.8
+#: A question and a reply are in two languages if each is likelier in its own by so much, in all and a word.
+MARGIN, MARGIN_A_WORD = 30.0, 3.0
 
 # Sentences that decline, by their words.
 REFUSALS = """
@@ -147,10 +154,20 @@ def _without_intro(reply: str) -> str:
     return rest if colon and rest.strip() and len(tokens(head)) <= 5 else reply
 
 
+def _run_within(said: list[str], asked: list[str]) -> bool:
+    return any(asked[i : i + len(said)] == said for i in range(len(asked) - len(said) + 1))
+
+
 def is_copy(question: str, reply: str) -> bool:
-    """Whether the reply is the question or a part of it, perhaps reordered, altered or introduced, and nothing else."""
+    """Whether the reply is the question or a part of it, perhaps reordered, altered or introduced, and nothing else.
+
+    Where either has less than four words, the reply must be a run of the question's words and at least half of it: a
+    short answer may well repeat a word of the question.
+    """
     asked, said = tokens(question), tokens(reply)
-    if len(said) < 4 or len(asked) < 4 or containment(said, asked) < 0.3:
+    if len(said) < 4 or len(asked) < 4:
+        return any(0 < len(x) and 2 * len(x) >= len(asked) and _run_within(x, asked) for x in (said, tokens(_without_intro(reply))))
+    if containment(said, asked) < 0.3:
         return False
     for text in (reply, _without_intro(reply)):
         sentences = [s for s in map(tokens, _SENTENCE.split(text)) if s]
@@ -163,61 +180,54 @@ def is_copy(question: str, reply: str) -> bool:
 
 
 def is_refusal(reply: str) -> bool:
+    """Whether any sentence declines, with hardly a word of help beside it."""
     if "```" in reply:
         return False
     sentences = [s for s in map(tokens, _SENTENCE.split(reply)) if s]
     whole = sum(map(len, sentences))
-    for s in sentences[:3]:
-        rest = whole - len(s)
-        if rest <= HELP * (2 if CJK.search(reply) else 1) and any(common_subsequence(s, t) >= ALIGNED * len(t) for t in _TEMPLATES):
-            return True
-    return False
+    help_ = HELP * (2 if CJK.search(reply) else 1)
+    return any(whole - len(s) <= help_ and any(common_subsequence(s, t) >= ALIGNED * len(t) for t in _TEMPLATES) for s in sentences)
 
 
-def is_foreign(question: str, reply: str) -> bool:
+def is_foreign(question: str, reply: str, model: LanguageModel) -> bool:
     """Whether the reply's prose is in another language than the question, which doesn't name it."""
-    q, r = votes(prose(question)), votes(prose(reply))
-    lq, lr = max(range(5), key=q.__getitem__), max(range(5), key=r.__getitem__)
-    if lq == lr or q[lq] < 24 or r[lr] < 24 or r[lr] < 2 * r[lq] or q[lq] < 1.5 * q[lr]:
+    (q, nq), (r, nr) = model.evidence(prose(question)), model.evidence(prose(reply))
+    lq, lr = q.index(max(q)), r.index(max(r))
+    if lq == lr or min(q[lq] - q[lr] - MARGIN_A_WORD * nq, r[lr] - r[lq] - MARGIN_A_WORD * nr) < 0 or min(q[lq] - q[lr], r[lr] - r[lq]) < MARGIN:
         return False
-    return not _ASKED[LANGUAGES[lr]].search(question.lower())
+    asked = _ASKED.get(model.languages[lr])
+    return not (asked and asked.search(question.lower()))
 
 
-def _ending(item: str) -> tuple[str, str]:
-    """The shapes of the last two words of a list item."""
-    for pattern, shape in _SHAPES:
-        item = pattern.sub(shape, item)
-    last = _TOKEN.findall(item)[-2:]
-    return tuple(["", *last][-2:]) if last else ("", "")
-
-
-class Endings:
-    """Which words complete list items end with, learned from items that a further line follows."""
-
-    def __init__(self, replies: list[str] = ()) -> None:
-        self.pairs: Counter = Counter()
-        self.last: Counter = Counter()
-        self.inside: Counter = Counter()
-        for reply in replies:
-            lines = reply.split("\n")
-            for line, after in zip(lines, lines[1:], strict=False):
-                m = _ITEM.match(line)
-                if m and after.strip():
-                    e = _ending(m[1])
-                    self.pairs[e] += 1
-                    self.last[e[1]] += 1
-                    words = m[1].split()
-                    for i in range(1, len(words)):
-                        self.inside[_ending(" ".join(words[:i]))] += 1
-
-    def complete(self, item: str) -> bool:
-        if not self.last:
-            return True
-        e = _ending(item)
-        return self.pairs[e] > 0 and self.pairs[e] >= 0.02 * self.inside[e] or (not self.inside[e] and self.last[e[1]] >= 3)
+Ending = tuple[str, str]
 
 
-def is_truncated(reply: str, endings: Endings) -> bool:
+def item_endings(item: str) -> list[Ending]:
+    """The shapes of the last two words of a list item, after each of its words: the last is the item's own ending."""
+    for pattern, shape in _SHAPES:
+        item = pattern.sub(shape, item)
+    out, last = [], ("", "")
+    for word in item.split():
+        for w in _TOKEN.findall(word):
+            last = (last[1], w)
+        out.append(last)
+    return out
+
+
+def count_endings(reply: str, ended: Counter, inner: Counter) -> None:
+    """Count how list items end that a further line follows, and what stands within them; single last words under a None."""
+    lines = reply.split("\n")
+    for line, after in zip(lines, lines[1:], strict=False):
+        m = _ITEM.match(line)
+        if m and after.strip():
+            *within, end = item_endings(m[1]) or [("", "")]
+            for e, of in ((end, ended), *((e, inner) for e in within)):
+                of[e] += 1
+                of[None, e[1]] += 1
+
+
+def is_truncated(reply: str) -> bool | Ending:
+    """Whether the reply breaks off; of a list item without a mark the ending, which the counts of endings decide on."""
     text = reply.rstrip()
     if text.count("```") % 2:
         return True
@@ -233,15 +243,18 @@ def is_truncated(reply: str, endings: Endings) -> bool:
         others = [m[1].rstrip() for m in map(_ITEM.match, lines[:-1]) if m]
         if others and all(_ENDED.search(o) for o in others):
             return True
-        return not endings.complete(item[1])
+        return (item_endings(item[1]) or [("", "")])[-1]
     if not text[-1].isalnum():
         return False
     return len(tokens(text)) > 3
 
 
-def defect_of(messages: list[dict], endings: Endings) -> str | None:
-    """The first defect, in the order of DEFECTS, of any reply in a conversation of {role: u or a, content}."""
-    found = set()
+def defect_of(messages: list[dict], model: LanguageModel) -> tuple[str | None, list[Ending]]:
+    """The first defect, in the order of DEFECTS, of any reply in a conversation of {role: u or a, content}.
+
+    Without one, the endings of replies that may be truncated.
+    """
+    found, doubtful = set(), []
     i, n = 0, len(messages)
     while i < n:
         if messages[i]["role"] != "u":
@@ -254,35 +267,90 @@ def defect_of(messages: list[dict], endings: Endings) -> str | None:
         reply = "\n".join(m["content"] or "" for m in messages[i + 1 : j])
         i = j
         if not any(map(str.isalnum, reply)):
-            return "empty"
+            return "empty", []
         if is_copy(question, reply):
             found.add("copied")
         elif is_refusal(reply):
             found.add("refusal")
-        elif is_foreign(question, reply):
+        elif is_foreign(question, reply, model):
             found.add("language")
-        elif is_truncated(reply, endings):
-            found.add("truncated")
-    return next((d for d in DEFECTS if d in found), None)
+        else:
+            cut = is_truncated(reply)
+            if cut is True:
+                found.add("truncated")
+            elif cut:
+                doubtful.append(cut)
+    first = next((d for d in DEFECTS if d in found), None)
+    return first, [] if first else doubtful
 
 
-def broken_pairs(df: DataFrame, *, messages: str = "messages", key: str = "row_id", sample: int = ENDINGS_SAMPLE) -> DataFrame:
+_ENDING = pa.struct([("first", pa.string()), ("last", pa.string())])
+
+
+def _endings(turns: DataFrame, wanted: DataFrame) -> DataFrame:
+    """first, last, ended, inner: how often list items of all replies end so, and how often that stands within them.
+
+    ``wanted`` is a table of the endings (first, last) that are asked for; first is null for the last word alone.
+    """
+    only: frozenset | None = None
+    if wanted.limit(MAX_SENT + 1).count() <= MAX_SENT:
+        only = frozenset((r[0], r[1]) for r in wanted.collect())  # MAX_SENT endings at the most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ended: Counter = Counter()
+        inner: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            keys = [e for e in {*ended, *inner} if only is None or e in only]
+            made = pa.RecordBatch.from_arrays([pa.array([e[0] for e in keys], pa.string()), pa.array([e[1] for e in keys], pa.string()), pa.array([ended[e] for e in keys], pa.int64()), pa.array([inner[e] for e in keys], pa.int64())], names=["first", "last", "ended", "inner"])
+            ended.clear()
+            inner.clear()
+            return made
+
+        for batch in batches:
+            for reply in batch.column(0).to_pylist():
+                count_endings(reply, ended, inner)
+                if len(ended) + len(inner) > COUNTED:
+                    yield out()
+        yield out()
+
+    items = turns.select(F.explode("turns").alias("m")).where((F.col("m.role") == "a") & F.col("m.content").rlike(r"(?m)^\s*(?:[-*•+]|\d+[.)])\s")).select("m.content")
+    return items.mapInArrow(run, "first string, last string, ended long, inner long").groupBy("first", "last").agg(F.sum("ended").alias("ended"), F.sum("inner").alias("inner"))
+
+
+def broken_pairs(df: DataFrame, *, messages: str = "messages", key: str = "row_id", languages: LanguageModel | None = None) -> DataFrame:
     """Rows with a defective reply: key, defect. A row has one defect at most, the first in the order of DEFECTS.
 
     A reply is all that repliers say between two questions; messages of other roles are passed over. Null messages, and
     conversations without a question, have no defect; a null reply is ``empty``; a null question has only defects that
-    need none. An empty table gives no rows.
+    need none. An empty table gives no rows. Without a model of ``languages``, function words tell them. ``key`` is
+    unique: it brings a doubtful reply together with the counts of its ending.
     """
-    who = role(F.col("m.role"))
     side = lambda m: F.when(role(m["role"]).isin(*ASKERS), "u").when(role(m["role"]).isin(*REPLIERS), "a")
-    turns = F.filter(F.transform(F.col(messages), lambda m: F.struct(side(m).alias("role"), m["content"].alias("content"))), lambda m: m["role"].isNotNull())
-    chosen = bounded_sample(df.select(key, F.col(messages).alias("ms")), key, sample)
-    replies = chosen.select(F.explode("ms").alias("m")).where(who.isin(*REPLIERS) & F.col("m.content").rlike(r"(?m)^\s*(?:[-*•+]|\d+[.)])\s")).select("m.content")
-    learned = Endings([r[0] for r in replies.collect()])  # of a bounded sample
+    said = F.filter(F.transform(F.col(messages), lambda m: F.struct(side(m).alias("role"), m["content"].alias("content"))), lambda m: m["role"].isNotNull())
+    turns = df.select(key, said.alias("turns"))
+    model = languages or seeded()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            said = pa.array([defect_of(ms or [], learned) for ms in batch.column(1).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), said], names=[key, "defect"])
-
-    return df.select(key, turns.alias("turns")).mapInArrow(run, df.select(key).schema.add("defect", "string")).where("defect is not null")
+            found = [defect_of(ms or [], model) for ms in batch.column(1).to_pylist()]
+            doubtful = pa.array([[{"first": a, "last": b} for a, b in d] for _, d in found], pa.list_(_ENDING))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([d for d, _ in found], pa.string()), doubtful], names=[key, "defect", "doubtful"])
+
+    schema = df.select(key).schema.add("defect", "string").add("doubtful", T.ArrayType(T.StructType().add("first", "string").add("last", "string")))
+    judged = materialize(turns.mapInArrow(run, schema).where("defect is not null or size(doubtful) > 0"), "judged")
+    sure = judged.where("defect is not null").select(key, "defect")
+    open_ = judged.where("defect is null").select(key, F.explode("doubtful").alias("e")).select(key, "e.first", "e.last")
+    wanted = open_.select("first", "last").unionByName(open_.select(F.lit(None).cast("string").alias("first"), "last")).distinct()
+    if wanted.isEmpty():
+        return sure
+    counts = materialize(_endings(turns, materialize(wanted, "wanted")), "endings")
+    pair = counts.where("first is not null")
+    word = counts.where("first is null").select(F.col("last").alias("word"), F.col("ended").alias("word_ended"), F.col("inner").alias("word_inner"))
+    both = open_.join(pair, ["first", "last"], "left").join(word, F.col("last") == F.col("word"), "left")
+    n = lambda c: F.coalesce(c, F.lit(0))
+    usual = lambda ended, inner: (n(ended) > 0) & (n(ended) >= ENDS * n(inner))
+    # An ending that no other list item has is judged by its last word; a word that none has is a piece of a longer one.
+    complete = F.when(n("ended") + n("inner") > 0, usual("ended", "inner")).otherwise(usual("word_ended", "word_inner"))
+    cut = both.where(~complete).select(key, F.lit("truncated").alias("defect")).distinct()
+    return sure.unionByName(cut)

@@ -14,13 +14,24 @@ from millrace.llm.pairs import broken_pairs
 from millrace.llm.spam import line_kinds, spam_pages
 from millrace.llm.splits import grouped_split, split_report, tied_values
 from millrace.llm.tokens import token_budget
+from millrace.llm.words import LanguageModel, fit_languages, language_report
 from millrace.session import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _languages(spark: SparkSession, sf_dir: str) -> LanguageModel:
+    """The records name no language; the documents do."""
+    return fit_languages(table(spark, sf_dir, "documents"))
+
+
 def p1_token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_budget(table(spark, sf_dir, "raw_seed_records"))
+    return token_budget(table(spark, sf_dir, "raw_seed_records"), languages=_languages(spark, sf_dir))
+
+
+def p1_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language model held against the labels of all documents, of which some are wrong."""
+    return language_report(table(spark, sf_dir, "documents"), _languages(spark, sf_dir))
 
 
 def _capacities(spark: SparkSession, sf_dir: str) -> list[int]:
@@ -63,7 +74,7 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return broken_pairs(table(spark, sf_dir, "raw_seed_records"))
+    return broken_pairs(table(spark, sf_dir, "raw_seed_records"), languages=_languages(spark, sf_dir))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +113,7 @@ def p8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_kinds(table(spark, sf_dir, "documents"))
 
 
-_ALL = (p1_token_budget, p2_packed, p2_fill, p3_found, p3_split, p3_shares, p4_found, p4_groups, p5_found, p6_found, p6_scrubbed, p6_coverage, p7_mixture, p7_shares, p8_found, p8_lines)
+_ALL = (p1_token_budget, p1_languages, p2_packed, p2_fill, p3_found, p3_split, p3_shares, p4_found, p4_groups, p5_found, p6_found, p6_scrubbed, p6_coverage, p7_mixture, p7_shares, p8_found, p8_lines)
 
 
 def queries() -> dict[str, Query]:

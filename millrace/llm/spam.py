@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.words import VOTE
+from millrace.llm.words import FUNCTION
 from millrace.operators.splits import bounded_sample
 
 STATES = ("prose", "links", "tags", "menu")
@@ -60,7 +60,7 @@ def stuffed(words: list[str]) -> bool:
     n = len(words)
     if n < 12:
         return False
-    content = [w for w in words if w not in VOTE]
+    content = [w for w in words if w not in FUNCTION]
     if n - len(content) > 0.18 * n:
         return False
     han = sum("㐀" <= w <= "鿿" for w in content) > len(content) / 2
@@ -104,7 +104,7 @@ def sign(line: str) -> tuple[str, int]:
     n = len(words)
     if not n:
         return "other", 0
-    function_words = sum(w in VOTE for w in words) / n
+    function_words = sum(w in FUNCTION for w in words) / n
     links = _LINK.findall(text) if "/" in text or "www." in text or " " not in text else ()
     if links:
         rest = _LINK.sub(" ", text)

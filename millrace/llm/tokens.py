@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.words import contents, language, name_key
+from millrace.llm.words import LanguageModel, contents, name_key, seeded
 
 #: The folder of vocabulary files and the file used; both are parameters of every operator that counts tokens.
 TOKENIZERS = os.environ.get("MILLRACE_TOKENIZERS", "/opt/tokenizers")
@@ -112,13 +112,15 @@ def counter(vocabulary: list[bytes]) -> Callable[[str], int]:
     return lambda text: sum(map(look, split(text)))
 
 
-def with_tokens(df: DataFrame, text: Column, *, tokens: str = "n_tokens", lang: str | None = None, keep: list[str] | None = None, vocabulary: str | None = None) -> DataFrame:
+def with_tokens(df: DataFrame, text: Column, *, tokens: str = "n_tokens", lang: str | None = None, keep: list[str] | None = None, vocabulary: str | None = None, languages: LanguageModel | None = None) -> DataFrame:
     """``keep`` columns (all by default), the tokens of ``text`` and, if ``lang`` is named, its language.
 
-    A null or empty text has 0 tokens and the language ``und``. Texts are read whole, whatever their length.
+    A null or empty text has 0 tokens and the language ``und``. Texts are read whole, whatever their length. Without a
+    model of ``languages``, function words tell them.
     """
     keep = df.columns if keep is None else keep
     vocab = read_vocabulary(vocabulary)
+    model = (languages or seeded()) if lang else None
     extra = [pa.field(tokens, pa.int64()), *([pa.field(lang, pa.string())] if lang else [])]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +129,7 @@ def with_tokens(df: DataFrame, text: Column, *, tokens: str = "n_tokens", lang:
             texts = batch.column(batch.num_columns - 1).to_pylist()
             more = [pa.array([of(t) if t else 0 for t in texts], pa.int64())]
             if lang:
-                more.append(pa.array([language(t) for t in texts], pa.string()))
+                more.append(pa.array([model.language(t) for t in texts], pa.string()))
             cols = [batch.column(i) for i in range(len(keep))] + more
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, *(f.name for f in extra)])
 
@@ -140,7 +142,7 @@ def with_tokens(df: DataFrame, text: Column, *, tokens: str = "n_tokens", lang:
     return df.select(*keep, text.alias(inside)).mapInArrow(count, schema)
 
 
-def token_budget(df: DataFrame, *, messages: str = "messages", source: str = "source", category: str = "category", vocabulary: str | None = None) -> DataFrame:
+def token_budget(df: DataFrame, *, messages: str = "messages", source: str = "source", category: str = "category", vocabulary: str | None = None, languages: LanguageModel | None = None) -> DataFrame:
     """Records, characters and tokens by source, by language of the text, by category, and in all.
 
     Spellings of one source or category count together under their letters and digits; null, blank and unnamed ones
@@ -154,7 +156,7 @@ def token_budget(df: DataFrame, *, messages: str = "messages", source: str = "so
         F.coalesce(name_key(F.col(source)), none).alias("source"), F.coalesce(name_key(F.col(category)), none).alias("category"),
         text.alias("text"), F.length(text).cast("bigint").alias("n_chars"),
     )
-    counted = with_tokens(rows, F.col("text"), lang="language", keep=["source", "category", "n_chars"], vocabulary=vocabulary)
+    counted = with_tokens(rows, F.col("text"), lang="language", keep=["source", "category", "n_chars"], vocabulary=vocabulary, languages=languages)
     cells = counted.groupBy("source", "language", "category").agg(F.count("*").alias("n_records"), F.sum("n_chars").alias("n_chars"), F.sum("n_tokens").alias("n_tokens"))
     sums = [F.sum(c).alias(c) for c in ("n_records", "n_chars", "n_tokens")]
     sides = F.array(*[F.struct(F.lit(d).alias("dimension"), (F.col(d) if d in cells.columns else F.lit(d)).alias("slice")) for d in ("source", "language", "category", "all")])

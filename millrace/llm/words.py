@@ -1,15 +1,23 @@
 """Words, roles and languages of texts, shared by the operators of this package.
 
-A word is a longest run of Unicode letters and digits, in lower case.
+A word is a longest run of Unicode letters and digits, in lower case. The language of a text is told by a naive Bayes
+model over character sequences, fitted on a bounded sample of labelled documents.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
+from zlib import crc32
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.splits import bounded_sample
+
 WORD = re.compile(r"[^\W_]+")
 FENCED = re.compile(r"```.*?(?:```|\Z)", re.S)
 CJK = re.compile(r"[㐀-鿿]")
@@ -28,11 +36,16 @@ _LANGS_OF: dict[str, tuple[int, ...]] = {}
 for _i, _l in enumerate(LANGUAGES[:4]):
     for _w in FUNCTION_WORDS[_l].split():
         _LANGS_OF[_w] = (*_LANGS_OF.get(_w, ()), _i)
-#: Votes of a function word by language, packed into one integer, 12 to be shared by the languages that have it.
-SHIFT = 32
-VOTE = {w: sum((12 // len(ls)) << (SHIFT * i) for i in ls) for w, ls in _LANGS_OF.items()}
-_MASK = (1 << SHIFT) - 1
-
+#: Function words of any of the languages.
+FUNCTION = frozenset(_LANGS_OF)
+#: Labelled documents that a language model is fitted on, about; twice as many at the most.
+LANGUAGE_SAMPLE = 2000
+#: Longest character sequence of the model, the numbers that sequences are hashed to, and what is added to their counts.
+LONGEST, BUCKETS, SMOOTHING = 4, 1 << 16, 0.3
+#: Bits of a language's weight in a word's packed weights, and words whose weights a process keeps before it starts anew.
+SHIFT, WORDS_KEPT = 40, 300_000
+#: Labels that name no language, and how many documents of the sample a language must have.
+NO_LANGUAGE, LEAST_DOCUMENTS = ("und", "unknown", "none", "mul", "zxx"), 5
 
 def words(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
@@ -43,23 +56,109 @@ def prose(text: str) -> str:
     return FENCED.sub(" ", text) if "```" in text else text
 
 
-def votes(text: str) -> list[int]:
-    """Function-word votes for each of LANGUAGES; a Han character counts as half a function word."""
-    get = VOTE.get
-    packed = sum([get(w, 0) for w in WORD.findall(text.lower())])
-    return [*((packed >> (SHIFT * i)) & _MASK for i in range(4)), 6 * len(CJK.findall(text)) if not text.isascii() else 0]
+#: Words that are no part of an address, a path or a name with digits, and no longer than words are; Han characters one by one.
+_PLAIN = re.compile(r"(?<![\w.@/-])[^\W\d_㐀-鿿]{1,64}(?![\w@/-]|\.\w|://)|[㐀-鿿]")
+
+
+def sequences_of(word: str) -> list[int]:
+    """Numbers of the sequences of up to LONGEST characters within and at the ends of a word."""
+    w = f" {word} ".encode("utf-32-le", "surrogatepass")
+    return [crc32(w[i : i + 4 * n]) % BUCKETS for n in range(1, LONGEST + 1) for i in range(0, len(w) - 4 * n + 1, 4)]
+
+
+def counted(text: str, into: np.ndarray) -> None:
+    """Add the sequences of the text's plain words to the counts."""
+    for word, n in Counter(_PLAIN.findall(text.lower())).items():
+        np.add.at(into, sequences_of(word), n)
+
 
+class LanguageModel:
+    """Log-probabilities of character sequences in each language. A process keeps the weights of the words it met."""
 
-def language(text: str | None) -> str:
-    """The language with most votes, ``und`` without any; fenced code has no vote unless there is nothing else."""
-    if not text:
+    def __init__(self, counts: dict[str, np.ndarray]) -> None:
+        self.languages = tuple(sorted(counts))
+        smooth = np.stack([counts[x] + SMOOTHING for x in self.languages], axis=1)
+        self.weights = np.log(smooth / smooth.sum(axis=0)).astype(np.float32)
+        self._by_word: dict[str, int] = {}
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "_by_word": {}}
+
+    def _weight(self, word: str) -> int:
+        """The word's weight by language over its least one, in 16ths, packed into one number."""
+        if len(self._by_word) > WORDS_KEPT:
+            self._by_word.clear()
+        w = self.weights[sequences_of(word)].sum(axis=0)
+        packed = sum(int(x) << (SHIFT * i) for i, x in enumerate(np.rint((w - w.min()) * 16)))
+        self._by_word[word] = packed
+        return packed
+
+    def evidence(self, text: str) -> tuple[list[float], int]:
+        """The text's log-likelihood by language, on a scale of its own, and the number of plain words."""
+        known, words = self._by_word, _PLAIN.findall(text.lower())
+        total = sum([known.get(w) or self._weight(w) for w in words])
+        return [((total >> (SHIFT * i)) & ((1 << SHIFT) - 1)) / 16 for i in range(len(self.languages))], len(words)
+
+    def language(self, text: str | None) -> str:
+        """The likeliest language, ``und`` for a text without plain words; fenced code counts only if there is nothing else."""
+        for t in (prose(text), text) if text else ():
+            weight, n = self.evidence(t)
+            if n:
+                return self.languages[weight.index(max(weight))]
         return "und"
-    for t in (prose(text), text):
-        v = votes(t)
-        best = max(v)
-        if best:
-            return LANGUAGES[v.index(best)]
-    return "und"
+
+
+def seeded() -> LanguageModel:
+    """A model of the function words alone, for want of labelled documents; Han characters are Chinese."""
+    text = {**FUNCTION_WORDS, "zh": " ".join(chr(c) for c in range(0x4E00, 0x9FA6))}
+    counts = {k: np.zeros(BUCKETS) for k in text}
+    for k, t in text.items():
+        counted(t, counts[k])
+    return LanguageModel(counts)
+
+
+def fit_languages(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = LANGUAGE_SAMPLE) -> LanguageModel:
+    """A model of the languages that ``lang`` names, fitted on whole texts of a bounded sample of labelled rows.
+
+    Labels differ neither by case nor by a region behind a hyphen. Languages with fewer than LEAST_DOCUMENTS rows in the
+    sample are left out; without any other than one, the model is that of :func:`seeded`. Sequences are counted where
+    the rows are: the driver gets one number for each sequence and language.
+    """
+    label = F.lower(F.regexp_extract(F.trim(F.col(lang)), r"^([A-Za-z]{2,3})(?:[-_].*)?$", 1))
+    rows = docs.select(key, F.col(text).alias("t"), label.alias("label")).where((F.col("label") != "") & ~F.col("label").isin(*NO_LANGUAGE) & F.col("t").isNotNull())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, np.ndarray] = {}
+        docs_of: dict[str, int] = {}
+        for batch in batches:
+            for t, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                counted(prose(t), counts.setdefault(name, np.zeros(BUCKETS, np.int64)))
+                docs_of[name] = docs_of.get(name, 0) + 1
+        for name, c in counts.items():
+            at = np.flatnonzero(c)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * (len(at) + 1)), pa.array(np.r_[-1, at]), pa.array(np.r_[docs_of[name], c[at]])], names=["label", "at", "n"])
+
+    found = bounded_sample(rows, key, sample).select("t", "label").mapInArrow(run, "label string, at long, n long").groupBy("label", "at").agg(F.sum("n").alias("n"))
+    table: dict[str, np.ndarray] = {}
+    documents: dict[str, int] = {}
+    for name, at, n in found.collect():  # BUCKETS numbers a language at the most
+        if at < 0:
+            documents[name] = n
+        else:
+            table.setdefault(name, np.zeros(BUCKETS))[at] = n
+    kept = {k: v for k, v in table.items() if documents.get(k, 0) >= LEAST_DOCUMENTS}
+    return LanguageModel(kept) if len(kept) > 1 else seeded()
+
+
+def language_report(docs: DataFrame, model: LanguageModel, *, text: str = "text", lang: str = "lang") -> DataFrame:
+    """By label, in one spelling, and language found: documents. Null labels count as ``(none)``."""
+    label = F.coalesce(F.lower(F.trim(F.col(lang))), F.lit("(none)"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.language(t) for t in batch.column(1).to_pylist()], pa.string())], names=["label", "language"])
+
+    return docs.select(label.alias("label"), F.col(text).alias("t")).mapInArrow(run, "label string, language string").groupBy("label", "language").agg(F.count("*").alias("n_docs"))
 
 
 def role(col: Column) -> Column:

@@ -19,7 +19,20 @@ MESSAGES = "array<struct<role string, content string>>"
 
 @pytest.mark.parametrize(("text", "lang"), [("The server is slow and we have to restart it", "en"), ("Der Dienst ist langsam und wir müssen ihn neu starten", "de"), ("El servicio está lento y hay que reiniciarlo con cuidado", "es"), ("Le service est lent et il faut le relancer dans la nuit", "fr"), ("当请求达到上限时，服务会变慢。", "zh"), ("", "und"), (None, "und"), ("x1 y2", "und"), ("Wir haben das für die Gruppe:\n```python\nthe = a and that was this by the of\n```", "de")])
 def test_language(text, lang):
-    assert words.language(text) == lang
+    assert words.seeded().language(text) == lang
+
+
+def test_language_model(spark):
+    """Fitted on labels of any spelling, some wrong; more languages than the seeded ones."""
+    say = {"en": "the server is slow and we have to restart it before noon", "DE": "der dienst ist langsam und wir müssen ihn neu starten", "nl_BE": "de dienst is traag en wij moeten hem opnieuw opstarten", "zh": "当请求达到上限时服务会变慢"}
+    rows = [(i, f"{t} {i}", k) for i, (k, t) in enumerate(list(say.items()) * 30)] + [(900, say["en"], "zh"), (901, None, "en"), (902, "", "de"), (903, "x", None), (904, "y y", "und"), (905, "z", "a language")]
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, lang string, label int")
+    model = words.fit_languages(docs)
+    assert model.languages == ("de", "en", "nl", "zh")
+    assert [model.language(t) for t in ("wir starten den dienst neu", "we restart the server", "wij moeten de dienst opstarten", "请求变慢", "```\nwe have the server\n```", "", None, "http://node-1.example/a/b 12 x1")] == ["de", "en", "nl", "zh", "en", "und", "und", "und"]
+    report = {(r["label"], r["language"]): r["n_docs"] for r in words.language_report(docs, model).collect()}
+    assert report["nl_be", "nl"] == 30 and report["zh", "en"] == 1 and sum(report.values()) == len(rows)
+    assert words.fit_languages(docs.limit(0)).languages == words.seeded().languages
 
 
 def test_name_key(spark):
@@ -345,14 +358,36 @@ A = "Look at the retry limit before anything else. It was raised last week, and
 )
 def test_defects(question, reply, defect):
     said = [{"role": "u", "content": question}, {"role": "a", "content": reply}]
-    assert pairs.defect_of(said, pairs.Endings()) == defect
+    assert pairs.defect_of(said, words.seeded()) == (defect, [])
 
 
-def test_list_endings_are_learned():
-    seen = ["- Mark the queue as slow in the log\n- Read the limit on node7 and note 5\n- Wait 3 days\nend."] * 20
-    e = pairs.Endings(seen)
-    assert not pairs.is_truncated("- Wait 9 days\n- Mark the disk as slow in the log", e)
-    assert pairs.is_truncated("- Wait 9 days\n- Mark the disk as slow in the", e)
+@pytest.mark.parametrize(
+    ("question", "reply", "defect"),
+    [
+        # Declining sentences may stand anywhere, copies may be short, and a short reply in another language is one too.
+        (Q, "Thanks for the details. That is a fair question. A few things to weigh. I can't help with that request.", "refusal"),
+        ("What is TLS?", "What is TLS?", "copied"), ("What is TLS?", "You asked: what is TLS", "copied"), ("Which port does TLS use?", "TLS.", None), ("TCP or UDP?", "UDP.", None), ("Is it TCP or UDP in that case?", "TCP", None),
+        (Q, "Reinicia el router y espera hasta que la luz se ponga verde.", "language"), (Q, "OK.", None),
+    ],
+)
+def test_defects_of_any_length_and_place(question, reply, defect):
+    test_defects(question, reply, defect)
+
+
+def test_list_endings_are_counted(spark):
+    seen = "- Mark the queue as slow in the log\n- Read the limit on node7 and note 5\n- Wait 3 days\nend."
+    ask = lambda i, reply: (i, [("user", Q), ("assistant", reply)])
+    rows = [ask(i, seen) for i in range(20)] + [
+        ask(100, "- Wait 9 days\n- Mark the disk as slow in the log"), ask(101, "- Wait 9 days\n- Mark the disk as slow in the"), ask(102, "- Wait 9 days\n- Then use the limit"),
+        ask(103, "- Wait 9 days\n- Then mark the dis"),
+    ]
+    df = spark.createDataFrame(rows, f"row_id long, messages {MESSAGES}")
+    for sent in (pairs.MAX_SENT, 0):
+        before, pairs.MAX_SENT = pairs.MAX_SENT, sent
+        try:
+            assert {r["row_id"]: r["defect"] for r in pairs.broken_pairs(df).collect()} == {101: "truncated", 102: "truncated", 103: "truncated"}
+        finally:
+            pairs.MAX_SENT = before
 
 
 def test_conversations(spark):
