@@ -22,8 +22,10 @@ STATES = ("prose", "links", "tags", "menu")
 SIGNS = ("sentence", "code", "log", "link", "hash", "product", "list", "repeat", "bar", "short", "other")
 #: Share of words outside prose from which on a page is flagged.
 SHARE = 0.5
-#: Words that a link counts as at most, however long its address is.
-LINK_WORDS = 3
+#: Words that a link's address counts as, beside the words that it shows.
+ADDRESS_WORDS = 3
+#: Words of short lines that are judged together for stuffing.
+WINDOW_WORDS = 40
 #: Words of a line of usual length.
 LINE_WORDS = 30
 #: Pages, chosen by hash, that the model's probabilities are fitted on, the rounds of fitting, and how many observations
@@ -42,11 +44,17 @@ STAY = 0.8
 _TOKEN = re.compile(r"[㐀-鿿]|[^\W_㐀-鿿]+")
 _CUT = re.compile(r"(?<=[.!?])[\"'”’»)]*\s+(?=\S)|(?<=[。！？])")
 _LINK = re.compile(r"<a\s[^>]*>.*?</a>|!?\[[^\]\n]*\]\([^)\n]*\)|(?:https?://|www\.)[^\s<>\"')\]]+|(?<![\w.@-])[\w-]+(?:\.[\w-]+)+/[^\s<>\"')\]]*|^\W*[\w-]+(?:\.[a-z][\w-]+)+\W*$", re.I)
+#: What a link shows: the text of an anchor, nothing of a bare address.
+_ANCHOR = re.compile(r"<a\s[^>]*>(.*?)</a>|!?\[([^\]\n]*)\]\([^)\n]*\)", re.I)
 _LOG = re.compile(r"\s*(?:\[?\d{4}-\d\d-\d\d[T ])?\[?\d\d:\d\d(?::\d\d)?")
 _SENTENCE_END = re.compile(r"[.!?。！？:：][\"'”’»)）\]*_]*$")
 _PARTS = re.compile(r"\s*[,，、|·•;；»>]\s*|\s+/\s+|\s+[-–—]\s+")
 _BARS = re.compile(r"[|·•»]")
 _PRICE = re.compile(r"(?:^|[^\d.])[$€£¥]?\s?\d+[.,]\d\d(?:\s?[$€£¥]|\s*$|\s*\|)")
+#: An amount with its currency, which needs no other mark to be a price.
+_MONEY = re.compile(r"[$€£¥]\s?\d+[.,]\d\d(?!\d)|(?<![\d.])\d+[.,]\d\d\s?[$€£¥]")
+#: What is seldom missing in a line of code, and is hardly met in keywords, links or tags.
+_CODE = re.compile(r"[=;{}()<>\\$%]|^\s*[-\w]+:(?:\s|$)|^\s{2,}|\s--?\w")
 #: What a sentence that is not just prose may hold.
 _MARKED = re.compile(r"[/|·•»#]|www\.|\]\(")
 _HASH = re.compile(r"#[^\s#]+")
@@ -67,78 +75,101 @@ def stuffed(words: list[str]) -> bool:
     return len(set(content)) <= (0.3 if han else 0.5) * len(content)
 
 
-def segments(text: str) -> Iterator[tuple[str, str | None]]:
-    """The page's lines, cut at sentence ends, each with its sign if that is plain: fenced code, or a stuffed line, which
-    stays whole. Blank lines are left out."""
+def segments(text: str) -> Iterator[tuple[str, bool]]:
+    """The page's lines and whether they stand in a code fence; blank lines and fences are left out. Lines outside are
+    cut at sentence ends, unless they are stuffed: those stay whole."""
     fenced = False
     for line in text.split("\n"):
         if line.lstrip().startswith("```"):
             fenced = not fenced
-            yield line, "code"
+        elif not line.strip():
             continue
-        if not line.strip():
-            continue
-        if fenced:
-            yield line, "code"
-        elif len(line) < 80:
-            yield line, None
-        elif not _MARKED.search(line) and stuffed(_TOKEN.findall(line.lower())):
-            yield line, "repeat"
+        elif fenced or len(line) < 40 or (not _MARKED.search(line) and stuffed(_TOKEN.findall(line.lower()))):
+            yield line, fenced
         else:
             start = 0
             for m in _CUT.finditer(line):
                 if m.end() - start > 24:
-                    yield line[start : m.end()], None
+                    yield line[start : m.end()], False
                     start = m.end()
             if line[start:].strip():
-                yield line[start:], None
+                yield line[start:], False
+
 
+def sign(line: str, *, fenced: bool = False) -> tuple[str, list[str]]:
+    """The sign that a line shows, and its words in lower case; an address counts as ADDRESS_WORDS.
 
-def sign(line: str) -> tuple[str, int]:
-    """The sign that a line shows, and its number of words, of which a link has LINK_WORDS at most."""
+    What a line is made of goes before how it ends, and before a fence around it: keywords, tags, products and links stay
+    what they are with a full stop behind them or within a fence. Other lines in a fence are code.
+    """
     text = line.strip()
-    ended = bool(_SENTENCE_END.search(text))
-    if ended and not _MARKED.search(text):
-        return "sentence", len(_TOKEN.findall(text))
     words = _TOKEN.findall(text.lower())
     n = len(words)
     if not n:
-        return "other", 0
+        return "other", words
+    if fenced and _CODE.search(line) and not _LINK.match(text):
+        return "code", words
+    ended = bool(_SENTENCE_END.search(text))
+    marked = bool(_MARKED.search(text))
     function_words = sum(w in FUNCTION for w in words) / n
-    links = _LINK.findall(text) if "/" in text or "www." in text or " " not in text else ()
+    links = _LINK.findall(text) if marked or " " not in text else ()
     if links:
         rest = _LINK.sub(" ", text)
         outside = len(_TOKEN.findall(rest))
-        n = outside + sum(min(LINK_WORDS, len(_TOKEN.findall(x))) for x in links)
-        if outside <= 3 + 3 * len(links) and not (function_words > 0.15 and _SENTENCE_END.search(rest.strip())):
-            return "link", n
-    if _LOG.match(text) and not ended:
-        return "log", n
-    tags = _HASH.findall(text)
-    if len(tags) >= 2 and sum(map(len, tags)) >= 0.5 * len(text):
-        return "hash", n
+        if outside <= (0 if fenced else 3 + 3 * len(links)) and not (function_words > 0.15 and _SENTENCE_END.search(rest.strip())):
+            # An address counts alike, however long it is, beside the words that the link shows.
+            shown = [w for a in _ANCHOR.findall(text) for w in _TOKEN.findall((a[0] or a[1]).lower())]
+            return "link", _TOKEN.findall(rest.lower()) + shown + ["@"] * ADDRESS_WORDS * len(links)
+    if ended and not marked and function_words >= 0.2:
+        return "sentence", words
+    if not ended and _LOG.match(text):
+        return "log", words
+    if marked:
+        tags = _HASH.findall(text)
+        if len(tags) >= 2 and sum(map(len, tags)) >= 0.5 * len(text):
+            return "hash", words
     parts = [p for p in _PARTS.split(text) if p]
-    sizes = [len(_TOKEN.findall(p)) for p in parts]
-    han = sum("㐀" <= w <= "鿿" for w in words) > n / 2
-    small = 6 if han else 4
-    if len(parts) >= 3 and _PRICE.search(text) and _BARS.search(text) and max(sizes) <= 8:
-        return "product", n
-    if len(parts) >= 3 and sum(sizes) / len(parts) <= small and function_words < 0.12 and not ended:
-        if len(parts) >= 8:
-            return "list", n
-        return ("bar" if _BARS.search(text) or "/" in text else "list"), n
+    if len(parts) > 2:
+        sizes = [len(_TOKEN.findall(p)) for p in parts]
+        bars = bool(_BARS.search(text))
+        if max(sizes) <= 8 and function_words < 0.12 and (_MONEY.search(text) or (bars and _PRICE.search(text))):
+            return "product", words
+        han = sum("㐀" <= w <= "鿿" for w in words) > n / 2
+        # Ended with a mark, a list of names may belong to prose: only long ones without function words are tags.
+        if sum(sizes) / len(parts) <= (6 if han else 4) and function_words < 0.12 and (not ended or (len(parts) >= 6 and function_words < 0.05 and not han)):
+            return ("list" if len(parts) >= 8 or not (bars or "/" in text) else "bar"), words
     if stuffed(words):
-        return "repeat", n
+        return "repeat", words
+    if fenced:
+        return "code", words
     if ended or function_words >= 0.12:
-        return "sentence", n
-    return ("short" if n <= 6 else "other"), n
+        return "sentence", words
+    return ("short" if n <= 6 else "other"), words
+
+
+def _judge_short_lines(lines: list[list]) -> None:
+    """Mark stuffed runs of lines that are too short to be judged one by one. A line is [sign, words, fenced]."""
+    run: list[list] = []
+    held: list[str] = []
+    for line in [*lines, None]:
+        short = line is not None and len(line[1]) < 12 and line[0] in ("sentence", "short", "other") and not line[2]
+        if short:
+            run.append(line)
+            held += line[1]
+        if run and (not short or len(held) >= WINDOW_WORDS):
+            if len(run) > 2 and stuffed(held):
+                for x in run:
+                    x[0] = "repeat"
+            run, held = [], []
 
 
 def observe(text: str | None) -> tuple[list[int], list[int]]:
     """The page's signs (numbers in SIGNS) and word counts. A long line shows its sign once for every LINE_WORDS words."""
     signs, counts = [], []
-    for line, plain in segments(text or ""):
-        s, n = (plain, len(_TOKEN.findall(line))) if plain else sign(line)
+    lines = [[*sign(line, fenced=fenced), fenced] for line, fenced in segments(text or "")]
+    _judge_short_lines(lines)
+    for s, words, _ in lines:
+        n = len(words)
         if n:
             times = -(-n // LINE_WORDS)
             signs += [SIGNS.index(s)] * times

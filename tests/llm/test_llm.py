@@ -550,6 +550,27 @@ def test_spam(text, flag):
     assert (sum(w) > 0 and sum(w[1:]) > 0.5 * sum(w)) is flag
 
 
+CODE = "```python\n" + "\n".join(f"total_{i} = load(table, {i})\nprint(total_{i}, total_{i}, total_{i})" for i in range(20)) + "\n```"
+STUFFED = [f"cheap shoes best shoes online cheap shoes sale best cheap shoes shop number{i % 3} cheap shoes now." for i in range(30)]
+
+
+@pytest.mark.parametrize(
+    ("text", "flag"),
+    [
+        # A full stop, a fence or a short line make no prose of keywords, tags, products and links.
+        ("\n".join(STUFFED), True), ("\n".join(x.rstrip(".") for x in STUFFED), True), ("\n".join("Cheap shoes, buy cheap shoes here. Best shoes.".split(". ")) * 12, True), ("Cheap shoes now.\nBest cheap shoes.\nBuy shoes now.\n" * 12, True),
+        ("\n".join(", ".join(f"{w} {t}{i}" for w in ("router", "cable", "lamp", "drill", "phone", "camera", "chair", "kettle", "tablet")) + "." for i, t in enumerate(("set", "kit", "box") * 4)), True),
+        ("\n".join(f"Garden chair {i}, ${i}9.99, free shipping." for i in range(20)), True),
+        ("```\n" + "\n".join(STUFFED[:20]) + "\n```", True), ("```\n" + "\n".join([LINKS, LINKS]) + "\n```", True), ("```\n" + "\n".join([LINKS, LINKS]), True), (PROSE + "\n```\n" + "\n".join(STUFFED), True),
+        ("\n".join(f'<a href="https://x{i}.example/">one two three four five six seven words of {i}</a>' for i in range(10)) + "\n\n" + PROSE, True),
+        (CODE, False), (PROSE + "\n\n" + CODE + "\n\n" + PROSE, False), ("```bash\n" + "\n".join(f"curl -s https://node-{i}.example/health --retry {i}" for i in range(20)) + "\n```", False),
+        ("\n".join(f"Term {i}: the part of a network that holds entry {i} until it is asked for." for i in range(20)), False), ("We tested the gateway, the proxy, the cache, the queue, the store, the index and the log.\n" * 10, False),
+    ],
+)
+def test_spam_whatever_its_form(text, flag):
+    test_spam(text, flag)
+
+
 def test_stuffed_lines():
     assert spam.stuffed(words.words("Best router. Get router router. Router here. More router, router. Router now. Router!"))
     assert spam.stuffed([x for i in range(12) for x in ("sale", "kit", f"town{i}")])
