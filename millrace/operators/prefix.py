@@ -11,8 +11,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Buckets of a hash order: the top bits of a 64-bit hash, so bucket order and hash order agree.
-HASH_BITS = 6
+from millrace.functions.text import let
+
+#: Rows that a bucket holds, about: as many as one task sorts with ease. There are 2^MIN_BITS buckets at the least and
+#: 2^MAX_BITS at the most.
+ROWS_A_BUCKET, MIN_BITS, MAX_BITS = 1 << 18, 6, 20
+HASH_BITS = MIN_BITS
+#: Cut points of a numeric order, at the most: the square of the number that a row is compared with.
+SIDE = 512
+
+
+def bits_for(rows: int) -> int:
+    """Bits of a bucket number that leave about ROWS_A_BUCKET of so many rows to a bucket."""
+    return min(MAX_BITS, max(MIN_BITS, (rows // ROWS_A_BUCKET).bit_length()))
 
 
 def hash_order(*cols: Column | str, seed: int = 0) -> Column:
@@ -20,15 +31,29 @@ def hash_order(*cols: Column | str, seed: int = 0) -> Column:
     return F.xxhash64(F.lit(seed), *cols)
 
 
-def hash_bucket(h: Column, bits: int = HASH_BITS) -> Column:
+def hash_bucket(h: Column, bits: int = MIN_BITS) -> Column:
+    """The top bits of a 64-bit hash, so that bucket order and hash order agree."""
     return F.shiftright(h, 64 - bits)
 
 
-def value_bucket(df: DataFrame, col: str, buckets: int = 64) -> Column:
-    """A bucket number that rises with a numeric column; cut points are approximate quantiles of all rows."""
-    points = sorted(set(df.approxQuantile(col, [i / buckets for i in range(1, buckets)], 0.01)))
-    bounds = F.array(*[F.lit(float(p)) for p in points]) if points else F.array().cast("array<double>")
-    return F.coalesce(F.size(F.filter(bounds, lambda b: b < F.col(col).cast("double"))), F.lit(-1))
+def value_bucket(df: DataFrame, col: str, rows_a_bucket: int = ROWS_A_BUCKET) -> Column:
+    """A bucket number that rises with a numeric column; null comes first.
+
+    Cut points are approximate quantiles of all rows, as many as the number of rows asks for. They are kept in two
+    levels, so that a row is compared with few of them.
+    """
+    buckets = min(SIDE * SIDE, max(1 << MIN_BITS, df.count() // rows_a_bucket))
+    points = sorted(set(df.approxQuantile(col, [i / buckets for i in range(1, buckets)], 1 / (4 * buckets))))
+    if not points:
+        return F.coalesce(F.col(col).cast("int") * 0, F.lit(-1))
+    side = int(len(points) ** 0.5) + 1
+    rows = [points[i : i + side] for i in range(0, len(points), side)]
+    x = F.col(col).cast("double")
+    below = lambda bounds: F.size(F.filter(bounds, lambda b: b < x))
+    upper = below(F.array(*[F.lit(float(r[-1])) for r in rows]))
+    table = F.array(*[F.array(*[F.lit(float(p)) for p in r]) for r in rows])
+    within = let(upper, lambda i: F.coalesce(below(F.get(table, i)), F.lit(0)) + i * side)
+    return F.when(x.isNull(), F.lit(-1)).otherwise(within)
 
 
 def prefix(

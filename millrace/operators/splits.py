@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import squeeze
-from millrace.operators.prefix import hash_bucket, hash_order, prefix, value_bucket
+from millrace.operators.prefix import bits_for, hash_bucket, hash_order, prefix, value_bucket
 
 # Fixed value: salts the partition hash; changing it would move records between partitions.
 PARTITION_SALT = "project_xyz_sft_seed_42"
@@ -36,9 +36,10 @@ def split_sizes(n: int, validation: float = 0.05, test: float = 0.05, train: flo
 
 def exact_split(df: DataFrame, key: str, *, train: float = 0.90, validation: float = 0.05, test: float = 0.05, seed: int = 42) -> DataFrame:
     """``split``: exact sizes in a repeatable shuffled order. ``key`` tells rows apart; ``df`` is read three times."""
-    sizes = split_sizes(df.count(), validation, test, train)
+    n = df.count()
+    sizes = split_sizes(n, validation, test, train)
     h = hash_order(key, seed=seed)
-    ranked = prefix(df, [], hash_bucket(h), [h, key], rank="__rank")
+    ranked = prefix(df, [], hash_bucket(h, bits_for(n)), [h, key], rank="__rank")
     part = F.when(F.col("__rank") <= sizes[0], "train").when(F.col("__rank") <= sizes[0] + sizes[1], "validation").otherwise("test")
     return ranked.withColumn("split", part).drop("__rank")
 

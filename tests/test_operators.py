@@ -6,15 +6,16 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import prompt_shingles
 from millrace.operators import decontam, dedup, evaluate, generate, lineage, normalize, splits, stats, tokens
-from millrace.operators.prefix import hash_bucket, hash_order, prefix, value_bucket
+from millrace.operators.prefix import bits_for, hash_bucket, hash_order, prefix, value_bucket
 from millrace.plans import catalogue
 
 
-def test_prefix_equals_a_window(spark):
+@pytest.mark.parametrize("rows_a_bucket", [1, 1 << 18])
+def test_prefix_equals_a_window(spark, rows_a_bucket):
     rng = random.Random(1)
     rows = [(rng.choice(["a", "b", None]), i, rng.randint(0, 9)) for i in rng.sample(range(5000), 400)]
     df = spark.createDataFrame(rows, "g string, i long, v long")
-    got = {r["i"]: (r["before"], r["n"]) for r in prefix(df, ["g"], value_bucket(df, "i", 8), ["i"], sums={"before": F.col("v")}, rank="n").collect()}
+    got = {r["i"]: (r["before"], r["n"]) for r in prefix(df, ["g"], value_bucket(df, "i", rows_a_bucket), ["i"], sums={"before": F.col("v")}, rank="n").collect()}
     for g in ("a", "b", None):
         before = 0
         for k, (_, i, v) in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: r[1]), 1):
@@ -22,6 +23,13 @@ def test_prefix_equals_a_window(spark):
             before += v
 
 
+def test_buckets_rise_with_their_column(spark):
+    df = spark.createDataFrame([(None,), *((i * i % 997 - 300,) for i in range(600))], "i long")
+    rows = sorted(((r["i"] is not None, r["i"], r["b"]) for r in df.select("i", value_bucket(df, "i", 2).alias("b")).collect()), key=lambda r: (r[0], r[1] or 0))
+    assert [r[2] for r in rows] == sorted(r[2] for r in rows) and len({r[2] for r in rows}) > 150
+    assert bits_for(0) == bits_for(1000) == 6 and bits_for(10**12) == 20 and 1e9 / 2 ** bits_for(10**9) <= 1 << 18
+
+
 def test_prefix_of_nothing(spark):
     df = spark.createDataFrame([], "g string, i long")
     assert prefix(df, ["g"], value_bucket(df, "i"), ["i"], rank="n").count() == 0
