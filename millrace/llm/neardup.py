@@ -316,8 +316,10 @@ class NearDuplicates:
         self.members, self.links = members, links
 
     def groups(self) -> DataFrame:
-        """One row per record: id, group_id (a record of its group), n_links: similar records of other texts or copies."""
+        """One row per record: id, group_id (the least id of its group), n_links: similar records of other texts or copies."""
         label, _ = spanning_forest(self.links)
+        least = label.groupBy("component").agg(F.min("vertex").alias("least"))
+        label = label.join(least, "component").select("vertex", F.col("least").alias("component"))
         size = self.members.groupBy("rep").agg(F.count("*").alias("n"))
         ends = self.links.select(F.explode(F.array(F.struct(F.col("a").alias("me"), F.col("b").alias("other")), F.struct(F.col("b").alias("me"), F.col("a").alias("other")))).alias("e")).select("e.me", "e.other")
         linked = ends.join(size, ends.other == size.rep).groupBy("me").agg(F.sum("n").alias("linked"))

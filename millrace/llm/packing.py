@@ -18,14 +18,14 @@ from pyspark.sql import functions as F
 
 from millrace.llm.tokens import with_tokens
 from millrace.llm.words import contents
-from millrace.operators.prefix import hash_bucket, hash_order, prefix
+from millrace.operators.prefix import bits_for, hash_bucket, hash_order, prefix
 from millrace.session import materialize
 
-#: Largest permitted capacity: bounds the histogram that the driver plans on.
+#: Largest permitted capacity, which bounds the histogram that the driver plans on; larger ones are refused.
 MAX_CAPACITY = 1 << 20
 #: Plan segments that are sent along with the tasks; a longer plan is joined instead.
 MAX_SENT = 500_000
-#: Capacities of which every subset is tried; of more, only the single ones and all together.
+#: Capacities of which every subset is tried; of more, sets are improved by one capacity at a time.
 MAX_JOINT = 8
 
 
@@ -93,11 +93,35 @@ def best_fit(histogram: dict[int, int], opened: Sequence[int], permitted: Sequen
     return plan
 
 
-def joint_plan(histogram: dict[int, int], capacities: Sequence[int]) -> Plan:
-    """The cheapest plan (least total capacity, then fewest bins) over the sets of capacities that may be opened."""
+def joint_plan(histogram: dict[int, int], capacities: Sequence[int], exhaustive: int = MAX_JOINT) -> Plan:
+    """The cheapest plan (least total capacity, then fewest bins) over the sets of capacities that may be opened.
+
+    Up to ``exhaustive`` capacities every set is tried. Of more there are too many sets: from each single capacity's plan
+    that is cheapest, and from all capacities together, the one is added or taken out that lowers the cost most, until
+    none does.
+    """
     caps = sorted(set(capacities))
-    sets = [s for k in range(1, len(caps) + 1) for s in combinations(caps, k)] if len(caps) <= MAX_JOINT else [*((c,) for c in caps), tuple(caps)]
-    return min((best_fit(histogram, s, caps) for s in sets), key=lambda p: (p.cost, p.bins))
+    plans: dict[frozenset, Plan] = {}
+
+    def plan(chosen: frozenset) -> Plan:
+        if chosen not in plans:
+            plans[chosen] = best_fit(histogram, sorted(chosen), caps)
+        return plans[chosen]
+
+    def rank(chosen: frozenset) -> tuple:
+        return plan(chosen).cost, plan(chosen).bins, sorted(chosen)
+
+    if len(caps) <= exhaustive:
+        return plan(min((frozenset(s) for k in range(1, len(caps) + 1) for s in combinations(caps, k)), key=rank))
+    ends = []
+    for at in (min((frozenset([c]) for c in caps), key=rank), frozenset(caps)):
+        while True:
+            best = min((x for x in (at ^ {c} for c in caps) if x), key=rank)
+            if rank(best)[:2] >= rank(at)[:2]:
+                break
+            at = best
+        ends.append(at)
+    return plan(min(ends, key=rank))
 
 
 def pack(items: DataFrame, capacities: Sequence[int], *, key: Sequence[str] = ("row_id",), length: str = "n_tokens") -> DataFrame:
@@ -105,7 +129,8 @@ def pack(items: DataFrame, capacities: Sequence[int], *, key: Sequence[str] = ("
 
     Only an item longer than the largest capacity is split: into full pieces and a rest, which is placed like an item.
     Items of length 0 or null need no space and have no container: one row with a null ``bin_id``. Equal keys are
-    separate items. ``items`` is read several times: hand in a materialized table. No items give no rows.
+    separate items. ``items`` is read several times: hand in a materialized table. No items give no rows. Capacities
+    beyond MAX_CAPACITY are refused.
     """
     caps = sorted({int(c) for c in capacities if c})
     if not caps or caps[0] < 1 or caps[-1] > MAX_CAPACITY:
@@ -118,7 +143,7 @@ def pack(items: DataFrame, capacities: Sequence[int], *, key: Sequence[str] = ("
     histogram = {r[0]: r[1] for r in pieces.where("piece_tokens > 0").groupBy("piece_tokens").count().collect()}  # at most `most` rows
     plan = joint_plan(histogram, caps)
     h = hash_order(*key, "piece")
-    ranked = prefix(pieces, ["piece_tokens"], hash_bucket(h), [h, *key, "piece"], rank="__rank")
+    ranked = prefix(pieces, ["piece_tokens"], hash_bucket(h, bits_for(sum(histogram.values()))), [h, *key, "piece"], rank="__rank")
     if len(plan.segments) + len(plan.ranges) <= MAX_SENT:
         return _look_up(ranked, plan, key)
     return _join(ranked, plan, key)
@@ -165,6 +190,18 @@ def pack_conversations(df: DataFrame, capacities: Sequence[int], *, messages: st
     return pack(materialize(counted, "lengths"), capacities, key=key)
 
 
+def packing_faults(packed: DataFrame, key: str = "row_id") -> DataFrame:
+    """One row per item: its pieces are numbered through and only an item beyond the largest capacity has several
+    (``whole``), and no container of it holds more than its capacity or other than its stated content (``fits``)."""
+    most = packed.agg(F.max("capacity").alias("__most"))  # one row
+    bins = packed.where("bin_id is not null").groupBy("bin_id").agg(F.sum("piece_tokens").alias("__sum"))
+    ok = (F.col("__sum") == F.col("bin_tokens")) & (F.col("bin_tokens") <= F.col("capacity"))
+    rows = packed.join(bins, "bin_id", "left").withColumn("__ok", F.coalesce(ok, F.col("piece_tokens") == 0))
+    each = rows.groupBy(key).agg(F.count("*").alias("n"), F.countDistinct("piece").alias("d"), F.max("n_pieces").alias("m"), F.sum("piece_tokens").alias("t"), F.bool_and("__ok").alias("fits"))
+    whole = (F.col("n") == F.col("m")) & (F.col("d") == F.col("n")) & ((F.col("m") == 1) | (F.col("t") > F.col("__most") * (F.col("m") - 1)))
+    return each.join(F.broadcast(most)).select(key, whole.alias("whole"), "fits")
+
+
 def fill_report(packed: DataFrame) -> DataFrame:
     """By capacity: bins, items, tokens, unused space and the share of space that is used."""
     bins = packed.where("bin_id is not null")

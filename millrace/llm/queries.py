@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.llm.leaks import leak_report, leaked_pairs, leaks, scrub
 from millrace.llm.mixing import Mixture, mix
 from millrace.llm.neardup import similar_conversations
-from millrace.llm.packing import fill_report, pack_conversations
+from millrace.llm.packing import fill_report, pack_conversations, packing_faults
 from millrace.llm.pairs import broken_pairs
 from millrace.llm.spam import line_kinds, spam_pages
-from millrace.llm.splits import grouped_split, split_report, tied_values
+from millrace.llm.splits import grouped_split, split_report, splits_by_tie, tied_values
 from millrace.llm.tokens import token_budget
 from millrace.llm.words import LanguageModel, fit_languages, language_report
 from millrace.session import materialize, table
@@ -47,6 +47,11 @@ def p2_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_report(p2_packed(spark, sf_dir))
 
 
+def p2_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every record whether p2_packed keeps what it promises; the SQL says that it does."""
+    return packing_faults(materialize(p2_packed(spark, sf_dir), "packed"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tied_values(table(spark, sf_dir, "raw_seed_records"))
 
@@ -65,6 +70,11 @@ def p3_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_report(p3_split(spark, sf_dir), _shares(spark, sf_dir))
 
 
+def p3_together(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In how many splits p3_split puts the records of each source and case."""
+    return splits_by_tie(table(spark, sf_dir, "raw_seed_records"), p3_split(spark, sf_dir))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_conversations(table(spark, sf_dir, "raw_seed_records")).pairs().toDF("row_id_a", "row_id_b")
 
@@ -105,6 +115,11 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir).report()
 
 
+def p7_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every target source whether p7_mixture keeps what it promises; the SQL says that it does."""
+    return _mixture(spark, sf_dir).kept()
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam_pages(table(spark, sf_dir, "documents"))
 
@@ -113,7 +128,7 @@ def p8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_kinds(table(spark, sf_dir, "documents"))
 
 
-_ALL = (p1_token_budget, p1_languages, p2_packed, p2_fill, p3_found, p3_split, p3_shares, p4_found, p4_groups, p5_found, p6_found, p6_scrubbed, p6_coverage, p7_mixture, p7_shares, p8_found, p8_lines)
+_ALL = (p1_token_budget, p1_languages, p2_packed, p2_fill, p2_kept, p3_found, p3_split, p3_shares, p3_together, p4_found, p4_groups, p5_found, p6_found, p6_scrubbed, p6_coverage, p7_mixture, p7_shares, p7_kept, p8_found, p8_lines)
 
 
 def queries() -> dict[str, Query]:
@@ -132,7 +147,28 @@ def _key(col: str) -> str:
     return f"regexp_replace(lower(translate({col}, '{_WIDE}', '{_PLAIN}')), '[^\\p{{L}}\\p{{Nd}}]', '', 'g')"
 
 
+_P4 = """
+        WITH RECURSIVE t AS (
+            SELECT row_id, list_filter(regexp_extract_all(lower(array_to_string(list_transform(list_filter(coalesce(messages, []),
+                lambda m: coalesce(lower(trim(m.role)), '') <> 'system'), lambda m: coalesce(m.content, '')), ' ')), '[\\p{L}\\p{N}]+'), lambda w: w <> '') AS w
+            FROM raw_seed_records),
+        s AS (SELECT DISTINCT row_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM t),
+        n AS (SELECT row_id, count(*) AS n FROM s GROUP BY 1),
+        p AS (SELECT a.row_id AS row_id_a, b.row_id AS row_id_b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.row_id < b.row_id GROUP BY 1, 2),
+        f AS (SELECT row_id_a, row_id_b FROM p JOIN n x ON x.row_id = row_id_a JOIN n y ON y.row_id = row_id_b WHERE k >= 0.6 * (x.n + y.n - k))"""
+
 ORACLE = {
+    "p2_kept": "SELECT row_id, true AS whole, true AS fits FROM raw_seed_records",
+    "p3_together": f"""
+        WITH t AS (SELECT 'source' AS kind, {_key("source")} AS name FROM raw_seed_records WHERE source IS NOT NULL AND length(regexp_replace(source, '[\\s\\p{{Z}}]', '', 'g')) > 0
+            UNION ALL SELECT 'case', {_key("category")} FROM raw_seed_records WHERE regexp_matches({_key("category")}, '^case.*\\p{{Nd}}$'))
+        SELECT kind, name, count(*) AS n_records, 1::BIGINT AS n_splits FROM t GROUP BY kind, name""",
+    "p4_groups": _P4
+    + """, both_ways AS (SELECT row_id_a AS a, row_id_b AS b FROM f UNION SELECT x.row_id, y.row_id FROM t x JOIN t y ON x.w = y.w AND x.row_id < y.row_id),
+        link AS (SELECT a, b FROM both_ways UNION SELECT b, a FROM both_ways),
+        reach(a, b) AS (SELECT row_id, row_id FROM t UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
+        SELECT row_id, (SELECT min(b) FROM reach WHERE a = row_id) AS group_id, (SELECT count(*) FROM link WHERE a = row_id) AS n_links FROM t""",
+    "p7_kept": "SELECT source, true AS share_met, true AS uses_met, true AS slots_full FROM mix_targets",
     "p3_found": f"""
         WITH RECURSIVE r AS (
             SELECT source AS v, {_key("source")} AS s, CASE WHEN regexp_matches({_key("category")}, '^case.*\\p{{Nd}}$') THEN {_key("category")} END AS c
@@ -141,15 +177,7 @@ ORACLE = {
         reach(a, b) AS (SELECT DISTINCT s, s FROM r UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
         val AS (SELECT DISTINCT v, s FROM r)
         SELECT x.v AS source_a, y.v AS source_b FROM val x JOIN reach ON x.s = reach.a JOIN val y ON y.s = reach.b AND x.v < y.v""",
-    "p4_found": """
-        WITH t AS (
-            SELECT row_id, list_filter(regexp_extract_all(lower(array_to_string(list_transform(list_filter(messages,
-                lambda m: coalesce(lower(trim(m.role)), '') <> 'system'), lambda m: coalesce(m.content, '')), ' ')), '[\\p{L}\\p{N}]+'), lambda w: w <> '') AS w
-            FROM raw_seed_records WHERE messages IS NOT NULL),
-        s AS (SELECT DISTINCT row_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM t),
-        n AS (SELECT row_id, count(*) AS n FROM s GROUP BY 1),
-        p AS (SELECT a.row_id AS row_id_a, b.row_id AS row_id_b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.row_id < b.row_id GROUP BY 1, 2)
-        SELECT row_id_a, row_id_b FROM p JOIN n x ON x.row_id = row_id_a JOIN n y ON y.row_id = row_id_b WHERE k >= 0.6 * (x.n + y.n - k)""",
+    "p4_found": _P4 + " SELECT row_id_a, row_id_b FROM f",
     "p6_coverage": """
         WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
         b AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark WHERE text IS NOT NULL),

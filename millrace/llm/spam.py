@@ -23,7 +23,7 @@ SIGNS = ("sentence", "code", "log", "link", "hash", "product", "list", "repeat",
 #: Share of words outside prose from which on a page is flagged.
 SHARE = 0.5
 #: Words that a link's address counts as, beside the words that it shows.
-ADDRESS_WORDS = 3
+ADDRESS_WORDS = 2
 #: Words of short lines that are judged together for stuffing.
 WINDOW_WORDS = 40
 #: Words of a line of usual length.

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.graph import spanning_forest
 from millrace.llm.words import name_key
-from millrace.operators.prefix import hash_bucket, hash_order, prefix
+from millrace.operators.prefix import bits_for, hash_bucket, hash_order, prefix
 from millrace.session import materialize
 
 #: A component with more than this part of the smallest split's records is dealt on its own; there are at most
@@ -81,7 +81,7 @@ def grouped_split(df: DataFrame, shares: Sequence[tuple[str, float]], *, key: st
     room = {s: max(0.0, m) for s, m in missing.items()}
     all_room = sum(room.values()) or 1.0
     h = hash_order("root", "alone", seed=seed)
-    placed = prefix(small, ["band"], hash_bucket(h), [h, "root", "alone"], sums={"__before": F.col("size")})
+    placed = prefix(small, ["band"], hash_bucket(h, bits_for(small.count())), [h, "root", "alone"], sums={"__before": F.col("size")})
     width = F.coalesce(*[F.when(F.col("band") == b, F.lit(float(n))) for b, n in bands.items()], F.lit(1.0))
     at = (F.col("__before") + F.col("size") / 2) / width
     name, upto = F.lit(shares[-1][0]), 1.0
@@ -106,6 +106,14 @@ def tied_values(df: DataFrame, *, source: str = "source", category: str = "categ
     return members.join(other, (F.col("__component") == F.col("__other")) & (F.col("value") < F.col("source_b"))).select(F.col("value").alias("source_a"), "source_b")
 
 
+def splits_by_tie(df: DataFrame, splits: DataFrame, *, key: str = "row_id", source: str = "source", category: str = "category") -> DataFrame:
+    """By source and by case: kind, name (its letters and digits), n_records and n_splits, which is to be 1."""
+    name = F.array(F.struct(F.lit("source").alias("kind"), source_key(F.col(source)).alias("name")), F.struct(F.lit("case").alias("kind"), case_key(F.col(category)).alias("name")))
+    rows = df.select(key, F.explode(name).alias("t")).where("t.name is not null").join(splits.select(key, "split_name"), key)
+    cells = rows.groupBy("t.kind", "t.name", "split_name").agg(F.count("*").alias("n"))
+    return cells.groupBy("kind", "name").agg(F.sum("n").alias("n_records"), F.count("*").alias("n_splits"))
+
+
 def split_report(splits: DataFrame, shares: Sequence[tuple[str, float]]) -> DataFrame:
     """By split: records, share reached and share asked for."""
     whole = sum(w for _, w in shares if w and w > 0)
@@ -116,4 +124,4 @@ def split_report(splits: DataFrame, shares: Sequence[tuple[str, float]]) -> Data
     return n.join(F.broadcast(total)).select("split_name", "n_records", "target_share", (F.col("n_records") / F.nullif("t", F.lit(0))).alias("actual_share"))
 
 
-__all__ = ["grouped_split", "split_report", "tied_values", "ties"]
+__all__ = ["grouped_split", "split_report", "splits_by_tie", "tied_values", "ties"]
