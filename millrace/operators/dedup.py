@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import exact_hash, prompt_shingles
+from millrace.operators.splits import bounded_sample
 from millrace.session import materialize
 
 #: Rounds after which the keep-first rule must be done, or it raises: half the longest chain of records each near the one before.
 MAX_ROUNDS = 1000
+#: Sets of which a sample is drawn to learn which shingles are frequent, and how many of these are remembered, at the most.
+FREQUENT_SAMPLE, FREQUENT = 8000, 200_000
+#: Rows under one shingle from which on they are dealt to blocks, and how many a block holds, about.
+HOT = BLOCK = 4096
+#: Hot shingles up to this number are sent to all tasks; more are joined.
+MAX_SENT = 500_000
 
 
 def first_by(df: DataFrame, by: Sequence[Column | str], key: str, first: str = "first_id") -> DataFrame:
@@ -50,35 +59,69 @@ def shingle_classes(df: DataFrame, key: str, sets: Column) -> DataFrame:
     return first_by(rows, ["__a", "__b"], "id", "rep").select("id", "rep", "set", F.size("set").alias("n"))
 
 
+def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several sets of a bounded sample have, rising, and how many have them.
+
+    They only order the shingles of a set: results do not depend on what the sample holds.
+    """
+    seen = bounded_sample(sets, "id", FREQUENT_SAMPLE).select(F.explode("set").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    rows = np.array(seen.orderBy(F.desc("n"), "h").limit(FREQUENT).collect(), dtype=np.int64).reshape(-1, 2)
+    order = np.argsort(rows[:, 0])
+    return rows[order, 0], rows[order, 1]
+
+
+def _prefixes(sets: DataFrame, threshold: float, frequent: tuple[np.ndarray, np.ndarray], name: str) -> DataFrame:
+    """name, its size n, place p and shingle h of the first n - ceil(threshold * n) + 1 shingles of each set."""
+    known, often = frequent
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets_ = batch.column(1)
+            flat = sets_.flatten().to_numpy(zero_copy_only=False)
+            n = np.diff(sets_.offsets.to_numpy()).astype(np.int64)
+            row = np.repeat(np.arange(len(n)), n)
+            weight = np.zeros(len(flat), np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+                weight = np.where(known[at] == flat, often[at], 0)
+            order = np.lexsort((flat, weight, row))
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+            kept = place < np.repeat(n - np.ceil(n * threshold - 1e-9).astype(np.int64) + 1, n)
+            of = row[kept]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(n[of].astype(np.int32)), pa.array(place[kept].astype(np.int32)), pa.array(flat[order][kept])], names=[name, "n" + name, "p" + name, "h"])
+
+    schema = sets.select(F.col("id").alias(name)).schema.add("n" + name, "integer").add("p" + name, "integer").add("h", "long")
+    return sets.select("id", "set").mapInArrow(run, schema)
+
+
 def similar_sets(left: DataFrame, threshold: float, right: DataFrame | None = None) -> DataFrame:
     """a, b, similarity: pairs of sets with a Jaccard similarity of at least ``threshold`` (above 0), exactly.
 
     ``left`` and ``right`` have id and set (sorted distinct hashes); without ``right``, pairs a < b within ``left``.
-    Prefix filter: with shingles ordered from rare to frequent, similar sets of n shingles share one of the first
-    n - ceil(threshold * n) + 1, so only those are joined, and a shingle that many records share is seldom among them.
-    Sizes must allow the similarity. Candidates are compared on their whole sets.
+    Prefix filter: with shingles in one order, here from those seldom met in a sample to frequent ones, similar sets of n
+    shingles share one of the first n - ceil(threshold * n) + 1. Only those leave their row. Sizes and places must allow
+    the similarity. Rows of a shingle that very many sets have among their first are dealt to blocks, each block against
+    all, spread over tasks. Candidates are compared on their whole sets.
     """
     one = right is None
     left = materialize(left.select("id", "set"), "sets")
     right = left if one else materialize(right.select("id", "set"), "sets")
-    all_sets = left if one else left.unionByName(right)
-    freq = all_sets.select(F.explode("set").alias("h")).groupBy("h").count()
-
-    def prefixes(sets: DataFrame, name: str) -> DataFrame:
-        n = F.size("set")
-        take = n - F.ceil(n * F.lit(threshold) - 1e-9).cast("int") + 1
-        ranked = sets.select("id", take.alias("take"), n.alias("n"), F.explode("set").alias("h")).join(freq, "h")
-        own = ranked.groupBy("id", "n", "take").agg(F.array_sort(F.collect_list(F.struct("count", "h"))).alias("o"))
-        return own.select(F.col("id").alias(name), F.col("n").alias("n" + name), F.posexplode(F.slice("o", F.lit(1), F.col("take")))).select(name, "n" + name, F.col("pos").alias("p" + name), F.col("col.h").alias("h"))
-
-    a = materialize(prefixes(left, "a"), "prefixes")
-    b = a.toDF("b", "nb", "pb", "h") if one else prefixes(right, "b")
+    frequent = _frequent(left)
+    a = materialize(_prefixes(left, threshold, frequent, "a"), "prefixes")
+    b = a.toDF("b", "nb", "pb", "h") if one else materialize(_prefixes(right, threshold, frequent, "b"), "prefixes")
     small, large = F.least("na", "nb"), F.greatest("na", "nb")
     # Of what is left behind the shared shingle, all may be common at the most.
     room = F.lit(1) + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
     common = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-9)
     near = (small >= F.lit(threshold) * large - 1e-9) & (room + F.least("pa", "pb") >= common)
-    pairs = a.join(b, "h").where(near & (F.col("a") < F.col("b") if one else F.lit(True))).select("a", "b").distinct()
+    hot = materialize(a.groupBy("h").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("rows")).where(F.col("rows") > HOT).select("h", "blocks"), "hot")
+    n_hot = hot.count()
+    if n_hot:
+        mark = F.broadcast(hot) if n_hot <= MAX_SENT else hot
+        blocks = F.coalesce("blocks", F.lit(1))
+        a = a.join(mark, "h", "left").withColumn("block", F.pmod(F.xxhash64("a"), blocks).cast("int")).drop("blocks")
+        b = b.join(mark, "h", "left").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("blocks")
+    pairs = a.join(b, ["h", "block"] if n_hot else "h").where(near & (F.col("a") < F.col("b") if one else F.lit(True))).select("a", "b").distinct()
     both = F.size(F.array_intersect("sa", "sb"))
     sims = pairs.join(left.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(right.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
     return sims.select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("similarity")).where(F.col("similarity") >= threshold)
