@@ -5,13 +5,16 @@ Every choice is a hash of the row's number and a seed, so that a table is the sa
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.operators.prefix import ROWS_A_BUCKET, bits_for, prefix
 from millrace.operators.splits import weighted_choice
+from millrace.session import materialize
 
 # Categories of the two generators and their weights.
 SEMANTIC = (
@@ -24,56 +27,68 @@ BINDING = (
 )
 BENCHMARK = ("single_fact", "multi_fact", "distractor", "relation_reversal", "paraphrase", "pronoun", "multi_hop", "sentence_order", "entity_generalization", "distractor_binding")
 
-POOLS = {
+#: Pools of names for training and for the benchmark; no name stands in both, which :func:`guard_names` sees to.
+NAMES = {
     "name": "Ada Bruno Celia Dario Edith Fadil Greta Hugo Ines Jonas Kaja Lorenz Mina Nils Oda Pavel".split(),
     "other": "Quentin Rosa Selim Tilda Ursin Vera Wim Xenia Yannis Zelda".split(),
-    "held": "Alba Boris Clea Dunja Emil Frida Goran Hilde".split(),
+    "third": "Anouk Bela Cosima Dorian Elva Falk Gesa Henrik".split(),
+}
+HELD_NAMES = {
+    "name": "Alba Boris Clea Dunja Emil Frida Goran Hilde".split(),
+    "other": "Ivo Jana Kilian Luzia Marek Nadja Orla Piet".split(),
+    "third": "Romy Sven Thekla Ulf Viola Wanda".split(),
+}
+_THINGS = {
     "object": "lantern ladder kettle basket violin compass blanket mirror hammer satchel".split(),
-    "second": "bucket teapot scarf drum ruler wallet".split(),
+    "second": "bucket teapot scarf drum ruler umbrella".split(),
     "color": "red blue green yellow black white purple orange".split(),
     "place": ["the garden", "the kitchen", "the workshop", "the cellar", "the yard", "the attic"],
     "animal": "fox heron otter badger hare owl".split(),
     "prey": "mouse frog moth beetle".split(),
     "sound": "barks howls hoots squeaks".split(),
     "state": "asleep awake hungry calm tired".split(),
+    "weather": "windy cold warm foggy".split(),
     "reason": ["it was raining", "the door was shut", "the lamp was broken", "they were late"],
+    "when": ["In the morning", "After lunch", "Before dinner", "Late at night", "At noon", "On the way home"],
 }
-HELD_OUT = {**POOLS, "name": POOLS["held"]}
+POOLS = {**NAMES, **_THINGS}
+HELD_OUT = {**HELD_NAMES, **_THINGS}
 
-# One sentence pattern per category: context and question, and answer. {x} is drawn from pool x; {a} and {b} are numbers.
+# Sentence patterns by category: context and question, and answer. {x} is drawn from pool x, {an x} and {An x} put the
+# article before it; {n} and {m} are numbers, {n+m} their sum, and {more} is who of name and other has more.
 PATTERNS = {
-    "relation": ("{name} is the teacher of {other}. Who is the teacher of {other}?", "{name}."),
-    "chase": ("The {animal} chased the {prey}. What did the {animal} chase?", "The {prey}."),
-    "state": ("{name} is {state}. How is {name}?", "{name} is {state}."),
-    "state_adj": ("The {object} is {color}. What color is the {object}?", "{color}."),
-    "why": ("{name} stayed at home because {reason}. Why did {name} stay at home?", "Because {reason}."),
-    "why_animal": ("The {animal} hid because {reason}. Why did the {animal} hide?", "Because {reason}."),
-    "negation": ("{name} does not own a {object}. Does {name} own a {object}?", "No."),
-    "implied": ("{name} left {place} with the {object}. Is the {object} in {place}?", "No."),
-    "transitive": ("{name} is taller than {other}, and {other} is taller than {held}. Is {name} taller than {held}?", "Yes."),
-    "arithmetic": ("What is {a} + {b}?", "{a+b}"),
-    "complete": ("Complete: the {color} {object} is in", "{place}."),
-    "say_word": ("Say the word {object}.", "{object}"),
-    "sound": ("The {animal} {sound}. Which animal {sound}?", "The {animal}."),
-    "single_fact": ("{name} has a {color} {object}. What does {name} have?", "A {color} {object}."),
-    "location": ("The {object} is in {place}. Where is the {object}?", "In {place}."),
-    "identity": ("My name is {name}. What is my name?", "{name}."),
-    "sun": ("Where does the sun rise?", "In the east."),
-    "owns": ("The {object} belongs to {name}. Who owns the {object}?", "{name}."),
-    "comparison": ("{name} has {a} coins and {other} has {b}. Who was named first?", "{name}."),
-    "is_animal": ("Is a {animal} an animal?", "Yes."),
-    "multi_fact": ("{name} has a {color} {object}. {other} has a {second}. What does {other} have?", "A {second}."),
-    "distractor": ("{name} has a {object}. It was {state} weather. What does {name} have?", "A {object}."),
-    "relation_reversal": ("{name} gave {other} a {object}. Who got the {object}?", "{other}."),
-    "paraphrase": ("The owner of the {color} {object} is {name}. Who has the {color} {object}?", "{name}."),
-    "pronoun": ("{name} bought a {object}. They put it in {place}. Who bought the {object}?", "{name}."),
-    "multi_hop": ("{name} gave the {object} to {other}. {other} took it to {place}. Where is the {object}?", "In {place}."),
-    "sentence_order": ("{other} came after {name}. Who came first?", "{name}."),
-    "generalization": ("{name} keeps a {second} in {place}. What is in {place}?", "A {second}."),
-    "contrastive_binding": ("{name} has the {color} {object}; {other} has the {second}. Who has the {second}?", "{other}."),
-    "location_state": ("{name} left the {color} {object} in {place}. Where is the {object}?", "In {place}."),
-    "entity_generalization": ("{held} keeps a {object} in {place}. Who keeps a {object}?", "{held}."),
-    "distractor_binding": ("{name} has a {object} and {other} has a {second}. What does {name} have?", "A {object}."),
+    "relation": (("{name} is the teacher of {other}. Who is the teacher of {other}?", "{name}."), ("{other} has a teacher, and it is {name}. Who teaches {other}?", "{name}.")),
+    "chase": (("The {animal} chased the {prey}. What did the {animal} chase?", "The {prey}."), ("{when} the {animal} ran behind the {prey}. What ran behind the {prey}?", "The {animal}.")),
+    "state": (("{name} is {state}. How is {name}?", "{name} is {state}."), ("{when} {name} was {state}. Was {name} {state}?", "Yes.")),
+    "state_adj": (("The {object} is {color}. What color is the {object}?", "{color}."), ("Somebody painted the {object} {color}. Which color has it now?", "{color}.")),
+    "why": (("{name} stayed at home because {reason}. Why did {name} stay at home?", "Because {reason}."), ("As {reason}, {name} turned back. What made {name} turn back?", "That {reason}.")),
+    "why_animal": (("The {animal} hid because {reason}. Why did the {animal} hide?", "Because {reason}."), ("As {reason}, the {animal} slept in {place}. Why did it sleep there?", "Because {reason}.")),
+    "negation": (("{name} does not own {an object}. Does {name} own {an object}?", "No."), ("{name} has no {second}, only {an object}. Does {name} have {an object}?", "Yes.")),
+    "implied": (("{name} left {place} with the {object}. Is the {object} in {place}?", "No."), ("{name} put the {object} in {place} and went away. Is the {object} in {place}?", "Yes.")),
+    "transitive": (("{name} is taller than {other}, and {other} is taller than {third}. Is {name} taller than {third}?", "Yes."), ("{name} is older than {other}, and {other} is older than {third}. Who is the youngest?", "{third}.")),
+    "arithmetic": (("What is {n} + {m}?", "{n+m}"), ("{name} has {n} coins and finds {m} more. How many are there now?", "{n+m}")),
+    "complete": (("Complete: the {color} {object} is in", "{place}."), ("Complete: {name} carried the {object} to", "{place}.")),
+    "say_word": (("Say the word {object}.", "{object}"), ("Repeat after me: {object}.", "{object}")),
+    "sound": (("The {animal} {sound}. Which animal {sound}?", "The {animal}."), ("{when} the {animal} {sound}. What does the {animal} do?", "It {sound}.")),
+    "single_fact": (("{name} has {an color} {object}. What does {name} have?", "{An color} {object}."), ("There is {an color} {object} with {name}. Who has the {object}?", "{name}.")),
+    "location": (("The {object} is in {place}. Where is the {object}?", "In {place}."), ("{when} the {object} was seen in {place}. Where was it seen?", "In {place}.")),
+    "identity": (("My name is {name}. What is my name?", "{name}."), ("I am {name} and you are {other}. Who are you?", "{other}.")),
+    "sun": (("{when} {name} asked where the sun rises. Where does it rise?", "In the east."), ("{when} {name} asked where the sun sets. Where does it set?", "In the west."), ("{name} looks at the rising sun. Which way does {name} look?", "East."), ("{name} walks towards the setting sun. Which way does {name} walk?", "West.")),
+    "owns": (("The {object} belongs to {name}. Who owns the {object}?", "{name}."), ("{name} owns the {object}, {other} the {second}. Who owns the {second}?", "{other}.")),
+    "comparison": (("{name} has {n} coins and {other} has {m}. Who has more coins?", "{more}"), ("{other} counted {m} steps, {name} counted {n}. Who counted more?", "{more}")),
+    "is_animal": (("Is {an animal} an animal?", "Yes."), ("Is {an object} an animal?", "No.")),
+    "multi_fact": (("{name} has {an color} {object}. {other} has {an second}. What does {other} have?", "{An second}."), ("{other} brought {an second}, and {name} brought {an object}. What did {name} bring?", "{An object}.")),
+    "distractor": (("{name} has {an object}. It was {weather} outside. What does {name} have?", "{An object}."), ("{when} it was {weather}. {name} found {an second}. What did {name} find?", "{An second}.")),
+    "relation_reversal": (("{name} gave {other} {an object}. Who got the {object}?", "{other}."), ("{other} got {an second} from {name}. Who gave the {second}?", "{name}.")),
+    "paraphrase": (("The owner of the {color} {object} is {name}. Who has the {color} {object}?", "{name}."), ("It is {name} to whom the {second} belongs. Whose {second} is it?", "{name}.")),
+    "pronoun": (("{name} bought {an object}. They put it in {place}. Who bought the {object}?", "{name}."), ("{name} met {other} in {place} and gave them {an second}. Who has the {second} now?", "{other}.")),
+    "multi_hop": (("{name} gave the {object} to {other}. {other} took it to {place}. Where is the {object}?", "In {place}."), ("{name} lent the {object} to {other}, who lent it to {third}. Who has the {object}?", "{third}.")),
+    "sentence_order": (("{other} came after {name}. Who came first?", "{name}."), ("Before {name} arrived, {other} had left. Who was there earlier?", "{other}.")),
+    "generalization": (("{name} keeps {an second} in {place}. What is in {place}?", "{An second}."), ("In {place} stands {an second} of {name}. Whose {second} is it?", "{name}.")),
+    "contrastive_binding": (("{name} has the {color} {object}; {other} has the {second}. Who has the {second}?", "{other}."), ("Not {other} but {name} has the {object}. Who has it?", "{name}.")),
+    "location_state": (("{name} left the {color} {object} in {place}. Where is the {object}?", "In {place}."), ("{name} is {state} in {place}. Where is {name}?", "In {place}.")),
+    "entity_generalization": (("{name} keeps {an object} in {place}. Who keeps {an object}?", "{name}."), ("In {place} {other} stores {an second}. Who stores {an second}?", "{other}.")),
+    "distractor_binding": (("{name} has {an object} and {other} has {an second}. What does {name} have?", "{An object}."), ("It was {weather}. {other} has {an second}, {name} {an object}. What does {other} have?", "{An second}.")),
 }
 
 
@@ -92,45 +107,70 @@ def number(low: int, high: int, key: Column, choice: str, seed: int) -> Column:
 
 def _fill(pattern: str, words: dict[str, Column]) -> Column:
     parts: list[Column] = []
-    for piece in pattern.replace("}", "{").split("{"):
-        parts.append(words[piece] if piece in words and f"{{{piece}}}" in pattern else F.lit(piece))
+    for i, piece in enumerate(re.split(r"[{}]", pattern)):
+        if i % 2 == 0:
+            parts.append(F.lit(piece))
+            continue
+        article, _, pool = piece.rpartition(" ")
+        if article:
+            vowel = F.lower(F.substring(words[pool], 1, 1)).isin(*"aeiou")
+            parts.append(F.when(vowel, F.lit(article + " ")).otherwise(F.lit(article[:1] + " ")))
+        parts.append(words[pool])
     return F.concat(*parts)
 
 
+def _words(pools: dict[str, list[str]], key: Column, seed: int) -> dict[str, Column]:
+    words = {p: pick(v, key, p, seed) for p, v in pools.items()}
+    n, m = number(10, 89, key, "a", seed), number(10, 89, key, "b", seed)
+    more = F.when(n > m, F.concat(words["name"], F.lit("."))).when(n < m, F.concat(words["other"], F.lit("."))).otherwise(F.lit("They are even."))
+    return words | {"n": n.cast("string"), "m": m.cast("string"), "n+m": (n + m).cast("string"), "more": more}
+
+
+def _said(categories: Sequence[str], category: Column, words: dict[str, Column], key: Column, seed: int) -> tuple[Column, Column]:
+    """Question and answer of the row's category, in one of its phrasings."""
+    u = uniform(key, "phrasing", seed)
+    question, answer = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for c in categories:
+        ways = PATTERNS[c]
+        for i, (q, r) in enumerate(ways):
+            mine = (category == c) & (F.floor(u * len(ways)) == i)
+            question, answer = F.when(mine, _fill(q, words)).otherwise(question), F.when(mine, _fill(r, words)).otherwise(answer)
+    return question, answer
+
+
 def dialogs(spark: SparkSession, n: int, weights: Sequence[tuple[str, int]], *, seed: int = 42, plain: float = 0.0, attempts: int = 4, pools: dict[str, list[str]] | None = None) -> DataFrame:
     """At most ``n`` distinct dialogs: category, question, answer, text.
 
-    ``attempts`` times as many are drawn, repeated texts dropped and the first ``n`` kept. A share of ``plain`` texts
-    goes without the speaker's mark before the question.
+    ``attempts`` times as many are drawn, repeated texts dropped and the first ``n`` by number kept. A share of ``plain``
+    texts goes without the speaker's mark before the question. Pools that share a name with the benchmark's are refused.
     """
     pools = pools or POOLS
+    guard_names(pools, HELD_NAMES)
     key = F.col("id")
-    words = {p: pick(v, key, p, seed) for p, v in pools.items()}
-    a, b = number(10, 89, key, "a", seed), number(10, 89, key, "b", seed)
-    words |= {"a": a.cast("string"), "b": b.cast("string"), "a+b": (a + b).cast("string")}
     rows = spark.range(n * attempts).withColumn("category", weighted_choice(weights, uniform(key, "category", seed)))
-    question, answer = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for c, _ in weights:
-        q, r = PATTERNS[c]
-        question = F.when(F.col("category") == c, _fill(q, words)).otherwise(question)
-        answer = F.when(F.col("category") == c, _fill(r, words)).otherwise(answer)
+    question, answer = _said([c for c, _ in weights], F.col("category"), _words(pools, key, seed), key, seed)
     rows = rows.select("id", "category", question.alias("question"), answer.alias("answer"))
     text = F.concat(F.when(uniform(key, "plain", seed) < plain, "").otherwise("User: "), "question", F.lit("\nAssistant: "), "answer")
     distinct = rows.withColumn("text", text).groupBy("text").agg(F.min(F.struct("id", "category", "question", "answer")).alias("r"))
-    return distinct.select("r.*", "text").orderBy("id").limit(n)
+    rows = distinct.select("r.*", "text")
+    if n > ROWS_A_BUCKET:  # a rank in buckets, for a limit would gather all rows in one task
+        rows = materialize(rows, "dialogs")
+        bits = bits_for(n)
+        bucket = (F.col("id") * (1 << bits) / F.lit(n * attempts)).cast("int")
+        return prefix(rows, [], bucket, ["id"], rank="__rank").where(F.col("__rank") <= n).drop("__rank")
+    return rows.orderBy("id").limit(n)
 
 
-def binding_benchmark(spark: SparkSession, per_category: int = 60, *, seed: int = 7) -> DataFrame:
-    """``per_category`` rows of each benchmark category, with held-out names: category, prompt, keywords."""
-    pools, key = HELD_OUT, F.col("id")
-    words = {p: pick(v, key, p, seed) for p, v in pools.items()}
+def binding_benchmark(spark: SparkSession, per_category: int = 60, *, seed: int = 7, pools: dict[str, list[str]] | None = None) -> DataFrame:
+    """``per_category`` rows of each benchmark category, with held-out names: category, prompt, keywords.
+
+    Pools that share a name with the training's are refused.
+    """
+    pools, key = pools or HELD_OUT, F.col("id")
+    guard_names(NAMES, {p: v for p, v in pools.items() if p in HELD_NAMES})
     rows = spark.range(per_category * len(BENCHMARK)).withColumn("category", F.element_at(F.array(*[F.lit(c) for c in BENCHMARK]), (F.expr(f"id div {per_category}") + 1).cast("int")))
-    prompt, said = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for c in BENCHMARK:
-        q, r = PATTERNS[c]
-        prompt = F.when(F.col("category") == c, _fill(q, words)).otherwise(prompt)
-        said = F.when(F.col("category") == c, _fill(r, words)).otherwise(said)
-    keys = F.filter(F.split(F.lower(F.regexp_replace(said, r"[.]", "")), " "), lambda w: ~w.isin("a", "in", "the"))
+    prompt, said = _said(BENCHMARK, F.col("category"), _words(pools, key, seed), key, seed)
+    keys = F.filter(F.split(F.lower(F.regexp_replace(said, r"[.]", "")), " "), lambda w: ~w.isin("a", "an", "in", "the"))
     return rows.select("id", "category", prompt.alias("prompt"), keys.alias("keywords"))
 
 
@@ -143,9 +183,23 @@ def arithmetic(spark: SparkSession, n: int, *, seed: int = 42) -> DataFrame:
     return spark.range(n).select("id", F.inline(both))
 
 
-def shared_names(a: Sequence[str], b: Sequence[str]) -> list[str]:
-    """Names that training and benchmark pools share; there must be none before tables are written."""
-    return sorted(set(a) & set(b))
+def guard_names(training: dict[str, list[str]], held: dict[str, list[str]]) -> None:
+    """Raise if a training pool and one of the benchmark's share a name."""
+    both = {n for p in NAMES for n in training.get(p, ())} & {n for v in held.values() for n in v}
+    if both:
+        raise ValueError(f"names of the benchmark in the training pools: {sorted(both)}")
+
+
+def names_in(df: DataFrame, text: str) -> DataFrame:
+    """The distinct names of any pool that a column of generated texts holds."""
+    known = sorted({n for pools in (NAMES, HELD_NAMES) for v in pools.values() for n in v})
+    found = df.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(r"\p{Lu}\p{Ll}+"), 0)).alias("name"))
+    return found.where(F.col("name").isin(*known)).distinct()
+
+
+def shared_names(training: DataFrame, held: DataFrame, text: str = "text", prompt: str = "prompt") -> DataFrame:
+    """Names that generated training texts and benchmark prompts both hold; there must be none."""
+    return names_in(training, text).intersect(names_in(held, prompt))
 
 
 def category_counts(generated: DataFrame) -> DataFrame:
