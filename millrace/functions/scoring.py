@@ -22,10 +22,11 @@ def matched(response: Column | str, concepts: Column) -> Column:
 
 
 def concept_score(response: Column | str, required: Column, forbidden: Column) -> Column:
-    """Share of required concepts (1 if none are asked for) less a half for each forbidden one, within 0 and 1."""
+    """Share of required concepts (1 if none are asked for) less a half for each forbidden one, within 0 and 1, to four
+    digits."""
     n = F.size(F.coalesce(required, F.array().cast("array<string>")))
     share = F.when(n > 0, F.size(matched(response, required)) / n).otherwise(F.lit(1.0))
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), share - 0.5 * F.size(matched(response, forbidden))))
+    return F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share - 0.5 * F.size(matched(response, forbidden)))), 4)
 
 
 def last_number(col: Column | str) -> Column:

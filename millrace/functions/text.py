@@ -5,6 +5,7 @@ Nulls are read as empty texts. White space is Unicode's, letters and digits are
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -64,20 +65,38 @@ def _nfkc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield t.str.normalize("NFKC")
 
 
-def normalize_text(col: Column | str) -> Column:
-    """NFKC, one kind of line end, no odd blanks, at most one empty line in a row, no blanks at line ends.
+_BEYOND_ASCII = r"[^\x{00}-\x{7F}]"
 
-    Only texts with characters beyond ASCII pass through Python, for NFKC.
-    """
-    t = text_of(col)
-    t = F.when(t.rlike(r"[^\x{00}-\x{7F}]"), _nfkc(t)).otherwise(t)
+
+def _tidy(t: Column) -> Column:
     t = F.regexp_replace(t, r"\r\n?", "\n")
-    t = F.translate(t, " ​\x00", " ")
+    t = F.translate(t, "\u00a0\u200b\x00", " ")
     t = F.regexp_replace(t, r"\n{3,}", "\n\n")
     t = F.regexp_replace(t, r"(?m)[\t\x{0B}-\r\x{1C}-\x{20}\x{85}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+(?=\n|\z)", "")
     return strip(t)
 
 
+def normalize_text(col: Column | str) -> Column:
+    """NFKC, one kind of line end, no odd blanks, at most one empty line in a row, no blanks at line ends.
+
+    Only texts with characters beyond ASCII pass through Python, for NFKC: of others a null is sent.
+    """
+    t = text_of(col)
+    return _tidy(F.coalesce(_nfkc(F.when(t.rlike(_BEYOND_ASCII), t)), t))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _nfkc_all(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for column in texts:
+        yield column.map(lambda ts: None if ts is None else [unicodedata.normalize("NFKC", t) for t in ts])
+
+
+def normalize_texts(texts: Column) -> Column:
+    """Every text of an array without nulls normalized as :func:`normalize_text` does, within the row."""
+    wide = F.exists(texts, lambda t: t.rlike(_BEYOND_ASCII))
+    return F.transform(F.coalesce(_nfkc_all(F.when(wide, texts)), texts), _tidy)
+
+
 def _runs(items: Column, n: int) -> Column:
     last = F.size(items) - n + 1
     return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(items, i, n), " "))).otherwise(F.array().cast("array<string>"))

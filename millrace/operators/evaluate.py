@@ -47,14 +47,21 @@ def category_accuracy(scored: DataFrame, category: str = "category", flags: Sequ
     return scored.groupBy(category).agg(F.count("*").alias("n"), *[_rate(f).alias(f + "_rate") for f in flags])
 
 
+def prompt_accuracy(scored: DataFrame, category: str, wrapped: str, correct: str, strict: str) -> DataFrame:
+    """By category and way of asking (``wrapped`` as a dialog or plain), and by way of asking in all: n, correct, strict, accuracy."""
+    rows = scored.select(F.col(category).alias("category"), F.col(wrapped).alias("wrapped"), F.col(correct).alias("c"), F.col(strict).alias("s"))
+    by = rows.groupingSets([["category", "wrapped"], ["wrapped"]], "category", "wrapped")
+    return by.agg(F.count("*").alias("n"), F.count_if("c").alias("correct"), F.count_if("s").alias("strict"), _rate("c").alias("accuracy"), F.grouping("category").cast("int").alias("is_total"))
+
+
 def weighted_overall(categories: DataFrame, rate: str, n: str = "n") -> DataFrame:
     """The rate over all rows, from rates by category."""
     return categories.agg((F.sum(F.col(rate) * F.col(n)) / F.nullif(F.sum(n), F.lit(0))).alias(rate))
 
 
 def category_means(scored: DataFrame, category: str = "category", score: str = "score") -> DataFrame:
-    """The mean score by category, and over all rows (not over categories) under a null category."""
-    return scored.rollup(category).agg(F.count("*").alias("n"), F.avg(score).alias("mean_score"), F.grouping(category).cast("int").alias("is_total"))
+    """The mean score by category, and over all rows (not over categories) under a null category, to four digits."""
+    return scored.rollup(category).agg(F.count("*").alias("n"), F.bround(F.avg(score), 4).alias("mean_score"), F.grouping(category).cast("int").alias("is_total"))
 
 
 def diagnostics(scored: DataFrame, category: str, correct: str) -> DataFrame:
@@ -85,18 +92,21 @@ def compare(before: DataFrame, after: DataFrame, category: str = "category", sco
 
 
 def comparison_report(compared: DataFrame, overall_before: float | None, overall_after: float | None, *, limit: int = 1000) -> str:
-    """The comparison as Markdown; a category per row, at most ``limit``."""
+    """The comparison as Markdown, a category per row; more than ``limit`` of them are refused."""
+    rows = compared.orderBy("category").limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} categories are no report")
     num = lambda x: "N/A" if x is None else f"{x:.4f}"
     diff = None if None in (overall_before, overall_after) else overall_after - overall_before
     lines = ["| Category | Before | After | Delta |", "|---|---:|---:|---:|"]
-    lines += [f"| {r['title']} | {r['before_text']} | {r['after_text']} | {r['delta_text']} |" for r in compared.orderBy("category").limit(limit).collect()]
+    lines += [f"| {r['title']} | {r['before_text']} | {r['after_text']} | {r['delta_text']} |" for r in rows]
     lines.append(f"| **Overall** | **{num(overall_before)}** | **{num(overall_after)}** | **{'N/A' if diff is None else ('+' if diff > 0 else '') + num(diff)}** |")
     return "\n".join(lines) + "\n"
 
 
 def pass_at_1(results: DataFrame, passed: str = "passed") -> DataFrame:
-    """Tasks, passed ones, and their share in per cent; 0 of none."""
-    return results.agg(F.count("*").alias("n_tasks"), F.count_if(passed).alias("n_passed"), F.coalesce(_rate(passed) * 100.0, F.lit(0.0)).alias("pass_at_1"))
+    """Tasks, passed ones, and their share in per cent to two digits; 0 of none."""
+    return results.agg(F.count("*").alias("n_tasks"), F.count_if(passed).alias("n_passed"), F.bround(F.coalesce(_rate(passed) * 100.0, F.lit(0.0)), 2).alias("pass_at_1"))
 
 
 def prepare_code(df: DataFrame, completion: str, entry_point: str, prompt: str) -> DataFrame:

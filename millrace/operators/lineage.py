@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions.text import checkpoint_step
 from millrace.session import materialize
 
-#: Longest chain of checkpoints that is followed.
+#: Longest chain of checkpoints that is followed; a longer one is an error.
 MAX_DEPTH = 1000
 
 
@@ -42,6 +42,9 @@ def paths(edges: DataFrame, parent: str = "parent_checkpoint", child: str = "che
         if level.isEmpty():
             break
         out = out.unionByName(level)
+    else:
+        if not level.join(step, F.col("node") == F.col("p")).where(~F.array_contains("path", F.col("c"))).isEmpty():
+            raise RuntimeError(f"a chain of more than {MAX_DEPTH} checkpoints")
     return out
 
 

@@ -117,15 +117,18 @@ def intake(df: DataFrame, quotas: dict[str, int], *, source: str, order: str, st
     return rows.withColumn("position", F.when(F.col("outcome") == "accepted", earlier + 1)).drop("__before")
 
 
-def intake_summary(read: DataFrame, quotas: dict[str, int], *, source: str, reasons: Sequence[str] = ("quality", "contamination", "duplicate")) -> DataFrame:
-    """By source: target, accepted, rejected by reason, and the share of all accepted rows in per cent."""
+def intake_summary(read: DataFrame, quotas: dict[str, int], *, source: str, reasons: Sequence[str] = ("quality", "contamination", "duplicate", "too_long")) -> DataFrame:
+    """By source: target, accepted, rejected by reason, and the share of all accepted rows in per cent to two digits.
+
+    Nothing is rejected for its length: long rows are cut where they are tokenized, so that count is 0.
+    """
     spark = read.sparkSession
     asked = spark.createDataFrame(list(quotas.items()), f"{source} string, target long")
     n = read.groupBy(source).agg(F.count_if(F.col("outcome") == "accepted").alias("accepted"), *[F.count_if(F.col("outcome") == r).alias(f"rejected_{r}") for r in reasons])
     cols = ["accepted", *[f"rejected_{r}" for r in reasons]]
     both = asked.join(n, source, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in cols})
     total = both.agg(F.sum("accepted").alias("__total"))  # one row
-    share = F.when(F.col("__total") > 0, F.col("accepted") * 100.0 / F.col("__total")).otherwise(F.lit(0.0))
+    share = F.when(F.col("__total") > 0, F.bround(F.col("accepted") * 100.0 / F.col("__total"), 2)).otherwise(F.lit(0.0))
     return both.join(F.broadcast(total)).withColumn("actual_pct", share).drop("__total")
 
 

@@ -18,27 +18,28 @@ def _chars(messages: Column, role: str | None = None) -> Column:
 def record_statistics(records: DataFrame, messages: str = "messages") -> DataFrame:
     """One row: records, average question and answer characters, average, least and most approximate tokens.
 
-    Of no records the averages are 0 and so are least and most.
+    Averages have two digits. Of no records they are 0 and so are least and most.
     """
     ms = F.col(messages)
     per = records.select(_chars(ms, "user").alias("q"), _chars(ms, "assistant").alias("a"), approx_tokens(_chars(ms)).alias("t"))
     zero = lambda c, v: F.coalesce(c, F.lit(v))
+    mean = lambda c: zero(F.bround(F.avg(c), 2), 0.0)
     return per.agg(
         F.count("*").alias("n_records"),
-        zero(F.avg("q"), 0.0).alias("avg_question_chars"),
-        zero(F.avg("a"), 0.0).alias("avg_answer_chars"),
-        zero(F.avg("t"), 0.0).alias("avg_tokens"),
+        mean("q").alias("avg_question_chars"),
+        mean("a").alias("avg_answer_chars"),
+        mean("t").alias("avg_tokens"),
         zero(F.min("t"), 0).cast("long").alias("min_tokens"),
         zero(F.max("t"), 0).cast("long").alias("max_tokens"),
     )
 
 
 def histogram(df: DataFrame, col: Column | str, name: str = "value") -> DataFrame:
-    """Counts by value, null as ``unknown``, with the share in per cent."""
+    """Counts by value, null as ``unknown``, with the share in per cent to one digit."""
     c = F.col(col) if isinstance(col, str) else col
     counts = df.groupBy(F.coalesce(c.cast("string"), F.lit("unknown")).alias(name)).agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("__total"))  # one row
-    return counts.join(F.broadcast(total)).withColumn("pct", F.col("n") * 100.0 / F.col("__total")).drop("__total")
+    return counts.join(F.broadcast(total)).withColumn("pct", F.bround(F.col("n") * 100.0 / F.col("__total"), 1)).drop("__total")
 
 
 def length_percentiles(df: DataFrame, length: Column, by: Sequence[str] = ()) -> DataFrame:
@@ -88,7 +89,9 @@ def throughput(df: DataFrame, tokens: str, seconds: str) -> DataFrame:
 
 
 def markdown_table(df: DataFrame, columns: Sequence[str], limit: int = 1000) -> str:
-    """A small table as Markdown; at most ``limit`` rows."""
-    rows = df.select(*columns).limit(limit).collect()
+    """A small table as Markdown; one of more than ``limit`` rows is refused."""
+    rows = df.select(*columns).limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} rows are no report")
     show = lambda v: "" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v).replace("|", "\\|")
     return "\n".join(["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns), *("| " + " | ".join(show(v) for v in r) + " |" for r in rows)]) + "\n"

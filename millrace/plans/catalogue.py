@@ -91,18 +91,18 @@ _MESSAGES = "raw_seed_records r, (SELECT row_id AS k, unnest(messages) AS m FROM
     WITH p AS (SELECT coalesce(list_sum(list_transform(list_filter(messages, lambda m: m.role = 'user'), lambda m: coalesce(length(m.content), 0))), 0) AS q,
         coalesce(list_sum(list_transform(list_filter(messages, lambda m: m.role = 'assistant'), lambda m: coalesce(length(m.content), 0))), 0) AS a,
         coalesce(list_sum(list_transform(messages, lambda m: coalesce(length(m.content), 0))), 0) AS t FROM raw_seed_records)
-    SELECT count(*) AS n_records, avg(q)::DOUBLE AS avg_question_chars, avg(a)::DOUBLE AS avg_answer_chars, avg(round_even(t / 4.0, 0))::DOUBLE AS avg_tokens,
+    SELECT count(*) AS n_records, round_even(avg(q), 2)::DOUBLE AS avg_question_chars, round_even(avg(a), 2)::DOUBLE AS avg_answer_chars, round_even(avg(round_even(t / 4.0, 0))::DOUBLE, 2) AS avg_tokens,
         min(round_even(t / 4.0, 0))::BIGINT AS min_tokens, max(round_even(t / 4.0, 0))::BIGINT AS max_tokens FROM p""")
 def record_statistics(spark: SparkSession, d: str) -> DataFrame:
     return stats.record_statistics(_records(spark, d))
 
 
-@query("SELECT coalesce(category, 'unknown') AS value, count(*) AS n, count(*) * 100.0::DOUBLE / sum(count(*)) OVER () AS pct FROM raw_seed_records GROUP BY 1")
+@query("SELECT coalesce(category, 'unknown') AS value, count(*) AS n, round_even(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 1) AS pct FROM raw_seed_records GROUP BY 1")
 def category_histogram(spark: SparkSession, d: str) -> DataFrame:
     return stats.histogram(_records(spark, d), "category")
 
 
-@query("SELECT coalesce(difficulty, 'unknown') AS value, count(*) AS n, count(*) * 100.0::DOUBLE / sum(count(*)) OVER () AS pct FROM raw_seed_records GROUP BY 1")
+@query("SELECT coalesce(difficulty, 'unknown') AS value, count(*) AS n, round_even(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 1) AS pct FROM raw_seed_records GROUP BY 1")
 def difficulty_histogram(spark: SparkSession, d: str) -> DataFrame:
     return stats.histogram(_records(spark, d), "difficulty")
 
@@ -135,7 +135,7 @@ def quality_filter_reasons(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
     WITH p AS (SELECT {L.strip("instruction")} AS i, {L.strip("output")} AS r FROM raw_opencoder), s AS (SELECT coalesce({L.pair_reason("i", "r")}, 'accepted') AS value FROM p)
-    SELECT value, count(*) AS n, count(*) * 100.0::DOUBLE / sum(count(*)) OVER () AS pct FROM s GROUP BY value""")
+    SELECT value, count(*) AS n, round_even(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 1) AS pct FROM s GROUP BY value""")
 def rejection_breakdown(spark: SparkSession, d: str) -> DataFrame:
     return stats.histogram(table(spark, d, "raw_opencoder"), F.coalesce(Q.pair_reason("instruction", "output"), F.lit("accepted")))
 
@@ -157,19 +157,18 @@ def grounding_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 _SCHEMA_SQL = f"""
-    CASE WHEN {L.strip("id")} = '' THEN 'Field ''id'' must be a non-empty string' WHEN {L.strip("category")} = '' THEN 'Field ''category'' must be a non-empty string'
-    WHEN coalesce(difficulty, '') NOT IN ('beginner', 'intermediate', 'advanced') THEN 'Field ''difficulty'' must be one of beginner, intermediate, advanced, got ''' || coalesce(difficulty, 'None') || ''''
-    WHEN {L.strip("source")} = '' THEN 'Field ''source'' must be a non-empty string' WHEN tags IS NULL THEN 'Field ''tags'' must be a list'
-    WHEN coalesce(len(messages), 0) < 2 THEN 'Field ''messages'' must be a list with at least 2 messages (user and assistant)'
+    CASE WHEN {L.strip("id")} = '' THEN 'id_blank' WHEN {L.strip("category")} = '' THEN 'category_blank'
+    WHEN coalesce(difficulty, '') NOT IN ('beginner', 'intermediate', 'advanced') THEN 'difficulty_unknown=' || coalesce(difficulty, 'null')
+    WHEN {L.strip("source")} = '' THEN 'source_blank' WHEN tags IS NULL THEN 'tags_missing' WHEN coalesce(len(messages), 0) < 2 THEN 'messages_few'
     WHEN len(faults) > 0 THEN faults[1]
-    WHEN NOT list_contains(list_transform(messages, lambda m: m.role), 'user') THEN 'Conversation must contain at least one message with role ''user'''
-    WHEN NOT list_contains(list_transform(messages, lambda m: m.role), 'assistant') THEN 'Conversation must contain at least one message with role ''assistant''' END"""
+    WHEN NOT list_contains(list_transform(messages, lambda m: m.role), 'user') THEN 'user_missing'
+    WHEN NOT list_contains(list_transform(messages, lambda m: m.role), 'assistant') THEN 'assistant_missing' END"""
+_FAULTS_SQL = f"""list_filter(list_transform(messages, lambda m, i: CASE WHEN coalesce(m.role, '') NOT IN ('system', 'user', 'assistant')
+            THEN 'role_unknown=' || (i - 1) || ':' || coalesce(m.role, 'null') WHEN {L.strip("m.content")} = '' THEN 'content_blank=' || (i - 1) END), lambda x: x IS NOT NULL)"""
 
 
 @query(f"""
-    WITH f AS (SELECT *, list_filter(list_transform(messages, lambda m, i: CASE WHEN coalesce(m.role, '') NOT IN ('system', 'user', 'assistant')
-            THEN 'Message at index ' || (i - 1) || ' has invalid role ''' || coalesce(m.role, 'None') || '''' WHEN {L.strip("m.content")} = ''
-            THEN 'Message at index ' || (i - 1) || ' has empty or non-string content' END), lambda x: x IS NOT NULL) AS faults FROM raw_seed_records)
+    WITH f AS (SELECT *, {_FAULTS_SQL} AS faults FROM raw_seed_records)
     SELECT row_id, {_SCHEMA_SQL} AS reason FROM f""")
 def schema_validation(spark: SparkSession, d: str) -> DataFrame:
     return _records(spark, d).select("row_id", Q.schema_reason(*[F.col(c) for c in ("id", "category", "difficulty", "source", "tags", "messages")]).alias("reason"))
@@ -181,17 +180,39 @@ def _role_named(messages: str = "messages") -> Column:
     return F.transform(messages, lambda m: F.struct(F.when(low(m).isin("human", "user"), "user").when(low(m).isin("bot", "assistant"), "assistant").otherwise(m["role"]).alias("role"), m["content"].alias("content")))
 
 
-@query()
+_ROLES_SQL = "list_transform(messages, lambda m: struct_pack(role := CASE lower(trim(m.role)) WHEN 'human' THEN 'user' WHEN 'user' THEN 'user' WHEN 'bot' THEN 'assistant' WHEN 'assistant' THEN 'assistant' ELSE m.role END, content := m.content))"
+_ISSUES_SQL = f"""concat_ws(';', CASE WHEN len({L.secrets("t")}) > 0 THEN 'secret=' || array_to_string(list_transform({L.secrets("t")}, lambda x: left(x, 30) || '...'), ',') END,
+        'placeholder=' || {L.placeholder("t")}, CASE WHEN len(w) >= 20 AND {L.repetition(L.ngrams("w", 4))} > 0.4 THEN 'repeats' END, CASE WHEN {L.cut_off("t")} THEN 'cut_off' END)"""
+_VALID_SQL = f"""
+    named AS (SELECT * REPLACE ({_ROLES_SQL} AS messages) FROM raw_seed_records), f AS (SELECT *, {_FAULTS_SQL} AS faults FROM named), g AS (SELECT *, {_SCHEMA_SQL} AS fault FROM f),
+    m AS (SELECT row_id, i, role, {L.tidy("content")} AS t FROM (SELECT row_id, unnest(range(1, len(messages) + 1)) AS i, unnest(messages).role AS role, unnest(messages).content AS content FROM g WHERE fault IS NULL)),
+    u AS (SELECT *, {_ISSUES_SQL} AS bad FROM (SELECT *, {L.words("t")} AS w FROM m)),
+    c AS (SELECT row_id, arg_min(role || ':' || bad, i) FILTER (bad <> '') AS unclean, coalesce(sum(length(t)) FILTER (role = 'user'), 0) AS nu, coalesce(sum(length(t)) FILTER (role = 'assistant'), 0) AS na,
+        string_agg(t, ' ' ORDER BY i) AS everything, arg_min(t, i) FILTER (role = 'user') AS prompt FROM u GROUP BY row_id),
+    checked AS (SELECT row_id, id, prompt, CASE WHEN fault IS NOT NULL THEN fault WHEN unclean IS NOT NULL THEN 'message_unclean=' || unclean WHEN nu < 15 THEN 'user_short=' || nu
+        WHEN na < 40 THEN 'assistant_short=' || na WHEN {L.ungrounded("everything")} THEN 'ungrounded' END AS reason FROM g LEFT JOIN c USING (row_id))"""
+
+
+@query(f"WITH {_VALID_SQL} SELECT row_id, reason FROM checked")
 def record_validation(spark: SparkSession, d: str) -> DataFrame:
     return pipelines.validated(_records(spark, d).withColumn("messages", _role_named()), "row_id").select("row_id", "reason")
 
 
-@query()
+@query(f"SELECT doc_id, {L.tidy('text')} AS text FROM documents")
 def normalized_text(spark: SparkSession, d: str) -> DataFrame:
     return _documents(spark, d).select("doc_id", X.normalize_text("text").alias("text"))
 
 
-@query()
+_CURATED_SQL = f"""
+    WITH RECURSIVE {_VALID_SQL}, good AS (SELECT row_id, id, {L.strip("prompt")} AS prompt, min(row_id) OVER (PARTITION BY id) AS same_id FROM checked WHERE reason IS NULL),
+    once AS (SELECT row_id, prompt, min(row_id) OVER (PARTITION BY {L.squeeze("prompt")}) AS same_prompt FROM good WHERE row_id = same_id), left_ AS (SELECT row_id, prompt FROM once WHERE row_id = same_prompt),
+    {L.near_pairs("left_", "row_id", L.ascii_words("prompt"), 0.8)}, {L.greedy_keep()},
+    curated AS (SELECT row_id, 'invalid' AS outcome, reason FROM checked WHERE reason IS NOT NULL
+        UNION ALL SELECT row_id, 'duplicate_id', 'same_id=' || id FROM good WHERE row_id <> same_id UNION ALL SELECT row_id, 'exact_duplicate', 'same_prompt=' || same_prompt FROM once WHERE row_id <> same_prompt
+        UNION ALL SELECT row_id, CASE WHEN kept_by IS NULL THEN 'accepted' ELSE 'near_duplicate' END, 'near=' || kept_by FROM left_ LEFT JOIN near_by ON near_by.id = row_id)"""
+
+
+@query(_CURATED_SQL + " SELECT row_id, outcome, reason FROM curated")
 def curated_records(spark: SparkSession, d: str) -> DataFrame:
     return pipelines.curate(_records(spark, d).withColumn("messages", _role_named()), "row_id")
 
@@ -201,6 +222,12 @@ def curated_splits(spark: SparkSession, d: str) -> DataFrame:
     return pipelines.curate_and_split(_records(spark, d).withColumn("messages", _role_named()), "row_id")
 
 
+@query(_CURATED_SQL + """, total AS (SELECT count(*) AS n FROM curated WHERE outcome = 'accepted'), v AS (SELECT n, greatest(1, round_even(n * 0.05, 0)::BIGINT) AS v FROM total)
+    SELECT unnest(['train', 'validation', 'test']) AS split, unnest([n - 2 * v, v, v]) AS n FROM v""")
+def curated_split_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return curated_splits(spark, d).groupBy("split").agg(F.count("*").alias("n"))
+
+
 # ---------------------------------------------------------------- normalizing
 
 
@@ -289,32 +316,48 @@ def near_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
     return dedup.similar_sets(classes.where("id = rep"), 0.8)
 
 
-@query()
+_LINKS_SQL = """, both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), cls AS (SELECT id, min(id) OVER (PARTITION BY g) AS class_id FROM (SELECT id, list_sort(list(g)) AS g FROM s GROUP BY id)),
+    linked AS (SELECT a, count(*) AS n_links FROM both_ways GROUP BY a)
+    SELECT w.id, coalesce(class_id, w.id) AS class_id, coalesce(n_links, 0) AS n_links FROM w LEFT JOIN cls ON cls.id = w.id LEFT JOIN linked ON linked.a = w.id"""
+_SAID_SQL = "(SELECT row_id, array_to_string(list_transform(messages, lambda m: coalesce(m.content, '')), ' ') AS t FROM raw_seed_records)"
+_FORM_WORDS = f"list_filter(string_split({L.form('t')}, ' '), lambda x: x <> '')"
+
+
+@query("WITH " + L.near_pairs(_SAID_SQL, "row_id", _FORM_WORDS, 0.8) + _LINKS_SQL)
 def near_dup_record_links(spark: SparkSession, d: str) -> DataFrame:
     """One row per record: the first record with its shingles, which near_dup_pairs names, and how many are similar."""
     said = F.array_join(F.transform("messages", lambda m: X.text_of(m["content"])), " ")
     return dedup.near_duplicate_links(_records(spark, d), said, "row_id", sets=X.comparison_shingles(said), every=True)
 
 
-@query()
+@query("WITH " + L.near_pairs("documents", "doc_id", L.ascii_words("text"), 0.8) + _LINKS_SQL)
 def near_dup_links(spark: SparkSession, d: str) -> DataFrame:
     return dedup.near_duplicate_links(_documents(spark, d), "text", "doc_id", every=True)
 
 
-@query()
+@query(f"WITH RECURSIVE {L.near_pairs('documents', 'doc_id', L.ascii_words('text'), 0.8)}, {L.greedy_keep()} SELECT doc_id, source, kept_by FROM documents LEFT JOIN near_by ON near_by.id = doc_id")
 def near_dup_keep_first(spark: SparkSession, d: str) -> DataFrame:
     return dedup.near_duplicates_kept_first(_documents(spark, d).select("doc_id", "source", "text"), "text", "doc_id").select("doc_id", "source", "kept_by")
 
 
-@query()
+_PROMPTS_SQL = f"(SELECT row_id, {L.strip('list_filter(messages, lambda m: m.role = chr(117) || chr(115) || chr(101) || chr(114))[1].content')} AS prompt FROM raw_seed_records)"
+
+
+@query(f"WITH RECURSIVE {L.near_pairs(_PROMPTS_SQL, 'row_id', L.ascii_words('prompt'), 0.8)}, {L.greedy_keep()} SELECT row_id, kept_by FROM raw_seed_records LEFT JOIN near_by ON near_by.id = row_id")
 def prompt_near_dup_keep_first(spark: SparkSession, d: str) -> DataFrame:
     prompts = _records(spark, d).select("row_id", normalize.user_prompt(F.col("messages")).alias("prompt"))
     return dedup.near_duplicates_kept_first(prompts, "prompt", "row_id").select("row_id", "kept_by")
 
 
-@query()
+@query(f"""
+    WITH {L.near_pairs("documents", "doc_id", L.ascii_words("text"), 0.75)}, p AS (SELECT doc_id, {L.partition_of("doc_id::VARCHAR", chr(39) * 2)} = 'train' AS train, {L.squeeze("text")} AS h FROM documents),
+    x AS (SELECT t.doc_id, min(o.doc_id) AS train_id FROM p t JOIN p o ON t.h = o.h AND o.train WHERE NOT t.train GROUP BY t.doc_id),
+    d AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), y AS (SELECT a AS doc_id, min(b) AS train_id FROM d JOIN p t ON t.doc_id = a AND NOT t.train JOIN p o ON o.doc_id = b AND o.train WHERE a NOT IN (SELECT doc_id FROM x) GROUP BY a)
+    SELECT doc_id, train_id, 'exact' AS kind, 1.0::DOUBLE AS similarity FROM x
+    UNION ALL SELECT doc_id, train_id, 'near', k / (m.n + o.n - k) FROM y JOIN k ON k.a = least(doc_id, train_id) AND k.b = greatest(doc_id, train_id) JOIN n m ON m.id = doc_id JOIN n o ON o.id = train_id""")
 def split_contamination(spark: SparkSession, d: str) -> DataFrame:
-    docs = materialize(_documents(spark, d).select("doc_id", "text", splits.partition_of("text", F.lit("")).alias("split")), "split")
+    """The split is by number: one by content would keep equal texts together."""
+    docs = materialize(_documents(spark, d).select("doc_id", "text", splits.partition_of(F.col("doc_id").cast("string"), F.lit("")).alias("split")), "split")
     return pipelines.validate_splits(docs, "split", "text", "doc_id")
 
 
@@ -386,8 +429,8 @@ def round_robin_order(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_INTAKE_SQL + f""", q AS (SELECT unnest({list(QUOTAS)}) AS source, unnest({list(QUOTAS.values())}) AS target)
     SELECT q.source, target::BIGINT AS target, count(*) FILTER (outcome = 'accepted') AS accepted, count(*) FILTER (outcome = 'quality') AS rejected_quality,
-        count(*) FILTER (outcome = 'contamination') AS rejected_contamination, count(*) FILTER (outcome = 'duplicate') AS rejected_duplicate,
-        CASE WHEN sum(count(*) FILTER (outcome = 'accepted')) OVER () > 0 THEN count(*) FILTER (outcome = 'accepted') * 100.0::DOUBLE / sum(count(*) FILTER (outcome = 'accepted')) OVER () ELSE 0.0 END AS actual_pct
+        count(*) FILTER (outcome = 'contamination') AS rejected_contamination, count(*) FILTER (outcome = 'duplicate') AS rejected_duplicate, 0::BIGINT AS rejected_too_long,
+        CASE WHEN sum(count(*) FILTER (outcome = 'accepted')) OVER () > 0 THEN round_even(count(*) FILTER (outcome = 'accepted') * 100.0::DOUBLE / sum(count(*) FILTER (outcome = 'accepted')) OVER (), 2) ELSE 0.0 END AS actual_pct
     FROM q LEFT JOIN o ON q.source = o.source GROUP BY q.source, target""")
 def quota_mixture_summary(spark: SparkSession, d: str) -> DataFrame:
     return splits.intake_summary(_document_intake(spark, d), QUOTAS, source="source")
@@ -586,7 +629,7 @@ _ANSWER_SQL = f"""
     a AS (SELECT row_id, coalesce({L.contents("messages", "assistant")}[1], '') AS response, category, prompt, coalesce(req, []) AS req, coalesce(forb, []) AS forb
         FROM (SELECT row_id, messages, (row_id % 60)::INT AS k FROM raw_seed_records) JOIN q ON k = n)"""
 _SCORED_SQL = """, m AS (SELECT *, len(list_filter(req, lambda c: contains(lower(response), lower(c)))) AS hit, len(list_filter(forb, lambda c: contains(lower(response), lower(c)))) AS bad FROM a),
-    s AS (SELECT row_id, category, hit, bad, greatest(0.0, least(1.0, CASE WHEN len(req) > 0 THEN hit / len(req) ELSE 1.0 END - 0.5 * bad))::DOUBLE AS score FROM m)"""
+    s AS (SELECT row_id, category, hit, bad, round_even(greatest(0.0, least(1.0, CASE WHEN len(req) > 0 THEN hit / len(req) ELSE 1.0 END - 0.5 * bad))::DOUBLE, 4) AS score FROM m)"""
 
 
 @query(_ANSWER_SQL + _SCORED_SQL + " SELECT row_id, category, hit, bad, score FROM s")
@@ -595,9 +638,9 @@ def concept_scores(spark: SparkSession, d: str) -> DataFrame:
     return s.select("row_id", "category", F.size("matched_required").alias("hit"), F.size("matched_forbidden").alias("bad"), "score")
 
 
-@query(_ANSWER_SQL + _SCORED_SQL + " SELECT category, count(*) AS n, round(avg(score), 6) AS mean_score, grouping(category) AS is_total FROM s GROUP BY ROLLUP (category)")
+@query(_ANSWER_SQL + _SCORED_SQL + " SELECT category, count(*) AS n, round_even(avg(score), 4) AS mean_score, grouping(category) AS is_total FROM s GROUP BY ROLLUP (category)")
 def category_rollup(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(evaluate.category_means(evaluate.score_concepts(_answers(spark, d))), "mean_score")
+    return evaluate.category_means(evaluate.score_concepts(_answers(spark, d)))
 
 
 _KEYED_SQL = f""", k AS (SELECT row_id, category, prompt, response, {L.words("response")} AS w, req FROM a),
@@ -633,12 +676,14 @@ def composite_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(_ANSWER_SQL + _SCORED_SQL + """, b AS (SELECT category, avg(score) AS before FROM s WHERE row_id // 60 % 2 = 0 GROUP BY category), c AS (SELECT category, avg(score) AS after FROM s WHERE row_id // 60 % 2 = 1 GROUP BY category)
-    SELECT category, round(before, 6) AS before, round(after, 6) AS after, round(after - before, 6) AS delta, coalesce(printf('%.4f', before), 'N/A') AS before_text, coalesce(printf('%.4f', after), 'N/A') AS after_text FROM b FULL JOIN c USING (category)""")
+    SELECT category, array_to_string(list_transform(string_split(replace(category, '_', ' '), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS title, round(before, 6) AS before, round(after, 6) AS after,
+        round(after - before, 6) AS delta, coalesce(printf('%.4f', before), 'N/A') AS before_text, coalesce(printf('%.4f', after), 'N/A') AS after_text,
+        coalesce(CASE WHEN after > before THEN '+' ELSE '' END || printf('%.4f', after - before), 'N/A') AS delta_text FROM b FULL JOIN c USING (category)""")
 def before_after_delta(spark: SparkSession, d: str) -> DataFrame:
     """Every other sixty rows stand for one of two models: each row is one answer of one of them."""
     s = evaluate.score_concepts(_answers(spark, d))
     mean = lambda k: s.where(F.expr("row_id div 60 % 2") == k).groupBy("category").agg(F.avg("score").alias("score"))
-    return _rounded(evaluate.compare(mean(0), mean(1)).select("category", "before", "after", "delta", "before_text", "after_text"), "before", "after", "delta")
+    return _rounded(evaluate.compare(mean(0), mean(1)).select("category", "title", "before", "after", "delta", "before_text", "after_text", "delta_text"), "before", "after", "delta")
 
 
 @query("SELECT count(*) AS n_tasks, count(*) FILTER (coalesce(contains(code, 'def ' || entry_point), false)) AS n_passed, avg(coalesce(contains(code, 'def ' || entry_point), false)::INT) * 100.0::DOUBLE AS pass_at_1 FROM raw_opencoder")
@@ -802,6 +847,6 @@ def mixture_table(spark: SparkSession, d: str) -> DataFrame:
     return signals.mixture_table(_documents(spark, d), "source", X.word_count("text").cast("long"), targets, 1_000_000)
 
 
-@query("SELECT coalesce(lang, 'unknown') AS value, count(*) AS n, count(*) * 100.0::DOUBLE / sum(count(*)) OVER () AS pct FROM documents GROUP BY 1")
+@query("SELECT coalesce(lang, 'unknown') AS value, count(*) AS n, round_even(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 1) AS pct FROM documents GROUP BY 1")
 def language_distribution(spark: SparkSession, d: str) -> DataFrame:
     return stats.histogram(_documents(spark, d), "lang")

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.quality import content_reason, issues, normalize_text, pair_reason, schema_reason
-from millrace.functions.text import strip
+from millrace.functions.quality import content_reason, issues, pair_reason, schema_reason
+from millrace.functions.text import let, normalize_texts, strip, text_of
 from millrace.operators.decontam import contamination
 from millrace.operators.dedup import first_by, near_duplicates_kept_first, split_contamination
 from millrace.operators.normalize import user_prompt
@@ -23,20 +23,21 @@ SHARES = {"opencoder": 0.45, "bigcode": 0.25, "smoltalk": 0.20, "cybersecurity":
 def validated(records: DataFrame, key: str) -> DataFrame:
     """Every record with ``reason`` (null if it is valid) and, cleaned, its messages.
 
-    ``key`` is unique. Messages are normalized one by one: they pass through Python for NFKC only as far as needed.
+    Messages are normalized within their record, so nothing moves; they pass through Python for NFKC only where one
+    holds characters beyond ASCII. ``key`` is carried along.
     """
     cols = {c: F.col(c) for c in ("id", "category", "difficulty", "source", "tags", "messages")}
     rows = records.withColumn("__schema", schema_reason(**cols))
-    turns = rows.where("__schema is null").select(key, F.posexplode("messages").alias("i", "m")).select(key, "i", F.col("m.role").alias("role"), normalize_text(F.col("m.content")).alias("content"))
-    turns = turns.withColumn("found", issues(F.col("content")))
-    clean = turns.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "role", "content", "found"))).alias("__clean")).withColumnRenamed(key, "__k")
-    both = rows.join(clean, F.col(key) == F.col("__k"), "left")
-    both = both.withColumn("reason", F.coalesce("__schema", content_reason(F.col("__clean"))))
-    return both.withColumn("messages", F.when(F.col("reason").isNull(), F.transform("__clean", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))).otherwise(F.col("messages"))).drop("__schema", "__k", "__clean")
+    said = F.when(F.col("__schema").isNull(), F.transform("messages", lambda m: text_of(m["content"])))
+    rows = rows.withColumn("__said", said).withColumn("__said", normalize_texts(F.col("__said")))
+    clean = F.transform("messages", lambda m, i: let(F.get("__said", i), lambda t: F.struct(m["role"].alias("role"), t.alias("content"), issues(t).alias("found"))))
+    rows = rows.withColumn("__clean", F.when(F.col("__said").isNotNull(), clean))
+    rows = rows.withColumn("reason", F.coalesce("__schema", content_reason(F.col("__clean"))))
+    return rows.withColumn("messages", F.when(F.col("reason").isNull(), F.transform("__clean", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))).otherwise(F.col("messages"))).drop("__schema", "__said", "__clean")
 
 
 def curate(records: DataFrame, key: str, *, threshold: float = 0.8) -> DataFrame:
-    """Every record with ``outcome``: accepted, invalid, duplicate_id, exact_duplicate or near_duplicate, and ``reason``.
+    """Every record with ``outcome``: accepted, invalid, duplicate_id, exact_duplicate or near_duplicate, and ``reason``: a code, with the id or row that goes before.
 
     Records are taken by rising ``key``. Of records with one id the first valid one stays, then of those with one user
     prompt the first, then of near duplicates the first that is near to no kept one.
@@ -45,14 +46,14 @@ def curate(records: DataFrame, key: str, *, threshold: float = 0.8) -> DataFrame
     bad = checked.where("reason is not null").select(key, F.lit("invalid").alias("outcome"), "reason")
     good = checked.where("reason is null").select(key, "id", "__prompt")
     by_id = first_by(good, ["id"], key, "__first")
-    twice = by_id.where(F.col("__first") != F.col(key)).select(key, F.lit("duplicate_id").alias("outcome"), F.concat(F.lit("Duplicate record ID: '"), "id", F.lit("'")).alias("reason"))
+    twice = by_id.where(F.col("__first") != F.col(key)).select(key, F.lit("duplicate_id").alias("outcome"), F.concat(F.lit("same_id="), "id").alias("reason"))
     once = materialize(by_id.where(F.col("__first") == F.col(key)).drop("__first"), "once")
     form = F.trim(F.regexp_replace(F.lower("__prompt"), r"\s+", " "))
     same = first_by(once, [F.sha2(form, 256)], key, "__first")
-    exact = same.where(F.col("__first") != F.col(key)).select(key, F.lit("exact_duplicate").alias("outcome"), F.concat(F.lit("Exact prompt duplicate of row "), F.col("__first").cast("string")).alias("reason"))
+    exact = same.where(F.col("__first") != F.col(key)).select(key, F.lit("exact_duplicate").alias("outcome"), F.concat(F.lit("same_prompt="), F.col("__first").cast("string")).alias("reason"))
     left = materialize(same.where(F.col("__first") == F.col(key)).drop("__first"), "left")
     near = near_duplicates_kept_first(left, "__prompt", key, threshold=threshold)
-    last = near.select(key, F.when(F.col("kept_by").isNull(), "accepted").otherwise("near_duplicate").alias("outcome"), F.concat(F.lit("Near duplicate of row "), F.col("kept_by").cast("string")).alias("reason"))
+    last = near.select(key, F.when(F.col("kept_by").isNull(), "accepted").otherwise("near_duplicate").alias("outcome"), F.concat(F.lit("near="), F.col("kept_by").cast("string")).alias("reason"))
     return bad.unionByName(twice).unionByName(exact).unionByName(last)
 
 

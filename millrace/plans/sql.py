@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from millrace.functions.quality import GROUNDING, OFFENSIVE, PAIR_PLACEHOLDERS, PLACEHOLDERS, SECRETS
 from millrace.functions.text import NO_WORD, ORPHANS, SPACE
+from millrace.operators.splits import PARTITION_SALT
 
 
 def quoted(text: str) -> str:
@@ -67,14 +68,12 @@ def pair_reason(i: str, r: str) -> str:
     """Over columns i and r that are stripped already."""
     bad = quoted("(?i)" + "|".join(f"(?:{p})" for p in PAIR_PLACEHOLDERS))
     w = words(r)
-    return f"""CASE WHEN {i} = '' THEN 'Empty instruction' WHEN {r} = '' THEN 'Empty response'
-        WHEN length({i}) < 10 THEN 'Instruction too short (' || length({i}) || ' < 10)'
-        WHEN length({r}) < 20 THEN 'Response too short (' || length({r}) || ' < 20)'
-        WHEN length({i}) + length({r}) > 24000 THEN 'Total characters (' || (length({i}) + length({r})) || ') exceeds pathological limit (24000)'
-        WHEN regexp_matches({i}, {bad}) THEN 'Instruction matched placeholder/refusal pattern'
-        WHEN regexp_matches({r}, {bad}) THEN 'Response matched placeholder/refusal pattern'
-        WHEN contains({r}, '```') AND {fences(r)} % 2 <> 0 THEN 'Unbalanced code fence (truncation indicator)'
-        WHEN len({w}) >= 30 AND {repetition(ngrams(w, 4))} > 0.45 THEN 'Excessive n-gram repetition detected in response' END"""
+    return f"""CASE WHEN {i} = '' THEN 'instruction_blank' WHEN {r} = '' THEN 'response_blank'
+        WHEN length({i}) < 10 THEN 'instruction_short=' || length({i}) WHEN length({r}) < 20 THEN 'response_short=' || length({r})
+        WHEN length({i}) + length({r}) > 24000 THEN 'pair_long=' || (length({i}) + length({r}))
+        WHEN regexp_matches({i}, {bad}) THEN 'instruction_placeholder' WHEN regexp_matches({r}, {bad}) THEN 'response_placeholder'
+        WHEN contains({r}, '```') AND {fences(r)} % 2 <> 0 THEN 'response_fence_open'
+        WHEN len({w}) >= 30 AND {repetition(ngrams(w, 4))} > 0.45 THEN 'response_repeats' END"""
 
 
 def has_word(x: str, keyword: str) -> str:
@@ -83,7 +82,7 @@ def has_word(x: str, keyword: str) -> str:
 
 
 def partition_of(i: str, r: str) -> str:
-    digest = f"md5('project_xyz_sft_seed_42::' || {squeeze(i)} || '::' || {squeeze(r)})"
+    digest = f"md5('{PARTITION_SALT}::' || {squeeze(i)} || '::' || {squeeze(r)})"
     return f"CASE WHEN {digest} < 'e6666666666668000000000000000000' THEN 'train' WHEN {digest} < 'f3333333333338000000000000000000' THEN 'validation' ELSE 'test' END"
 
 
@@ -94,3 +93,37 @@ def contents(messages: str, role: str) -> str:
 
 def content_id(source: str, i: str, r: str) -> str:
     return f"'{source}_' || sha256('{source}::' || {i} || '::' || {r})[1:16]"
+
+
+def ascii_words(x: str) -> str:
+    """Runs of ASCII word characters and hyphens between Unicode's word boundaries. This engine knows ASCII's boundaries
+    only, so words with other letters stand as one ASCII word until the runs are found."""
+    other, mark = "[\\p{L}\\p{M}\\p{N}_]*[^\\x00-\\x7F\\s\\p{P}\\p{S}\\p{Z}\\p{C}][\\p{L}\\p{M}\\p{N}_]*", "0qxq0"
+    runs = f"regexp_extract_all(regexp_replace(lower({text(x)}), '{other}', '{mark}', 'g'), '\\b[a-z0-9_-]+\\b')"
+    return f"list_filter(flatten(list_transform({runs}, lambda w: string_split(w, '{mark}'))), lambda w: w <> '')"
+
+
+def tidy(x: str) -> str:
+    """The clean-up of texts; of compatibility forms it knows full width and the ellipsis, which these tables hold."""
+    blanks = "[\\t\\x0B-\\r\\x1C-\\x20\\x{85}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
+    wide, plain = "".join(chr(c) for c in range(0xFF01, 0xFF5F)), "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
+    t = f"replace(translate({text(x)}, {quoted(wide + chr(0x3000))}, {quoted(plain + ' ')}), '…', '...')"
+    t = f"regexp_replace({t}, '\\r\\n?', chr(10), 'g')"
+    t = f"regexp_replace(replace(replace({t}, chr(160), ' '), chr(8203), ''), '\\n{{3,}}', chr(10) || chr(10), 'g')"
+    return strip(f"regexp_replace({t}, '{blanks}+(\\n|$)', '\\1', 'g')")
+
+
+def near_pairs(source: str, key: str, words_: str, threshold: float) -> str:
+    """Tables s, n, e: shingles of three words, their numbers, and pairs a < b of rows at least as similar as ``threshold``."""
+    return f"""w AS (SELECT {key} AS id, {words_} AS w FROM {source}), s AS (SELECT id, unnest({shingles("w")}) AS g FROM w), n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+    k AS (SELECT x.id AS a, y.id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.id < y.id GROUP BY ALL),
+    e AS (SELECT a, b FROM k JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE k / (x.n + y.n - k) >= {threshold})"""
+
+
+def greedy_keep() -> str:
+    """Tables q, r, gone, near_by: of the pairs e the rows dropped one after the other, and the first kept row near each."""
+    return """q AS (SELECT b, row_number() OVER (ORDER BY b) AS i FROM (SELECT DISTINCT b FROM e)),
+    r(i, gone) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT q.i, CASE WHEN (SELECT count(*) FROM e WHERE e.b = q.b AND NOT list_contains(r.gone, e.a)) > 0 THEN list_append(r.gone, q.b) ELSE r.gone END
+        FROM r JOIN q ON q.i = r.i + 1),
+    gone AS (SELECT unnest(gone) AS id FROM r WHERE i = (SELECT max(i) FROM r)),
+    near_by AS (SELECT b AS id, min(a) AS kept_by FROM e WHERE a NOT IN (SELECT id FROM gone) AND b IN (SELECT id FROM gone) GROUP BY b)"""

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.text import strip, word_count
 from millrace.operators.splits import budget_prefix
+from millrace.operators.tokens import EOS
 
 MESSAGES = T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType())]))
 #: The schema of chat records in JSON lines.
@@ -31,25 +33,35 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str = RECO
 def check_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """file, line and text of the lines that are no JSON object or array.
 
-    Lines are numbered within their file, so each file is read as one piece.
+    Files are read in pieces like any other: a line's number is its place within its piece and the lines of the pieces
+    before, which are counted for it.
     """
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", "\n").alias("lines"))
-    lines = files.select("file", F.posexplode("lines").alias("i", "text")).where(strip("text") != "")
-    return lines.where(F.try_parse_json("text").isNull() if hasattr(F, "try_parse_json") else F.from_json("text", "map<string,string>").isNull()).select("file", (F.col("i") + 1).alias("line"), "text")
+    meta = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+    lines = spark.read.text(path).select("value", *meta, F.monotonically_increasing_id().alias("i"))
+    pieces = lines.groupBy("file", "start").agg(F.min("i").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    pieces = pieces.select("file", "start", "first", before.alias("before"))
+    bad = lines.where((strip("value") != "") & F.try_parse_json("value").isNull())
+    return bad.join(pieces, ["file", "start"]).select("file", (F.col("before") + F.col("i") - F.col("first") + 1).alias("line"), F.col("value").alias("text"))
 
 
 def read_text_field(spark: SparkSession, path: str, field: str = "text") -> DataFrame:
-    """The non-blank strings of one field of JSON lines; other values are passed over."""
-    raw = spark.read.text(path).where(strip("value") != "")
-    value = F.get_json_object("value", f"$.{field}")
-    # Numbers and objects read as text too; strings alone stand in quotes.
-    quoted = F.col("value").rlike(rf'"{field}"\s*:\s*"')
-    return raw.where(quoted).select(value.alias(field)).where(strip(field) != "")
+    """The non-blank strings of one top-level field of JSON lines; other values, and lines that are no JSON, are passed over."""
+    value = F.try_variant_get(F.try_parse_json("value"), f"$.{field}", "variant")
+    rows = spark.read.text(path).where(F.schema_of_variant(value) == "STRING")
+    return rows.select(F.variant_get(value, "$", "string").alias(field)).where(strip(field) != "")
 
 
 def write_jsonl(df: DataFrame, path: str, *, mode: str = "overwrite") -> None:
-    """One object a line, in UTF-8, nulls left out; ``mode`` append adds to what is there."""
-    df.write.mode(mode).json(path)
+    """One object a line, in UTF-8, nulls written as such; ``mode`` append adds to what is there."""
+    df.write.mode(mode).option("ignoreNullFields", "false").json(path)
+
+
+def append_log(records: DataFrame, log: str, summary_path: str, summarize: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Append ``records`` to a log of JSON lines and write the summary of all of it anew; the summary."""
+    write_jsonl(records, log, mode="append")
+    write_jsonl(summarize(read_jsonl(records.sparkSession, log, records.schema)), summary_path)
+    return read_jsonl(records.sparkSession, summary_path, summarize(records).schema)
 
 
 def write_text(df: DataFrame, text: str, order: str, budget: int, path: str) -> None:
@@ -81,13 +93,14 @@ def materialize_once(spark: SparkSession, path: str, make: Callable[[], DataFram
     return spark.read.parquet(path)
 
 
-def write_packed(stream: DataFrame, ids: str, path: str, *, vocabulary: int, least: int = 2) -> DataFrame:
+def write_packed(stream: DataFrame, ids: str, path: str, *, vocabulary: int, least: int = 2, eos: int = EOS, tokenizer: str | None = None) -> DataFrame:
     """Write a token stream as binary numbers, a file per range of the stream, and return the files' manifest.
 
     ``stream`` has start and ids. file, first (place of its first token), tokens. Numbers are 16 bits wide if the
-    vocabulary allows. A stream of fewer than ``least`` tokens is an error. ``path`` is a folder all executors reach.
+    vocabulary allows. A stream of fewer than ``least`` tokens is an error. ``path`` is a folder that all executors reach
+    as files. The manifest names the end token, the documents and, of a ``tokenizer`` file, the SHA-256.
     """
-    total = stream.agg(F.coalesce(F.sum(F.size(ids)), F.lit(0))).first()[0]
+    total, documents = stream.agg(F.coalesce(F.sum(F.size(ids)), F.lit(0)), F.count("*")).first()
     if total < least:
         raise ValueError(f"{total} tokens, {least} are needed")
     kind = "uint16" if vocabulary <= 65535 else "uint32"
@@ -111,10 +124,15 @@ def write_packed(stream: DataFrame, ids: str, path: str, *, vocabulary: int, lea
     ordered = stream.where(F.size(ids) > 0).select("start", ids).repartitionByRange("start").sortWithinPartitions("start")
     files = ordered.mapInPandas(run, "file string, first long, tokens long").collect()  # one row per written file
     with open(os.path.join(path, "manifest.json"), "w", encoding="utf-8") as f:
-        json.dump({"dtype": kind, "vocab_size": vocabulary, "tokens": int(total), "files": [[r["file"], r["first"], r["tokens"]] for r in sorted(files, key=lambda r: r["first"])]}, f, indent=2)
+        json.dump({"dtype": kind, "vocab_size": vocabulary, "eos_token_id": eos, "documents": documents, "tokens": int(total), "tokenizer_sha256": tokenizer_digest(tokenizer) if tokenizer else None, "files": [[r["file"], r["first"], r["tokens"]] for r in sorted(files, key=lambda r: r["first"])]}, f, indent=2)
     return stream.sparkSession.createDataFrame(files, "file string, first long, tokens long")
 
 
+def tokenizer_digest(path: str) -> str:
+    with open(path, "rb") as f:
+        return hashlib.file_digest(f, "sha256").hexdigest()
+
+
 def read_packed(path: str) -> np.ndarray:
     """The tokens of a packed stream in order, for a consumer on one machine."""
     with open(os.path.join(path, "manifest.json"), encoding="utf-8") as f:

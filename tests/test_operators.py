@@ -1,4 +1,5 @@
 import random
+import re
 from itertools import combinations
 
 import pytest
@@ -340,7 +341,21 @@ def test_generators(spark):
     rows = generate.dialogs(spark, 300, generate.SEMANTIC, plain=0.35).collect()
     assert len({r["text"] for r in rows}) == len(rows) == 300 and all("{" not in r["text"] for r in rows)
     assert rows == generate.dialogs(spark, 300, generate.SEMANTIC, plain=0.35).collect()
-    assert generate.shared_names(generate.POOLS["name"], generate.HELD_OUT["name"]) == []
+    assert min(len({r["text"] for r in rows if r["category"] == c}) for c, _ in generate.SEMANTIC) >= 3
+    assert not [r["text"] for r in rows if re.search(r"\ba [aeiou]|\ban [^aeiou\W]", r["text"], re.I)]
+    for r in rows:
+        if r["category"] == "comparison":
+            n, m = map(int, re.findall(r"\d+", r["question"]))
+            first, second = re.findall(r"\b[A-Z][a-z]+(?= (?:has|counted))", r["question"])[:2]
+            assert r["answer"] == (f"{first if n > m else second}." if n != m else "They are even.")
+    bench = generate.binding_benchmark(spark)
+    assert generate.shared_names(generate.dialogs(spark, 2000, generate.SEMANTIC), bench).count() == 0
+    assert generate.shared_names(generate.dialogs(spark, 2000, generate.BINDING), bench).count() == 0
+    assert generate.names_in(bench, "prompt").count() > 15
+    with pytest.raises(ValueError, match="Alba"):
+        generate.dialogs(spark, 10, generate.SEMANTIC, pools={**generate.POOLS, "other": ["Alba"]})
+    with pytest.raises(ValueError, match="Wim"):
+        generate.binding_benchmark(spark, pools={**generate.HELD_OUT, "third": ["Wim"]})
     for r in generate.arithmetic(spark, 20).collect():
         q, a = r["text"].split("\nAssistant: ")
         x, op, y = q.removeprefix("User: What is ").rstrip("?").split()

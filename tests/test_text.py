@@ -83,9 +83,9 @@ def test_placeholder_only_at_the_start(spark):
 
 def test_pair_reasons(spark):
     rows = [
-        ("", "long enough answer here ok", "Empty instruction"), ("long enough question", None, "Empty response"), ("short", "x" * 30, "Instruction too short (5 < 10)"), ("long enough question", "short", "Response too short (5 < 20)"),
-        ("q" * 20, "r" * 23981, "Total characters (24001) exceeds pathological limit (24000)"), ("as an ai model tell me", "x" * 30, "Instruction matched placeholder/refusal pattern"), ("long enough question", "I cannot help with this one, sorry", "Response matched placeholder/refusal pattern"),
-        ("long enough question", "text\n```python\nprint(1)\nand no end", "Unbalanced code fence (truncation indicator)"), ("long enough question", "w " * 40, "Excessive n-gram repetition detected in response"), ("long enough question", "A perfectly fine answer to it.", None),
+        ("", "long enough answer here ok", "instruction_blank"), ("long enough question", None, "response_blank"), ("short", "x" * 30, "instruction_short=5"), ("long enough question", "short", "response_short=5"),
+        ("q" * 20, "r" * 23981, "pair_long=24001"), ("as an ai model tell me", "x" * 30, "instruction_placeholder"), ("long enough question", "I cannot help with this one, sorry", "response_placeholder"),
+        ("long enough question", "text\n```python\nprint(1)\nand no end", "response_fence_open"), ("long enough question", "w " * 40, "response_repeats"), ("long enough question", "A perfectly fine answer to it.", None),
     ]
     got = spark.createDataFrame([r[:2] for r in rows], "i string, r string").select(Q.pair_reason("i", "r").alias("x")).collect()
     assert [r["x"] for r in got] == [r[2] for r in rows]
