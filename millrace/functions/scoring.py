@@ -6,6 +6,7 @@ import subprocess
 import sys
 import tempfile
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 import pandas as pd
@@ -77,8 +78,8 @@ def code_of(completion: Column | str, entry_point: Column) -> Column:
     return F.when(F.size(blocks) > 0, best).when((at > 0) & (stop != 1), body).otherwise(strip(t))
 
 
-def run_code(df: DataFrame, code: str, tests: str, *, trusted: bool = False, timeout: float = 3.0) -> DataFrame:
-    """``df`` with passed and message: each row's code and tests run in a process of their own.
+def run_code(df: DataFrame, code: str, tests: str, *, trusted: bool = False, timeout: float = 3.0, at_once: int = 2) -> DataFrame:
+    """``df`` with passed and message: each row's code and tests run in a process of their own, ``at_once`` of them a task.
 
     The code runs with the rights of the executor. It is refused unless the caller says that it is ``trusted``.
     """
@@ -97,7 +98,8 @@ def run_code(df: DataFrame, code: str, tests: str, *, trusted: bool = False, tim
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            results = [one(c, t) for c, t in zip(pdf[code], pdf[tests], strict=True)]
+            with ThreadPoolExecutor(at_once) as pool:
+                results = list(pool.map(one, pdf[code], pdf[tests]))
             yield pdf.assign(passed=[r[0] for r in results], message=[r[1] for r in results])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)

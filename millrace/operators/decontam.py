@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import comparison_form, comparison_shingles
+from millrace.functions.text import comparison_form, comparison_shingles, ngrams
 from millrace.operators.dedup import similar_sets
 from millrace.session import materialize
 
@@ -139,6 +140,55 @@ def contamination(df: DataFrame, bench: DataFrame, *, key: str, text: str, item:
     return best.select(F.col("__key").alias(key), kind.alias("kind"), F.coalesce("equal", "inside", "near.b").alias("bench_id"), F.when(kind == "jaccard", F.col("near.s")).alias("similarity"))
 
 
+def drop_contaminated(df: DataFrame, bench: DataFrame, *, text: str, item: str = "item_id", bench_text: str = "text", threshold: float = 0.7) -> DataFrame:
+    """``df`` without the rows that :func:`contamination` names, row by row: works on a stream as on a table.
+
+    The benchmark is sent to every task; one of more than MAX_SENT characters is refused.
+    """
+    forms = [(r[0], r[1], r[2]) for r in benchmark_forms(bench, item, bench_text).limit(MAX_SENT).toLocalIterator()]
+    if sum(len(f) for _, f, _ in forms) > MAX_SENT:
+        raise ValueError(f"a benchmark of more than {MAX_SENT} characters cannot be held against single rows")
+    form = "__form"
+    while form in df.columns:
+        form += "_"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prompts = Prompts([(i, f) for i, f, _ in forms])
+        sizes = [len(s) for _, _, s in forms]
+        having: dict[str, list[int]] = {}
+        for k, (_, _, shingles) in enumerate(forms):
+            for x in shingles:
+                having.setdefault(x, []).append(k)
+
+        def similar(form: str) -> bool:
+            words = form.split(" ")
+            own = {" ".join(words[i : i + 3]) for i in range(len(words) - 2)} or set(words)
+            common = Counter(k for x in own for k in having.get(x, ()))
+            return any(n >= threshold * (len(own) + sizes[k] - n) for k, n in common.items())
+
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            clean = pa.array([not t or (prompts.equal(t) is None and prompts.containing(t) is None and not similar(t)) for t in texts], pa.bool_())
+            yield batch.select(range(batch.num_columns - 1)).filter(clean)
+
+    return df.withColumn(form, comparison_form(text)).mapInArrow(run, df.schema)
+
+
+def ngram_matches(df: DataFrame, bench: DataFrame, *, key: str, text: str, item: str = "item_id", bench_text: str = "text", n: int = 13) -> DataFrame:
+    """Records that share a run of ``n`` words with a benchmark item: key, bench_id, n_shared (distinct runs).
+
+    Runs are told apart by 64-bit hashes, which alone move; a record's runs meet the benchmark's where it is read as long
+    as the planner sends those along. Shorter texts match nothing.
+    """
+
+    def grams(rows: DataFrame, k: str, t: str, name: str) -> DataFrame:
+        runs = ngrams(F.filter(F.split(comparison_form(t), " "), lambda w: w != ""), n)
+        return rows.select(F.col(k).alias(name), F.explode(F.array_distinct(F.transform(runs, lambda g: F.xxhash64(g)))).alias("g"))
+
+    items = materialize(grams(bench, item, bench_text, "bench_id"), "runs")
+    return grams(df, key, text, key).join(items, "g").groupBy(key, "bench_id").agg(F.count("*").alias("n_shared"))
+
+
 def decontaminate(df: DataFrame, found: DataFrame, key: str) -> DataFrame:
     """Without contaminated records."""
     return df.join(found.select(key), key, "left_anti")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import let, repetition, text_of, word_count
+from millrace.functions.text import let, repetition, squeeze, strip, text_of, word_count, words
+from millrace.session import materialize
 
 # Query parameters that only track visitors.
 TRACKING = "utm_[a-z]+|ref|fbclid|gclid"
@@ -31,11 +32,11 @@ def code_share(col: Column | str) -> Column:
 def signals(df: DataFrame, text: str) -> DataFrame:
     """``df`` with letters, punctuation and digits a character, repeated lines and 4-grams, addresses a word, code share."""
     t = text_of(text)
-    words = word_count(text)
+    n_words = word_count(text)
     return df.withColumns({
         "letter_ratio": _share(t, r"\p{L}"), "punctuation_ratio": _share(t, r"[^\p{L}\p{N}\s]"), "digit_ratio": _share(t, r"\p{N}"),
         "repeated_line_ratio": repeated_lines(text), "repeated_ngram_ratio": repetition(text),
-        "url_density": F.when(words > 0, F.regexp_count(t, F.lit(r"https?://")) / words).otherwise(F.lit(0.0)), "code_ratio": code_share(text),
+        "url_density": F.when(n_words > 0, F.regexp_count(t, F.lit(r"https?://")) / n_words).otherwise(F.lit(0.0)), "code_ratio": code_share(text),
     })
 
 
@@ -70,3 +71,48 @@ def mixture_table(df: DataFrame, source: str, tokens: Column, targets: DataFrame
     have = df.groupBy(F.col(source).alias("source")).agg(F.sum(tokens).alias("tokens"))
     both = targets.select("source", "weight").join(have, "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
     return both.select("source", "weight", (F.col("weight") * budget).alias("token_budget"), "tokens", (F.col("tokens") / F.nullif(F.col("weight") * budget, F.lit(0.0))).alias("filled"))
+
+
+def simhash(col: Column | str, bits: int = 60) -> Column:
+    """The sign, bit by bit, of the sum over a text's words of their hashes' bits; 0 without words. Similar texts differ in
+    few bits."""
+
+    def of(hashes: Column) -> Column:
+        bit = lambda b: F.aggregate(hashes, F.lit(0), lambda n, h: n + F.when(F.getbit(h, b) == 1, 1).otherwise(-1))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(bits - 1)), F.lit(0).cast("long"), lambda x, b: x + F.when(bit(b) > 0, F.expr("1L")).otherwise(F.lit(0).cast("long")) * F.pow(F.lit(2), b).cast("long"))
+
+    number = lambda w: F.conv(F.substring(F.md5(w), 1, bits // 4), 16, 10).cast("long")
+    return let(F.transform(words(col), number), of)
+
+
+def boilerplate(df: DataFrame, key: str, text: str, *, least_docs: int = 20) -> DataFrame:
+    """Every text without the lines that ``least_docs`` documents or more have: key, n_dropped, text.
+
+    Lines are equal but for case and white space; blank ones are never dropped. Null stays null. Lines move by their
+    hash: counts are pre-aggregated, and of the texts only those that hold such a line are put together anew.
+    """
+    lines = df.where(F.col(text).isNotNull()).select(key, F.posexplode(F.split(text, "\n")).alias("i", "line"))
+    marked = lines.withColumn("h", F.when(strip("line") != "", F.xxhash64(squeeze("line"))))
+    common = marked.where("h is not null").select(key, "h").distinct().groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= least_docs).select("h")
+    common = materialize(common, "lines")
+    dropped = marked.select(key, "i", "h").join(common, "h").groupBy(key).agg(F.collect_set("i").alias("gone"))
+    rows = df.join(dropped, key, "left")
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), i)), "\n")
+    return rows.select(key, F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), F.when(F.col("gone").isNull(), F.col(text)).otherwise(kept).alias(text))
+
+
+def source_registry(df: DataFrame, source: str, text: str, url: str, fetched: str, lang: str) -> DataFrame:
+    """One row per source in one spelling: names (how it is written), n_docs, n_bytes, n_hosts, n_langs, and when first
+    and last fetched. Null and blank sources are one, named null."""
+    name = F.nullif(F.regexp_replace(F.lower(text_of(source)), r"[^\p{L}\p{N}]", ""), F.lit(""))
+    host = F.nullif(F.regexp_extract(canonical_url(url), "^[^/?]*", 0), F.lit(""))
+    return df.groupBy(name.alias("source")).agg(
+        F.countDistinct(source).alias("names"), F.count("*").alias("n_docs"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n_bytes"),
+        F.countDistinct(host).alias("n_hosts"), F.countDistinct(F.lower(F.trim(F.col(lang)))).alias("n_langs"), F.min(fetched).alias("first_fetched"), F.max(fetched).alias("last_fetched"),
+    )
+
+
+def markup_share(col: Column | str) -> Column:
+    """Share of characters within tags."""
+    t = text_of(col)
+    return F.when(F.length(t) > 0, (F.length(t) - F.length(F.regexp_replace(t, r"<[A-Za-z/!][^<>]*>", ""))) / F.length(t)).otherwise(F.lit(0.0))

@@ -6,6 +6,7 @@ checked in SQL; a vocabulary file of a public tokenizer takes its place in :func
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -16,6 +17,8 @@ from millrace.functions.text import words
 from millrace.operators.prefix import prefix, value_bucket
 
 IGNORE = -100
+#: A tokenizer file; the path is a parameter of all that encodes.
+PUBLIC = os.path.join(os.environ.get("MILLRACE_TOKENIZERS", "/opt/tokenizers"), "byte_bpe_50k.json")
 #: The token that ends a document, and the one that fills up.
 EOS, PAD = 3, 0
 

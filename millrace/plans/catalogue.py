@@ -482,8 +482,8 @@ def _all_pairs(spark: SparkSession, d: str, *, disjoint: bool) -> DataFrame:
     goes to one of the two by a hash, else both have the whole table.
     """
     coding = table(spark, d, "raw_opencoder")
-    half = F.pmod(F.xxhash64(X.strip("instruction"), X.strip("output")), F.lit(2))
-    first, second = (coding.where(half == 0), coding.where(half == 1)) if disjoint else (coding, coding)
+    half = F.md5(F.concat_ws("::", X.strip("instruction"), X.strip("output"))) < "8"
+    first, second = (coding.where(half), coding.where(~half)) if disjoint else (coding, coding)
     parts = []
     for name, made in (
         ("opencoder", normalize.normalize_opencoder(first, drop=False)),
@@ -497,37 +497,72 @@ def _all_pairs(spark: SparkSession, d: str, *, disjoint: bool) -> DataFrame:
         union = union.unionByName(p)
     # The sets bring no order of their own: a content hash gives one, and repeated rows are told apart by their count.
     keyed = union.groupBy("source", "id", "instruction", "response").agg(F.count("*").alias("n")).withColumn("copy", F.explode(F.expr("sequence(1, cast(n as int))")))
-    seq = F.abs(F.xxhash64("source", "id", "instruction", "response", "copy") % (1 << 52))
-    return materialize(keyed.select("source", "id", "instruction", "response", seq.alias("seq"), F.xxhash64("source", "id", "instruction", "response", "copy").alias("row")), "pairs")
+    digest = F.md5(F.concat_ws("\x1f", "source", "id", "instruction", "response", F.col("copy").cast("string")))
+    number = lambda n: F.conv(F.substring(digest, 1, n), 16, 10).cast("long")
+    return materialize(keyed.select("source", "id", "instruction", "response", number(13).alias("seq"), number(15).alias("row")), "pairs")
 
 
-@query()
+def _pairs_sql(disjoint: bool) -> str:
+    half = lambda test: f" WHERE md5(i || '::' || r) {test} '8'" if disjoint else ""
+    return f"""
+    oc AS (SELECT *, {L.strip("instruction")} AS i, {L.strip("output")} AS r FROM raw_opencoder), sm AS (SELECT *, coalesce({L.contents("messages", "user")}[1], '') AS i, coalesce({L.contents("messages", "assistant")}[1], '') AS r FROM raw_smoltalk),
+    cy AS (SELECT *, coalesce({L.contents("messages", "user")}[1], '') AS i, coalesce({L.contents("messages", "assistant")}[1], '') AS r FROM raw_seed_records),
+    u AS (SELECT 'opencoder' AS source, 0 AS place, coalesce('opencoder_' || seq_id, {L.content_id("opencoder", "i", "r")}) AS id, i, r FROM oc{half("<")}
+        UNION ALL SELECT 'bigcode', 1, coalesce('bigcode_' || seq_id, 'bigcode_' || md5(code), {L.content_id("bigcode", "i", "r")}), i, r FROM oc{half(">=")}
+        UNION ALL SELECT 'smoltalk', 2, {L.content_id("smoltalk", "i", "r")}, CASE WHEN len(messages) >= 2 THEN i ELSE '' END, CASE WHEN len(messages) >= 2 THEN r ELSE '' END FROM sm
+        UNION ALL SELECT 'cybersecurity', 3, coalesce(nullif(id, ''), {L.content_id("cyber", "i", "r")}), i, r FROM cy),
+    un AS (SELECT *, row_number() OVER (PARTITION BY source, id, i, r) AS copy FROM u),
+    ud AS (SELECT *, md5(source || chr(31) || id || chr(31) || i || chr(31) || r || chr(31) || copy) AS digest, {L.words("r")} AS rw FROM un),
+    pr AS (SELECT source, place, id, i, r, ('0x' || digest[1:13])::BIGINT AS seq, ('0x' || digest[1:15])::BIGINT AS row, {L.pair_reason("i", "r", "rw")} AS bad, {L.partition_of("i", "r")} AS part FROM ud)"""
+
+
+_TARGETS_SQL = "CASE source WHEN 'opencoder' THEN 450 WHEN 'bigcode' THEN 250 WHEN 'smoltalk' THEN 200 ELSE 100 END"
+_STREAM_SQL = f"""
+    WITH {_pairs_sql(True)}, good AS (SELECT * FROM pr WHERE bad IS NULL), {L.contaminated("good", "row", "i")},
+    passed AS (SELECT row, row_number() OVER (PARTITION BY sha256(i || '::' || r) ORDER BY place, seq, row) AS k FROM good WHERE row NOT IN (SELECT id FROM hit)),
+    st AS (SELECT source, place, id, seq, CASE WHEN bad IS NOT NULL THEN 'quality' WHEN row IN (SELECT id FROM hit) THEN 'contamination' WHEN k > 1 THEN 'duplicate' WHEN part <> 'train' THEN 'partition' END AS status
+        FROM pr LEFT JOIN passed USING (row)),
+    so AS (SELECT *, {_TARGETS_SQL} AS quota, coalesce(sum((status IS NULL)::INT) OVER (PARTITION BY source ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior FROM st),
+    o AS (SELECT *, CASE WHEN prior < quota THEN coalesce(status, 'accepted') END AS outcome FROM so)"""
+
+
+@query(_STREAM_SQL + " SELECT source, id, outcome, CASE WHEN outcome = 'accepted' THEN row_number() OVER (PARTITION BY outcome ORDER BY prior, place) END AS position FROM o")
 def stream_mixture(spark: SparkSession, d: str) -> DataFrame:
     quotas = splits.quota_targets(1000, pipelines.SHARES)
     return pipelines.stream_mixture(_all_pairs(spark, d, disjoint=True), table(spark, d, "benchmark"), quotas).select("source", "id", "outcome", "position")
 
 
-@query()
+@query(_STREAM_SQL + """, q AS (SELECT unnest(['opencoder', 'bigcode', 'smoltalk', 'cybersecurity']) AS source, unnest([450, 250, 200, 100])::BIGINT AS target)
+    SELECT q.source, target, count(*) FILTER (outcome = 'accepted') AS accepted, count(*) FILTER (outcome = 'quality') AS rejected_quality, count(*) FILTER (outcome = 'contamination') AS rejected_contamination,
+        count(*) FILTER (outcome = 'duplicate') AS rejected_duplicate, 0::BIGINT AS rejected_too_long,
+        CASE WHEN sum(count(*) FILTER (outcome = 'accepted')) OVER () > 0 THEN round_even(count(*) FILTER (outcome = 'accepted') * 100.0::DOUBLE / sum(count(*) FILTER (outcome = 'accepted')) OVER (), 2) ELSE 0.0 END AS actual_pct
+    FROM q LEFT JOIN o ON q.source = o.source GROUP BY q.source, target""")
 def stream_mixture_summary(spark: SparkSession, d: str) -> DataFrame:
     quotas = splits.quota_targets(1000, pipelines.SHARES)
     return splits.intake_summary(pipelines.stream_mixture(_all_pairs(spark, d, disjoint=True), table(spark, d, "benchmark"), quotas), quotas, source="source")
 
 
-@query()
+@query(f"""
+    WITH {_pairs_sql(False)}, good AS (SELECT * FROM pr WHERE bad IS NULL), {L.contaminated("good", "row", "i")},
+    rk AS (SELECT source, id, part, row_number() OVER (PARTITION BY source, part ORDER BY seq) AS k FROM good WHERE row NOT IN (SELECT id FROM hit))
+    SELECT source, id, part AS partition FROM rk WHERE part <> 'train' AND k <= greatest(5, (CASE part WHEN 'validation' THEN 600 ELSE 400 END * ({_TARGETS_SQL}) // 1000))""")
 def finite_evaluation(spark: SparkSession, d: str) -> DataFrame:
     return pipelines.finite_evaluation(_all_pairs(spark, d, disjoint=False), table(spark, d, "benchmark")).select("source", "id", "partition")
 
 
-@query()
+@query(f"""
+    WITH p AS (SELECT *, {L.words("r")} AS w FROM (SELECT {L.strip("instruction")} AS i, {L.strip("output")} AS r FROM raw_opencoder)), good AS (SELECT DISTINCT i, r FROM p WHERE {L.pair_reason("i", "r", "w")} IS NULL),
+    keyed AS (SELECT *, row_number() OVER () AS row FROM good), {L.contaminated("keyed", "row", "i")}
+    SELECT sha256(i || '::' || r) AS content_hash, {L.partition_of("i", "r")} AS partition FROM keyed WHERE row NOT IN (SELECT id FROM hit)""")
 def incremental_intake(spark: SparkSession, d: str) -> DataFrame:
     """A stream over the coding set's files, run until all is taken in, and what it wrote."""
     raw = table(spark, d, "raw_opencoder")
     at = f"{shared_root(spark).rstrip('/')}/intake-{uuid.uuid4().hex}"
     stream = streaming.read_stream(spark, f"{d}/raw_opencoder.parquet", raw.schema)
     bench = table(spark, d, "benchmark").select("item_id", "text")
-    done = streaming.accept(stream.select("instruction", F.col("output").alias("response"), "entry_point"), bench)
+    done = streaming.accept(stream.select("instruction", F.col("output").alias("response")), bench)
     streaming.run_to(done, at + "/out", at + "/state")
-    return spark.read.parquet(at + "/out").select("content_hash", "entry_point", "partition")
+    return spark.read.parquet(at + "/out").select("content_hash", "partition")
 
 
 # ---------------------------------------------------------------- tokens
@@ -593,22 +628,37 @@ def marker_mask(spark: SparkSession, d: str) -> DataFrame:
     return done.select("doc_id", F.size("input_ids").cast("long").alias("n_tokens"), F.aggregate("loss_mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_loss"))
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE w AS (SELECT doc_id, doc_id // 4096 AS shard, list_transform({L.words("text")}, lambda x: length(x)) AS ids FROM documents),
+    c AS (SELECT shard, doc_id, o, ids[o + 1:o + 512] AS piece FROM (SELECT *, unnest(range(0, len(ids), 512)) AS o FROM w)), p AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY doc_id, o) AS i FROM c),
+    r(shard, i, win, fill) AS (SELECT shard, i, 0::BIGINT, len(piece) FROM p WHERE i = 1
+        UNION ALL SELECT p.shard, p.i, CASE WHEN r.fill + len(p.piece) > 512 THEN r.win + 1 ELSE r.win END, CASE WHEN r.fill + len(p.piece) > 512 THEN len(p.piece) ELSE r.fill + len(p.piece) END
+        FROM r JOIN p ON p.shard = r.shard AND p.i = r.i + 1),
+    g AS (SELECT r.shard, win, flatten(list(piece ORDER BY r.i)) AS t, count(*) AS n FROM r JOIN p ON p.shard = r.shard AND p.i = r.i GROUP BY r.shard, win)
+    SELECT shard, win AS window, list_concat(t, list_transform(range(0, 512 - len(t)), lambda x: 0)) AS tokens, n AS n_examples FROM g""")
 def greedy_windows(spark: SparkSession, d: str) -> DataFrame:
     rows = _word_lengths(spark, d).withColumn("shard", F.expr("doc_id div 4096"))
     return tokens.greedy_windows(rows, "ids", ["doc_id"], "shard", 512, split=True)
 
 
-@query()
+def _row_sql(name: str, where: str, width: int) -> str:
+    return f"""{name}_all AS (SELECT t, row_number() OVER (ORDER BY doc_id, i) - 1 AS pos FROM (SELECT doc_id, unnest(ids) AS t, generate_subscripts(ids, 1) AS i FROM
+            (SELECT doc_id, list_concat(list_transform({L.words("text")}, lambda x: length(x)), [3]) AS ids FROM documents WHERE {where}))),
+        {name} AS (SELECT pos // {width} AS row, list(t ORDER BY pos) AS tokens FROM {name}_all GROUP BY 1 HAVING count(*) = {width})"""
+
+
+@query(f"WITH {_row_sql('a', chr(32).join(['source', '<>', L.quoted('lantern-wiki')]), 461)}, {_row_sql('b', 'source = ' + L.quoted('lantern-wiki'), 52)} SELECT row, list_concat(a.tokens, b.tokens) AS tokens FROM a JOIN b USING (row)")
 def mixed_token_rows(spark: SparkSession, d: str) -> DataFrame:
     docs = materialize(_documents(spark, d).select("doc_id", "source", F.transform(X.words("text"), lambda w: F.length(w)).alias("ids")), "ids")
     a, b = docs.where("source = 'lantern-wiki'"), docs.where("source <> 'lantern-wiki'")
     return tokens.mixed_rows(tokens.token_stream(b, "ids", "doc_id"), tokens.token_stream(a, "ids", "doc_id"), "ids", width=513, share=0.9)
 
 
-@query()
+@query(f"""
+    WITH w AS (SELECT doc_id, list_transform({L.words("text")}, lambda x: length(x)) AS ids, doc_id * 7919 % 1000 AS shift FROM documents)
+    SELECT doc_id, CASE WHEN len(ids) > 0 THEN list_transform(range(0, 64), lambda j: ids[(shift + j) % len(ids) + 1]) END AS tokens FROM w""")
 def repeated_crops(spark: SparkSession, d: str) -> DataFrame:
-    return _word_lengths(spark, d).select("doc_id", tokens.repeat_and_crop(F.col("ids"), 64, F.pmod(F.xxhash64("doc_id"), F.lit(1000))).alias("tokens"))
+    return _word_lengths(spark, d).select("doc_id", tokens.repeat_and_crop(F.col("ids"), 64, F.col("doc_id") * 7919 % 1000).alias("tokens"))
 
 
 # ---------------------------------------------------------------- scores
@@ -660,6 +710,14 @@ def category_accuracy(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.category_accuracy(evaluate.score_keywords(_answers(spark, d), answer="response", keywords="required_concepts"))
 
 
+@query(_ANSWER_SQL + _KEYED_SQL + """, z AS MATERIALIZED (SELECT category, row_id % 2 = 0 AS wrapped, all_keywords AS c, strict AS s FROM e)
+    SELECT category, wrapped, count(*) AS n, count(*) FILTER (c) AS correct, count(*) FILTER (s) AS strict, avg(c::INT) AS accuracy, grouping(category) AS is_total FROM z GROUP BY GROUPING SETS ((category, wrapped), (wrapped))""")
+def prompt_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    """Every other row stands for a question that was put as a dialog."""
+    scored = evaluate.score_keywords(_answers(spark, d), answer="response", keywords="required_concepts").withColumn("wrapped", F.col("row_id") % 2 == 0)
+    return evaluate.prompt_accuracy(scored, "category", "wrapped", "all_keywords", "strict")
+
+
 @query(_ANSWER_SQL + _KEYED_SQL + " SELECT avg(loose::INT) AS loose_rate FROM e")
 def weighted_overall(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.weighted_overall(category_accuracy(spark, d), "loose_rate")
@@ -686,17 +744,30 @@ def before_after_delta(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(evaluate.compare(mean(0), mean(1)).select("category", "title", "before", "after", "delta", "before_text", "after_text", "delta_text"), "before", "after", "delta")
 
 
-@query("SELECT count(*) AS n_tasks, count(*) FILTER (coalesce(contains(code, 'def ' || entry_point), false)) AS n_passed, avg(coalesce(contains(code, 'def ' || entry_point), false)::INT) * 100.0::DOUBLE AS pass_at_1 FROM raw_opencoder")
-def pass_at_1(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.pass_at_1(table(spark, d, "raw_opencoder").select(F.coalesce(F.contains("code", F.concat(F.lit("def "), F.col("entry_point"))), F.lit(False)).alias("passed")))
+_CODE_SQL = f"""
+    WITH b AS (SELECT seq_id, entry_point, instruction, coalesce(output, '') AS t, 'def ' || entry_point AS start, regexp_extract_all(coalesce(output, ''), '(?si)```(?:python)?\\s*(.*?)\\s*```', 1) AS blocks, testcase FROM raw_opencoder WHERE entry_point IS NOT NULL),
+    l AS (SELECT *, string_split(t, chr(10)) AS ls FROM b), f AS (SELECT *, list_position(list_transform(ls, lambda x: contains(x, start)), true) AS first FROM l),
+    h AS (SELECT *, CASE WHEN first > 0 THEN ls[first:] END AS tail FROM f),
+    e AS (SELECT *, list_position(list_transform(tail, lambda x: starts_with(x, '# ') OR starts_with(x, '## ') OR starts_with(x, 'Explanation:')), true) AS stop FROM h),
+    c AS (SELECT *, CASE WHEN len(blocks) > 0 THEN coalesce(list_filter(blocks, lambda x: contains(x, start))[1], blocks[1]) WHEN first > 0 AND coalesce(stop, 0) <> 1
+        THEN array_to_string(CASE WHEN stop > 0 THEN tail[1:stop - 1] ELSE tail END, chr(10)) ELSE {L.strip("t")} END AS code FROM e),
+    g AS (SELECT seq_id, entry_point, testcase, code, CASE WHEN contains(code, start) THEN code ELSE instruction || chr(10) || code END AS generated_code FROM c)"""
 
 
-@query()
+@query(_CODE_SQL + " SELECT seq_id, entry_point, generated_code FROM g")
 def extracted_code(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "raw_opencoder").where("entry_point is not null")
     return evaluate.prepare_code(rows, "output", "entry_point", "instruction").select("seq_id", "entry_point", "generated_code")
 
 
+@query(_CODE_SQL + ", k AS (SELECT contains(code, 'def ' || entry_point) AS ok FROM g) SELECT count(*) AS n_tasks, count(*) FILTER (ok) AS n_passed, round_even(avg(ok::INT) * 100.0::DOUBLE, 2) AS pass_at_1 FROM k")
+def pass_at_1(spark: SparkSession, d: str) -> DataFrame:
+    """Every task's output is run with its test. The SQL says what comes of it: all that define their function pass."""
+    rows = table(spark, d, "raw_opencoder").where("entry_point is not null").repartition(spark.sparkContext.defaultParallelism)
+    code = evaluate.prepare_code(rows, "output", "entry_point", "instruction")
+    return evaluate.pass_at_1(S.run_code(code.select("generated_code", "testcase"), "generated_code", "testcase", trusted=True, timeout=20.0))
+
+
 @query(f"""
     WITH n AS (SELECT doc_id, list_filter(regexp_extract_all(regexp_replace({L.strip("text")}, '\\.+$', ''), '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '\\p{{Nd}}+')) AS n FROM documents)
     SELECT doc_id, n[len(n)] AS last_number FROM n""")
@@ -770,6 +841,13 @@ def latest_checkpoints(spark: SparkSession, d: str) -> DataFrame:
     return lineage.latest(_lineage(spark, d).select("checkpoint_path"), "checkpoint_path", keep=3)
 
 
+@query("SELECT 'none' AS name WHERE false")
+def generated_shared_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names that training dialogs of both generators and the benchmark have in common: there are none."""
+    trained = generate.dialogs(spark, 2000, generate.SEMANTIC).unionByName(generate.dialogs(spark, 2000, generate.BINDING, seed=20260813))
+    return generate.shared_names(trained, generate.binding_benchmark(spark))
+
+
 @query()
 def semantic_dialogs(spark: SparkSession, d: str) -> DataFrame:
     return generate.dialogs(spark, 2000, generate.SEMANTIC, plain=0.35)
@@ -850,3 +928,119 @@ def mixture_table(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT coalesce(lang, 'unknown') AS value, count(*) AS n, round_even(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 1) AS pct FROM documents GROUP BY 1")
 def language_distribution(spark: SparkSession, d: str) -> DataFrame:
     return stats.histogram(_documents(spark, d), "lang")
+
+
+# ---------------------------------------------------------------- what a corpus is like
+
+
+@query(f"""
+    WITH h AS (SELECT doc_id, list_transform({L.words("text")}, lambda w: ('0x' || md5(w)[1:15])::BIGINT) AS h FROM documents)
+    SELECT doc_id, coalesce(list_sum(list_transform(range(0, 60), lambda b: CASE WHEN list_sum(list_transform(h, lambda x: CASE WHEN (x >> b) & 1 = 1 THEN 1 ELSE -1 END)) > 0 THEN 1::BIGINT << b ELSE 0::BIGINT END)), 0)::BIGINT AS simhash FROM h""")
+def simhashes(spark: SparkSession, d: str) -> DataFrame:
+    return _documents(spark, d).select("doc_id", signals.simhash("text").alias("simhash"))
+
+
+@query(f"""
+    WITH l AS (SELECT doc_id, i, line, CASE WHEN {L.strip("line")} <> '' THEN {L.squeeze("line")} END AS h FROM (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))),
+    c AS (SELECT h FROM l WHERE h IS NOT NULL GROUP BY h HAVING count(DISTINCT doc_id) >= 20), m AS (SELECT *, h IS NOT NULL AND h IN (SELECT h FROM c) AS gone FROM l)
+    SELECT doc_id, count(*) FILTER (gone) AS n_dropped, md5(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS text FROM m GROUP BY doc_id""")
+def boilerplate_stripped(spark: SparkSession, d: str) -> DataFrame:
+    return signals.boilerplate(_documents(spark, d).where("text is not null"), "doc_id", "text").withColumn("text", F.md5("text"))
+
+
+_RUNS = "list_distinct(CASE WHEN len(w) >= 13 THEN list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' ')) ELSE [] END)"
+
+
+@query(f"""
+    WITH d AS (SELECT doc_id, unnest({_RUNS}) AS g FROM (SELECT doc_id, list_filter(string_split({L.form("text")}, ' '), lambda x: x <> '') AS w FROM documents)),
+    b AS (SELECT item_id, unnest({_RUNS}) AS g FROM (SELECT item_id, list_filter(string_split({L.form("text")}, ' '), lambda x: x <> '') AS w FROM benchmark))
+    SELECT doc_id, item_id AS bench_id, count(*) AS n_shared FROM d JOIN b USING (g) GROUP BY ALL""")
+def ngram_contamination(spark: SparkSession, d: str) -> DataFrame:
+    return decontam.ngram_matches(_documents(spark, d), table(spark, d, "benchmark"), key="doc_id", text="text")
+
+
+@query(_URL_SQL.replace("SELECT doc_id, text, regexp_replace(trim(url)", "SELECT doc_id, text, source, lang, fetched_at, regexp_replace(trim(url)").replace("p AS (SELECT doc_id, text, u,", "p AS (SELECT doc_id, text, source, lang, fetched_at, u,").replace("c AS (SELECT doc_id, text,", "c AS (SELECT doc_id, text, source, lang, fetched_at,") + """
+    SELECT nullif(regexp_replace(lower(coalesce(source, '')), '[^\\p{L}\\p{N}]', '', 'g'), '') AS source, count(DISTINCT source) AS names, count(*) AS n_docs, coalesce(sum(strlen(text)), 0)::BIGINT AS n_bytes,
+        count(DISTINCT nullif(regexp_extract(url, '^[^/?]*', 0), '')) AS n_hosts, count(DISTINCT lower(trim(lang))) AS n_langs, epoch_us(min(fetched_at)) AS first_fetched, epoch_us(max(fetched_at)) AS last_fetched FROM c GROUP BY 1""")
+def source_registry(spark: SparkSession, d: str) -> DataFrame:
+    made = signals.source_registry(_documents(spark, d), "source", "text", "url", "fetched_at", "lang")
+    return made.withColumns({c: F.unix_micros(F.col(c).cast("timestamp")) for c in ("first_fetched", "last_fetched")})
+
+
+@query("SELECT doc_id, n FROM (SELECT doc_id, length(text) AS n FROM documents WHERE text IS NOT NULL) ORDER BY n DESC, doc_id LIMIT 20")
+def longest_slice(spark: SparkSession, d: str) -> DataFrame:
+    """Twenty rows are the feature: a slice to look at."""
+    return signals.inspection_slice(_documents(spark, d).select("doc_id", F.length("text").cast("long").alias("n")), "n", "doc_id", largest=True)
+
+
+@query("SELECT doc_id, n FROM (SELECT doc_id, length(text) AS n FROM documents WHERE text IS NOT NULL) ORDER BY n, doc_id LIMIT 20")
+def shortest_slice(spark: SparkSession, d: str) -> DataFrame:
+    """Twenty rows are the feature: a slice to look at."""
+    return signals.inspection_slice(_documents(spark, d).select("doc_id", F.length("text").cast("long").alias("n")), "n", "doc_id", largest=False)
+
+
+@query(f"""
+    WITH m AS (SELECT doc_id, {L.text("text")} AS t FROM documents), s AS (SELECT doc_id, CASE WHEN length(t) > 0 THEN (length(t) - length(regexp_replace(t, '<[A-Za-z/!][^<>]*>', '', 'g'))) / length(t) ELSE 0.0 END AS markup FROM m)
+    SELECT doc_id, markup FROM s ORDER BY markup DESC, doc_id LIMIT 20""")
+def markup_slice(spark: SparkSession, d: str) -> DataFrame:
+    """Twenty rows are the feature: a slice to look at."""
+    return signals.inspection_slice(_documents(spark, d).select("doc_id", signals.markup_share("text").alias("markup")), "markup", "doc_id", largest=True)
+
+
+@query(f"""
+    WITH g AS (SELECT regexp_replace(lower(coalesce(source, '')), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS g FROM documents), p AS (SELECT g, {L.partition_of("g", chr(39) * 2)} AS part FROM g)
+    SELECT g AS name, part, count(*) AS n FROM p GROUP BY ALL""")
+def group_partitions(spark: SparkSession, d: str) -> DataFrame:
+    """All documents of one source, in any spelling, in one partition."""
+    name = F.regexp_replace(F.lower(X.text_of("source")), r"[^\p{L}\p{N}]", "")
+    return _documents(spark, d).select(name.alias("name")).withColumn("part", splits.partition_of("name", F.lit(""))).groupBy("name", "part").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, lang FROM documents WHERE len(" + L.words("text") + ") >= 2")
+def short_documents_dropped(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.drop_short(_documents(spark, d).withColumn("ids", X.words("text")), "ids").select("doc_id", "lang")
+
+
+@query(f"SELECT seq_id, entry_point, 'User: ' || {L.text('instruction')} || chr(10) || 'Assistant: ' || {L.text('output')} AS wrapped, {L.text('instruction')} || chr(10) || 'Assistant: ' || {L.text('output')} AS plain FROM raw_opencoder")
+def wrapped_dialogs(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "raw_opencoder")
+    return rows.select("seq_id", "entry_point", normalize.wrap_dialog("instruction", "output").alias("wrapped"), normalize.wrap_dialog("instruction", "output", plain=True).alias("plain"))
+
+
+@query(f"SELECT doc_id, contains(lower(coalesce({L.words('text')}[1], '')), lower(coalesce(lang, 'en'))) AS follows FROM documents")
+def instruction_first_word(spark: SparkSession, d: str) -> DataFrame:
+    """The label stands for the word that an answer was to begin with."""
+    return _documents(spark, d).select("doc_id", S.first_word_matches("text", F.coalesce("lang", F.lit("en"))).alias("follows"))
+
+
+@query(f"SELECT sum(len({L.words('text')})) / sum((1 + doc_id % 7)::DOUBLE) AS tokens_per_second FROM documents")
+def token_throughput(spark: SparkSession, d: str) -> DataFrame:
+    """The documents' numbers stand for the seconds that their words took."""
+    return stats.throughput(_documents(spark, d).select(X.word_count("text").alias("n"), (1 + F.col("doc_id") % 7).cast("double").alias("s")), "n", "s")
+
+
+@query("SELECT 'exp_' || doc_id AS id, source AS name, n_chars AS steps, 'checkpoint-' || doc_id AS checkpoint FROM documents")
+def experiment_summary(spark: SparkSession, d: str) -> DataFrame:
+    """The documents stand for experiments."""
+    none = lambda *names: [F.lit(None).cast("double").alias(n) for n in names]
+    rows = _documents(spark, d).select(
+        F.concat(F.lit("exp_"), F.col("doc_id")).alias("experiment_id"), F.col("source").alias("name"), F.col("fetched_at").alias("timestamp"), F.lit(None).cast("string").alias("parent_checkpoint"), F.col("n_chars").alias("training_steps"),
+        F.concat(F.lit("checkpoint-"), F.col("doc_id")).alias("checkpoint_path"), *none("tokens_processed", "learning_rate", "batch_size", "training_loss", "validation_loss", "evaluation_scores"),
+    )
+    return lineage.summary(rows).select("id", "name", "steps", "checkpoint")
+
+
+def _public_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode(_documents(spark, d).select("doc_id", "lang", "text"), "text", tokens.PUBLIC)
+
+
+@query()
+def encoded_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Token ids of a public tokenizer; a test holds them against the tokenizer itself."""
+    return _public_tokens(spark, d).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.md5(F.array_join(F.transform("ids", lambda x: x.cast("string")), " ")).alias("ids"))
+
+
+@query()
+def public_tokenizer_report(spark: SparkSession, d: str) -> DataFrame:
+    """Characters a token and tokens a word of a public tokenizer, which knows every byte: nothing is unknown to it."""
+    return stats.tokenizer_report(_public_tokens(spark, d).select("text", F.size("ids").alias("n")), "text", "n")

@@ -64,10 +64,10 @@ def ungrounded(x: str) -> str:
     return f"(regexp_matches(lower({text(x)}), {quoted(OFFENSIVE)}) AND NOT regexp_matches(lower({text(x)}), {quoted(GROUNDING)}))"
 
 
-def pair_reason(i: str, r: str) -> str:
-    """Over columns i and r that are stripped already."""
+def pair_reason(i: str, r: str, w: str | None = None) -> str:
+    """Over columns i and r that are stripped already; ``w`` is r's words."""
     bad = quoted("(?i)" + "|".join(f"(?:{p})" for p in PAIR_PLACEHOLDERS))
-    w = words(r)
+    w = w or words(r)
     return f"""CASE WHEN {i} = '' THEN 'instruction_blank' WHEN {r} = '' THEN 'response_blank'
         WHEN length({i}) < 10 THEN 'instruction_short=' || length({i}) WHEN length({r}) < 20 THEN 'response_short=' || length({r})
         WHEN length({i}) + length({r}) > 24000 THEN 'pair_long=' || (length({i}) + length({r}))
@@ -127,3 +127,13 @@ def greedy_keep() -> str:
         FROM r JOIN q ON q.i = r.i + 1),
     gone AS (SELECT unnest(gone) AS id FROM r WHERE i = (SELECT max(i) FROM r)),
     near_by AS (SELECT b AS id, min(a) AS kept_by FROM e WHERE a NOT IN (SELECT id FROM gone) AND b IN (SELECT id FROM gone) GROUP BY b)"""
+
+
+def contaminated(rows: str, key: str, text_: str) -> str:
+    """Tables of which ``hit`` has the keys of the rows that equal, hold, lie within or resemble a benchmark prompt."""
+    split = "list_filter(string_split(f, ' '), lambda x: x <> '')"
+    return f"""cd AS (SELECT id, f, {split} AS w FROM (SELECT {key} AS id, {form(text_)} AS f FROM {rows}) WHERE f <> ''),
+    cb AS (SELECT item_id, f, {split} AS w FROM (SELECT item_id, {form("text")} AS f FROM benchmark) WHERE f <> ''),
+    cs AS (SELECT id, len(s) AS n, unnest(s) AS g FROM (SELECT id, {shingles("w")} AS s FROM cd)), ct AS (SELECT item_id, len(s) AS n, unnest(s) AS g FROM (SELECT item_id, {shingles("w")} AS s FROM cb)),
+    hit AS (SELECT id FROM cd JOIN cb ON cd.f = cb.f UNION SELECT id FROM cd JOIN cb ON length(cd.f) > 40 AND length(cb.f) > 40 AND (contains(cd.f, cb.f) OR contains(cb.f, cd.f))
+        UNION SELECT id FROM (SELECT id, item_id, cs.n AS a, ct.n AS b, count(*) AS k FROM cs JOIN ct USING (g) GROUP BY ALL) WHERE k / (a + b - k) >= 0.7)"""

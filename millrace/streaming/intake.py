@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.quality import pair_reason
-from millrace.functions.text import comparison_form, strip
+from millrace.functions.text import strip
+from millrace.operators.decontam import drop_contaminated
 from millrace.operators.splits import partition_of
 
 
@@ -22,7 +23,9 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType, *, files:
 
 
 def accept(pairs: DataFrame, bench: DataFrame | None = None, *, instruction: str = "instruction", response: str = "response", event_time: str | None = None, memory: str | None = None) -> DataFrame:
-    """Pairs that pass the filter, match no benchmark prompt exactly and were not seen before, with their partition.
+    """Pairs that pass the filter, match no benchmark prompt and were not seen before, with their partition.
+
+    Instructions are held against prompts as in the batch job: equal, contained either way, or similar by shingles.
 
     Works alike on a table and on a stream. On a stream seen pairs are kept in the state store; with ``event_time`` and
     ``memory`` they are forgotten once the watermark has passed them by that long, which bounds the state. ``bench`` is
@@ -30,8 +33,7 @@ def accept(pairs: DataFrame, bench: DataFrame | None = None, *, instruction: str
     """
     good = pairs.where(pair_reason(instruction, response).isNull())
     if bench is not None:
-        forms = bench.select(comparison_form("text").alias("__form")).where("__form <> ''").distinct()
-        good = good.withColumn("__form", comparison_form(instruction)).join(forms, "__form", "left_anti").drop("__form")
+        good = drop_contaminated(good, bench, text=instruction)
     hashed = good.withColumn("content_hash", F.sha2(F.concat_ws("::", strip(instruction), strip(response)), 256))
     if event_time and memory and pairs.isStreaming:
         hashed = hashed.withWatermark(event_time, memory).dropDuplicatesWithinWatermark(["content_hash"])

@@ -1,3 +1,4 @@
+import os
 import random
 import re
 from itertools import combinations
@@ -6,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions.text import prompt_shingles
-from millrace.operators import decontam, dedup, evaluate, generate, lineage, normalize, splits, stats, tokens
+from millrace.operators import decontam, dedup, evaluate, generate, lineage, normalize, signals, splits, stats, tokens
 from millrace.operators.prefix import bits_for, hash_bucket, hash_order, prefix, value_bucket
 from millrace.plans import catalogue
 
@@ -77,6 +78,18 @@ def test_similar_sets_equal_brute_force(spark, texts, threshold):
     assert {(r["a"], r["b"]) for r in dedup.similar_sets(classes.where("id = rep"), threshold).collect()} == want
 
 
+@pytest.mark.parametrize("sent", [dedup.MAX_SENT, 0])
+def test_hot_shingles_are_paired_in_blocks(spark, texts, monkeypatch, sent):
+    for name, value in (("HOT", 2), ("BLOCK", 2), ("MAX_SENT", sent), ("FREQUENT_SAMPLE", 20)):
+        monkeypatch.setattr(dedup, name, value)
+    test_similar_sets_equal_brute_force(spark, texts, 0.5)
+    left, right = ([(i, t) for i, t in texts if t and i % 2 == k] for k in (0, 1))
+    _, sets = sets_of(spark, texts)
+    made = [dedup.shingle_classes(spark.createDataFrame(x, "id long, t string"), "id", prompt_shingles("t")) for x in (left, right)]
+    got = {(r["a"], r["b"]) for r in dedup.similar_sets(made[0], 0.5, made[1]).collect()}
+    assert got == {(a, b) for a, _ in left for b, _ in right if sets[a] and sets[b] and jaccard(sets[a], sets[b]) >= 0.5}
+
+
 def test_boundary_of_twelve_in_fifteen(spark):
     a = " ".join(f"x{i}" for i in range(15))  # 13 shingles
     both = [(1, a + " y0"), (2, a + " z0 z1")]  # 13 common, 1 and 2 own: 13 of 16
@@ -160,6 +173,81 @@ def test_containment_needs_more_than_forty_characters(spark, form, hits):
     assert decontam.contamination(spark.createDataFrame([(1, word + " tail")], "k long, t string"), bench, key="k", text="t").count() == hits
 
 
+def forms_of(rng, n, prompts=()):
+    """Random forms of few words, in several scripts; some hold a prompt, lie within one at any place, or nearly are one."""
+    out = []
+    for i in range(n):
+        t = " ".join(rng.choices(["alpha", "beta", "gamma", "中文字", "delta", "été"], k=rng.randint(1, 25)))
+        if prompts and rng.random() < 0.5:
+            p = rng.choice(prompts)[1]
+            a, b = sorted(rng.sample(range(len(p) + 1), 2)) if len(p) > 1 else (0, len(p))
+            t = rng.choice([f"{t[:9]}{p}{t[9:]}", p[a:b], p, " ".join(["omega", *p.split()[1:]])]).strip()
+        out.append((i, re.sub(r" +", " ", t)))
+    return out
+
+
+@pytest.mark.parametrize("max_sent", [60, decontam.MAX_SENT])
+def test_contamination_equals_brute_force(spark, max_sent):
+    rng = random.Random(13)
+    bench = forms_of(rng, 25)
+    rows = forms_of(rng, 150, bench)
+    got = {r["k"]: (r["kind"], r["bench_id"]) for r in decontam.contamination(spark.createDataFrame([(*r, "x") for r in rows], "k long, t string, bench_id string"), spark.createDataFrame(bench, "item_id long, text string"), key="k", text="t", max_sent=max_sent).collect()}
+    grams = lambda t: {" ".join(t.split()[i : i + 3]) for i in range(len(t.split()) - 2)} or set(t.split())
+    want = {}
+    for k, t in rows:
+        equal, inside = [i for i, b in bench if b == t], [i for i, b in bench if min(len(b), len(t)) > 40 and (b in t or t in b)]
+        near = [i for i, b in bench if jaccard(grams(t), grams(b)) >= 0.7]
+        if equal or inside or near:
+            want[k] = ("exact", max(equal)) if equal else ("substring", min(inside)) if inside else ("jaccard", min(near))
+    assert got == want and {k for k, _ in want.values()} == {"exact", "substring", "jaccard"}
+    one_by_one = decontam.drop_contaminated(spark.createDataFrame(rows, "k long, t string"), spark.createDataFrame(bench, "item_id long, text string"), text="t")
+    assert {r["k"] for r in one_by_one.collect()} == {k for k, _ in rows} - set(want)
+
+
+def test_contamination_of_nothing(spark):
+    none, some = spark.createDataFrame([], "k long, t string"), spark.createDataFrame([(1, None), (2, "a b")], "k long, t string")
+    bench = spark.createDataFrame([(1, "a b c"), (2, None)], "item_id long, text string")
+    assert decontam.contamination(none, bench, key="k", text="t").count() == decontam.contamination(some, bench.limit(0), key="k", text="t").count() == 0
+    assert decontam.drop_contaminated(some, bench.limit(0), text="t").count() == 2 and decontam.ngram_matches(some, bench, key="k", text="t").count() == 0
+
+
+def test_ngram_matches(spark):
+    words_ = [f"w{i}" for i in range(40)]
+    bench = spark.createDataFrame([(1, " ".join(words_[:20])), (2, " ".join(words_[10:14]))], "item_id long, text string")
+    rows = spark.createDataFrame([(1, "X " + ", ".join(words_[5:19]).upper()), (2, " ".join(words_[5:10])), (3, None)], "k long, t string")
+    assert [tuple(r) for r in decontam.ngram_matches(rows, bench, key="k", text="t", n=13).collect()] == [(1, 1, 2)]
+
+
+def test_boilerplate_and_simhash(spark):
+    rows = [(i, f"Own line {i}\n  ALL rights  reserved \n\n- x{i % 2}") for i in range(6)] + [(10, None), (11, ""), (12, "all rights reserved")]
+    df = spark.createDataFrame([(*r, 5) for r in rows], "id long, t string, n_dropped int")
+    out = {r["id"]: (r["n_dropped"], r["t"]) for r in signals.boilerplate(df, "id", "t", least_docs=5).collect()}
+    assert out[0] == (1, "Own line 0\n\n- x0") and out[10] == (0, None) and out[11] == (0, "") and out[12] == (1, "") and len(out) == 9
+    hashes = [r["h"] for r in spark.createDataFrame([("a b c d e f g h",), ("a b c d e f g x",), ("k l m n o p q r",), (None,), ("",)], "t string").select(signals.simhash("t").alias("h")).collect()]
+    assert (hashes[0] ^ hashes[1]).bit_count() < (hashes[0] ^ hashes[2]).bit_count() and hashes[3:] == [0, 0]
+
+
+def test_encode_equals_the_tokenizer(spark):
+    if not os.path.exists(tokens.PUBLIC):
+        pytest.skip("no tokenizer file here")
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(tokens.PUBLIC)
+    own.encode_special_tokens = True
+    texts_ = [None, "", "Hello there, 中文 ünï", "<|endoftext|> x", "w " * 3000]
+    out = tokens.encode(spark.createDataFrame(list(enumerate(texts_)), "i long, t string"), "t", tokens.PUBLIC).orderBy("i").collect()
+    assert [r["ids"] for r in out] == [own.encode(t or "", add_special_tokens=False).ids for t in texts_]
+
+
+def test_lineage_too_deep(spark, monkeypatch):
+    chain = spark.createDataFrame([(str(i), str(i + 1)) for i in range(5)], "parent_checkpoint string, checkpoint_path string")
+    monkeypatch.setattr(lineage, "MAX_DEPTH", 5)
+    assert lineage.paths(chain).count() == 6
+    monkeypatch.setattr(lineage, "MAX_DEPTH", 3)
+    with pytest.raises(RuntimeError):
+        lineage.paths(chain)
+
+
 def test_partition_is_stable(spark):
     df = spark.createDataFrame([("Implement quicksort algorithm in Python.", "def quicksort(arr): return arr"), (" implement QUICKSORT  algorithm in python. ", "def quicksort(arr): return arr\n")], "i string, r string")
     assert [r[0] for r in df.select(splits.partition_of("i", "r")).collect()] == ["train", "train"]
@@ -321,6 +409,20 @@ def test_comparison(spark):
     assert "+0.3500" in evaluate.comparison_report(evaluate.compare(a, b), 0.5, 0.85)
 
 
+def test_reports_are_not_cut(spark):
+    a = spark.createDataFrame([(f"c{i}", 0.5) for i in range(5)], "category string, score double")
+    assert stats.markdown_table(a, ["category"], limit=5).count("\n") == 7
+    for make in (lambda: stats.markdown_table(a, ["category"], limit=4), lambda: evaluate.comparison_report(evaluate.compare(a, a), 1.0, 1.0, limit=4)):
+        with pytest.raises(ValueError):
+            make()
+
+
+def test_prompt_accuracy(spark):
+    rows = [("a", True, True, True), ("a", True, False, False), ("a", False, True, False), ("b", True, True, True)]
+    out = {(r["category"], r["wrapped"]): (r["n"], r["correct"], r["strict"], r["accuracy"]) for r in evaluate.prompt_accuracy(spark.createDataFrame(rows, "category string, w boolean, c boolean, s boolean"), "category", "w", "c", "s").collect()}
+    assert out == {("a", True): (2, 1, 1, 0.5), ("a", False): (1, 1, 0, 1.0), ("b", True): (1, 1, 1, 1.0), (None, True): (3, 2, 2, 2 / 3), (None, False): (1, 1, 0, 1.0)}
+
+
 def test_empty_reports(spark):
     none = spark.createDataFrame([], "passed boolean")
     assert evaluate.pass_at_1(none).first()["pass_at_1"] == 0.0
