@@ -16,7 +16,7 @@ from millrace.session import materialize
 #: Rounds after which the keep-first rule must be done, or it raises: half the longest chain of records each near the one before.
 MAX_ROUNDS = 1000
 #: Sets of which a sample is drawn to learn which shingles are frequent, and how many of these are remembered, at the most.
-FREQUENT_SAMPLE, FREQUENT = 8000, 200_000
+FREQUENT_SAMPLE, FREQUENT = 3000, 50_000
 #: Rows under one shingle from which on they are dealt to blocks, and how many a block holds, about.
 HOT = BLOCK = 4096
 #: Hot shingles up to this number are sent to all tasks; more are joined.
@@ -65,9 +65,10 @@ def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     They only order the shingles of a set: results do not depend on what the sample holds.
     """
     seen = bounded_sample(sets, "id", FREQUENT_SAMPLE).select(F.explode("set").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    rows = np.array(seen.orderBy(F.desc("n"), "h").limit(FREQUENT).collect(), dtype=np.int64).reshape(-1, 2)
-    order = np.argsort(rows[:, 0])
-    return rows[order, 0], rows[order, 1]
+    rows = seen.orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
+    shingle, count = (rows.column(c).to_numpy() for c in ("h", "n"))
+    order = np.argsort(shingle)
+    return shingle[order], count[order]
 
 
 def _prefixes(sets: DataFrame, threshold: float, frequent: tuple[np.ndarray, np.ndarray], name: str) -> DataFrame:
