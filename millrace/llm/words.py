@@ -141,11 +141,14 @@ def fit_languages(docs: DataFrame, *, key: str = "doc_id", text: str = "text", l
     found = bounded_sample(rows, key, sample).select("t", "label").mapInArrow(run, "label string, at long, n long").groupBy("label", "at").agg(F.sum("n").alias("n"))
     table: dict[str, np.ndarray] = {}
     documents: dict[str, int] = {}
-    for name, at, n in found.collect():  # BUCKETS numbers a language at the most
-        if at < 0:
-            documents[name] = n
-        else:
-            table.setdefault(name, np.zeros(BUCKETS))[at] = n
+    got = found.toArrow()  # BUCKETS numbers a language at the most
+    names = np.array(got.column("label").to_pylist(), dtype=object)
+    at, n = (got.column(c).to_numpy() for c in ("at", "n"))
+    for name in set(names):
+        mine = names == name
+        documents[name] = int(n[mine & (at < 0)].sum())
+        table[name] = np.zeros(BUCKETS)
+        table[name][at[mine & (at >= 0)]] = n[mine & (at >= 0)]
     kept = {k: v for k, v in table.items() if documents.get(k, 0) >= LEAST_DOCUMENTS}
     return LanguageModel(kept) if len(kept) > 1 else seeded()
 
