@@ -112,6 +112,54 @@ def render_chat(messages: Column, *, generate: bool = False) -> Column:
     return F.concat(text, F.lit("<|im_start|>assistant\n")) if generate else text
 
 
+# What the chat template says about tools.
+TOOLS_BEFORE = "# Tools\n\nYou may call one or more functions to assist with the user query.\n\nYou are provided with function signatures within <tools></tools> XML tags:\n<tools>"
+TOOLS_BEHIND = "\n</tools>\n\nFor each function call, return a json object with function name and arguments within <tool_call></tool_call> XML tags:\n<tool_call>\n{\"name\": <function-name>, \"arguments\": <args-json-object>}\n</tool_call><|im_end|>\n"
+
+
+def render_agent_chat(messages: Column, *, tools: Column | None = None, calls: bool = False, generate: bool = False) -> Column:
+    """Messages in the chat template with its branches for reasoning, tools, tool calls and tool results.
+
+    Roles are system, user, assistant and tool; others have no place in the template and are left out, and so is a system
+    message with ``tools`` (an array of JSON texts) but for the first message. Reasoning is what stands before
+    ``</think>``: it is shown in replies behind the last question only, where the last reply shows it even if empty. Runs
+    of tool results make one user turn. With ``calls``, messages have tool_calls, an array of name and arguments (JSON).
+    Null contents are empty, null messages give a null.
+    """
+    n, edges = F.size(messages), F.lit("\n")
+    said = lambda m: text_of(m["content"])
+    role = lambda i: F.coalesce(F.get(messages, i)["role"], F.lit(""))
+    asks = F.transform(messages, lambda m, i: F.when((m["role"] == "user") & ~(F.startswith(said(m), F.lit("<tool_response>")) & F.endswith(said(m), F.lit("</tool_response>"))), i))
+    last_query = F.coalesce(F.array_max(asks), n - 1)
+
+    def reply(m: Column, i: Column) -> Column:
+        thinks = F.contains(said(m), F.lit("</think>"))
+        parts = F.split(said(m), "</think>")
+        before = F.ltrim(F.element_at(F.split(F.rtrim(F.get(parts, F.lit(0)), edges), "<think>"), -1), edges)
+        reasoning = F.when(thinks, before).otherwise(F.lit(""))
+        content = F.when(thinks, F.ltrim(F.element_at(parts, -1), edges)).otherwise(said(m))
+        shown = (i > last_query) & ((i == n - 1) | (reasoning != ""))
+        head = F.when(shown, F.concat(F.lit("<think>\n"), F.btrim(reasoning, edges), F.lit("\n</think>\n\n"), F.ltrim(content, edges))).otherwise(content)
+        if calls:
+            call = lambda c, k: F.concat(F.when((k > 0) | (content != ""), "\n").otherwise(""), F.lit('<tool_call>\n{"name": "'), text_of(c["name"]), F.lit('", "arguments": '), text_of(c["arguments"]), F.lit("}\n</tool_call>"))
+            head = F.concat(head, F.coalesce(F.array_join(F.transform(m["tool_calls"], call), ""), F.lit("")))
+        return F.concat(F.lit("<|im_start|>assistant\n"), head, F.lit("<|im_end|>\n"))
+
+    def turn(m: Column, i: Column) -> Column:
+        plain = F.concat(F.lit("<|im_start|>"), m["role"], F.lit("\n"), said(m), F.lit("<|im_end|>\n"))
+        opens, closes = (i == 0) | (role(i - 1) != "tool"), (i == n - 1) | (role(i + 1) != "tool")
+        result = F.concat(F.when(opens, "<|im_start|>user").otherwise(""), F.lit("\n<tool_response>\n"), said(m), F.lit("\n</tool_response>"), F.when(closes, "<|im_end|>\n").otherwise(""))
+        shown = (m["role"] == "user") | ((m["role"] == "system") & ((i > 0) | F.lit(tools is None)))
+        return F.when(shown, plain).when(m["role"] == "assistant", reply(m, i)).when(m["role"] == "tool", result).otherwise("")
+
+    text = F.array_join(F.transform(messages, turn), "")
+    if tools is not None:
+        first = F.when(role(F.lit(0)) == "system", F.concat(said(F.get(messages, F.lit(0))), F.lit("\n\n"))).otherwise("")
+        listed = F.array_join(F.transform(tools, lambda t: F.concat(F.lit("\n"), t)), "")
+        text = F.concat(F.lit("<|im_start|>system\n"), first, F.lit(TOOLS_BEFORE), listed, F.lit(TOOLS_BEHIND), text)
+    return F.concat(text, F.lit("<|im_start|>assistant\n")) if generate else text
+
+
 def wrap_dialog(question: Column | str, answer: Column | str, *, plain: bool = False) -> Column:
     return F.concat(F.lit("" if plain else "User: "), text_of(question), F.lit("\nAssistant: "), text_of(answer))
 

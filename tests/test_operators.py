@@ -340,6 +340,30 @@ def test_chat_template(spark):
     assert df.select(normalize.render_chat(F.col("m"), generate=True).alias("x")).first()["x"] == "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n<|im_start|>assistant\n"
 
 
+@pytest.mark.parametrize(
+    ("messages", "want"),
+    [
+        ([("user", "hi"), ("assistant", "yo")], "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\n<think>\n\n</think>\n\nyo<|im_end|>\n"),
+        ([("system", "s"), ("user", "a"), ("assistant", "<think>\nwhy\n</think>\n\nb"), ("user", "c")], "<|im_start|>system\ns<|im_end|>\n<|im_start|>user\na<|im_end|>\n<|im_start|>assistant\nb<|im_end|>\n<|im_start|>user\nc<|im_end|>\n"),
+        ([("user", "a"), ("assistant", "<think>x</think>b"), ("assistant", "c")], "<|im_start|>user\na<|im_end|>\n<|im_start|>assistant\n<think>\nx\n</think>\n\nb<|im_end|>\n<|im_start|>assistant\n<think>\n\n</think>\n\nc<|im_end|>\n"),
+        ([("user", "a"), ("assistant", "b"), ("tool", "1"), ("tool", "2"), ("odd", "z"), ("assistant", None)], "<|im_start|>user\na<|im_end|>\n<|im_start|>assistant\nb<|im_end|>\n<|im_start|>user\n<tool_response>\n1\n</tool_response>\n<tool_response>\n2\n</tool_response><|im_end|>\n<|im_start|>assistant\n<think>\n\n</think>\n\n<|im_end|>\n"),
+        ([("user", "a"), ("assistant", "b"), ("user", "<tool_response>r</tool_response>"), ("assistant", "c")], "<|im_start|>user\na<|im_end|>\n<|im_start|>assistant\nb<|im_end|>\n<|im_start|>user\n<tool_response>r</tool_response><|im_end|>\n<|im_start|>assistant\n<think>\n\n</think>\n\nc<|im_end|>\n"),
+        ([], ""), (None, None),
+    ],
+)
+def test_agent_chat(spark, messages, want):
+    df = spark.createDataFrame([(messages,)], "m array<struct<role string, content string>>")
+    assert df.select(normalize.render_agent_chat(F.col("m")).alias("x")).first()["x"] == want
+
+
+def test_agent_chat_with_tools(spark):
+    rows = [([("system", "s", None), ("user", "a", None), ("assistant", "", [("f", '{"x": 1}'), ("g", "{}")]), ("tool", "7", None)], ['{"name": "f"}'])]
+    df = spark.createDataFrame(rows, "m array<struct<role string, content string, tool_calls array<struct<name string, arguments string>>>>, t array<string>")
+    got = df.select(normalize.render_agent_chat(F.col("m"), tools=F.col("t"), calls=True, generate=True).alias("x")).first()["x"]
+    turn = '<|im_start|>assistant\n<tool_call>\n{"name": "f", "arguments": {"x": 1}}\n</tool_call>\n<tool_call>\n{"name": "g", "arguments": {}}\n</tool_call><|im_end|>\n'
+    assert got == f'<|im_start|>system\ns\n\n{normalize.TOOLS_BEFORE}\n{{"name": "f"}}{normalize.TOOLS_BEHIND}<|im_start|>user\na<|im_end|>\n{turn}<|im_start|>user\n<tool_response>\n7\n</tool_response><|im_end|>\n<|im_start|>assistant\n'
+
+
 def test_masks_pads_and_blocks(spark):
     df = spark.createDataFrame([(1, [("user", "a b"), ("assistant", "c")])], "id long, messages array<struct<role string, content string>>")
     m = tokens.assistant_mask(df).first()
