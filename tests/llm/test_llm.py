@@ -330,6 +330,11 @@ def test_all_pairs_within_the_distance_meet(spark, hot, similarity):
     assert all(neardup.differing(form[a], form[b]) <= distance for a, b in got)
 
 
+def test_hot_keys_too_many_to_be_sent(spark, corpus, monkeypatch):
+    monkeypatch.setattr(neardup, "MAX_SENT", 0)
+    test_near_duplicates_equal_brute_force(spark, corpus, 1)
+
+
 def test_pairs_under_a_hot_key_are_complete(spark):
     """All agree in the first chunk; two differ in two symbols of every other chunk, so that they meet in the first only."""
     width = neardup.SYMBOLS // neardup.chunks_for(23)
