@@ -16,7 +16,6 @@ from millrace.functions.text import let
 #: Rows that a bucket holds, about: as many as one task sorts with ease. There are 2^MIN_BITS buckets at the least and
 #: 2^MAX_BITS at the most.
 ROWS_A_BUCKET, MIN_BITS, MAX_BITS = 1 << 18, 6, 20
-HASH_BITS = MIN_BITS
 #: Cut points of a numeric order, at the most: the square of the number that a row is compared with.
 SIDE = 512
 
