@@ -312,8 +312,7 @@ def alpaca_dialogs(spark: SparkSession, d: str) -> DataFrame:
 def near_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of the first records of equal sets, as the SQL states; near_dup_record_links has every record's class."""
     said = F.array_join(F.transform("messages", lambda m: X.text_of(m["content"])), " ")
-    classes = dedup.shingle_classes(_records(spark, d), "row_id", X.comparison_shingles(said))
-    return dedup.similar_sets(classes.where("id = rep"), 0.8)
+    return dedup.near_duplicate_pairs(_records(spark, d), said, "row_id", sets=X.comparison_shingles(said))
 
 
 _LINKS_SQL = """, both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), cls AS (SELECT id, min(id) OVER (PARTITION BY g) AS class_id FROM (SELECT id, list_sort(list(g)) AS g FROM s GROUP BY id)),

@@ -11,6 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOTS: list[str] = []
+#: Whether a job's shuffle files are removed at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ship(spark: SparkSession) -> None:
@@ -70,11 +72,17 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` to a new table of the shared folder and read it back.
 
     Cuts the lineage so that a lost executor costs a re-read, not a recomputation, and lets a plan use an expensive
-    stage several times while it runs once.
+    stage several times while it runs once. The shuffle files of the job are removed when the table is written: else
+    they would stay until the driver happens to collect its garbage.
     """
     spark = df.sparkSession
     path = f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

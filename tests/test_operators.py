@@ -488,3 +488,12 @@ def test_generators(spark):
         assert int(a) == (int(x) + int(y) if op == "+" else int(x) - int(y))
     said = generate.teach(spark.createDataFrame([("hi",), (None,)], "p string"), "p", lambda p: p.upper()).collect()
     assert [r["response"] for r in said] == ["HI", ""]
+
+
+@pytest.mark.parametrize("run", ["near_duplicates_kept_first", "near_duplicate_links", "near_duplicate_pairs"])
+def test_near_duplicates_keep_no_sets_on_disk(spark, monkeypatch, run):
+    kept, write = [], dedup.materialize
+    monkeypatch.setattr(dedup, "materialize", lambda df, name="table": kept.append(df.columns) or write(df, name))
+    df = spark.createDataFrame([(1, "a b c d e"), (2, "a b c d e"), (3, "f g h i")], "id long, t string")
+    assert getattr(dedup, run)(df, "t", "id").count() in (0, 3)
+    assert kept and not any("set" in columns for columns in kept)
