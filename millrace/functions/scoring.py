@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import subprocess
 import sys
 import tempfile
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
+from queue import SimpleQueue
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -78,6 +80,64 @@ def code_of(completion: Column | str, entry_point: Column) -> Column:
     return F.when(F.size(blocks) > 0, best).when((at > 0) & (stop != 1), body).otherwise(strip(t))
 
 
+#: Reads paths of scripts and time limits, a line each, and answers with the exit code (null if time ran out) and the last
+#: line of the script's errors. Each script runs in a fork of this process, which ends as an interpreter of its own does.
+_RUNNER = """
+import gc, json, os, select, signal, sys
+gc.freeze()
+for line in sys.stdin:
+    path, limit = json.loads(line)
+    folder = os.path.dirname(path)
+    pid = os.fork()
+    if not pid:
+        os.setsid()
+        os.chdir(folder)
+        null, err = os.open(os.devnull, os.O_RDWR), os.open(path + '.err', os.O_WRONLY | os.O_CREAT)
+        os.dup2(null, 0), os.dup2(null, 1), os.dup2(err, 2)
+        os.close(null), os.close(err)
+        sys.stdin, sys.argv = open(0, closefd=False), [path]
+        break
+    fd = os.pidfd_open(pid)
+    ended = select.select([fd], [], [], limit)[0]
+    if not ended:
+        os.kill(pid, signal.SIGKILL)
+    os.close(fd)
+    code = os.waitstatus_to_exitcode(os.waitpid(pid, 0)[1])
+    with open(path + '.err', errors='replace') if os.path.exists(path + '.err') else open(os.devnull) as f:
+        said = f.read().strip().splitlines()
+    print(json.dumps([code if ended else None, said[-1] if said else '']), flush=True)
+else:
+    os._exit(0)
+with open(path, encoding='utf-8') as f:
+    source = f.read()
+for name in [n for n in globals() if n[:2] != '__' and n not in ('path', 'source')]:
+    del globals()[name]
+del name
+__file__ = path
+exec(compile(source, globals().pop('path'), 'exec', dont_inherit=True), (globals().pop('source'), globals())[1])
+"""
+
+
+class _Runner:
+    """An interpreter that is started once and forks for each script; starting one takes longer than most scripts run."""
+
+    def __init__(self) -> None:
+        self.process = subprocess.Popen([sys.executable, "-I", "-c", _RUNNER], stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, text=True)
+
+    def run(self, path: Path, timeout: float) -> tuple[int | None, str]:
+        self.process.stdin.write(json.dumps([str(path), timeout]) + "\n")
+        self.process.stdin.flush()
+        answer = self.process.stdout.readline()
+        if not answer:
+            raise RuntimeError("the interpreter that runs the scripts has ended")
+        return tuple(json.loads(answer))
+
+    def close(self) -> None:
+        self.process.stdin.close()
+        self.process.wait()
+        self.process.stdout.close()
+
+
 def run_code(df: DataFrame, code: str, tests: str, *, trusted: bool = False, timeout: float = 3.0, at_once: int = 2) -> DataFrame:
     """``df`` with passed and message: each row's code and tests run in a process of their own, ``at_once`` of them a task.
 
@@ -86,21 +146,32 @@ def run_code(df: DataFrame, code: str, tests: str, *, trusted: bool = False, tim
     if not trusted:
         raise PermissionError("code is run only with trusted=True")
 
-    def one(source: str, checks: str) -> tuple[bool, str]:
-        with tempfile.TemporaryDirectory() as d:
-            script = Path(d, "candidate.py")
-            script.write_text(f"{source or ''}\n\n{checks or ''}\n", encoding="utf-8")
-            try:
-                done = subprocess.run([sys.executable, "-I", str(script)], capture_output=True, text=True, timeout=timeout, cwd=d)
-            except subprocess.TimeoutExpired:
-                return False, f"Timeout after {timeout}s"
-        return done.returncode == 0, "OK" if done.returncode == 0 else (done.stderr.strip().splitlines() or ["failed"])[-1]
+    def one(runners: SimpleQueue, source: str, checks: str) -> tuple[bool, str]:
+        runner = runners.get()
+        try:
+            with tempfile.TemporaryDirectory() as d:
+                script = Path(d, "candidate.py")
+                script.write_text(f"{source or ''}\n\n{checks or ''}\n", encoding="utf-8")
+                status, said = runner.run(script, timeout)
+        finally:
+            runners.put(runner)
+        if status is None:
+            return False, f"Timeout after {timeout}s"
+        return status == 0, "OK" if status == 0 else said or "failed"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            with ThreadPoolExecutor(at_once) as pool:
-                results = list(pool.map(one, pdf[code], pdf[tests]))
-            yield pdf.assign(passed=[r[0] for r in results], message=[r[1] for r in results])
+        started = [_Runner() for _ in range(at_once)]
+        runners: SimpleQueue = SimpleQueue()
+        for runner in started:
+            runners.put(runner)
+        try:
+            for pdf in batches:
+                with ThreadPoolExecutor(at_once) as pool:
+                    results = list(pool.map(lambda c, t: one(runners, c, t), pdf[code], pdf[tests]))
+                yield pdf.assign(passed=[r[0] for r in results], message=[r[1] for r in results])
+        finally:
+            for runner in started:
+                runner.close()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return df.mapInPandas(run, fields + ", passed boolean, message string")

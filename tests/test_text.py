@@ -144,3 +144,12 @@ def test_small_formats(spark):
     assert one(spark, None, X.delta_text(F.col("t")), "double") == "N/A"
     assert one(spark, "secure_coding tips", X.title("t")) == "Secure Coding Tips"
     assert [one(spark, n, X.approx_tokens(F.col("t")), "int") for n in (2, 6, 10, 7)] == [0, 2, 2, 2]
+
+
+def test_code_runs_as_in_an_interpreter_of_its_own_that_is_not_started_anew(spark):
+    rows = [("x = 1", "assert x == 1 and __name__ == '__main__'"), ("import sys", "sys.exit(3)"), ("assert 'x' not in globals() and 'os' not in globals()", ""), ("def f(:", ""), ("raise ValueError('no')", ""), ("while True: pass", ""), ("open('a', 'w').close()", "import os\nassert sorted(os.listdir())[0] == 'a'")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i long, c string, t string").coalesce(1)
+    got = [(r["passed"], r["message"]) for r in S.run_code(df, "c", "t", trusted=True, timeout=1.5).orderBy("i").collect()]
+    assert got == [(True, "OK"), (False, "failed"), (True, "OK"), (False, "SyntaxError: invalid syntax"), (False, "ValueError: no"), (False, "Timeout after 1.5s"), (True, "OK")]
+    code = spark.range(400).selectExpr("'import os' c", "'print(os.getppid()); raise ValueError(os.getppid())' t").coalesce(1)
+    assert S.run_code(code, "c", "t", trusted=True).select("message").distinct().count() == 2
