@@ -65,14 +65,16 @@ def _nfkc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield t.str.normalize("NFKC")
 
 
+_LINE_BLANK = r"[\t\x{0B}-\r\x{1C}-\x{20}\x{85}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _BEYOND_ASCII = r"[^\x{00}-\x{7F}]"
 
 
 def _tidy(t: Column) -> Column:
     t = F.regexp_replace(t, r"\r\n?", "\n")
-    t = F.translate(t, "\u00a0\u200b\x00", " ")
+    t = let(t, lambda x: F.when(x.rlike(r"[\x{A0}\x{200B}\x{00}]"), F.translate(x, "\u00a0\u200b\x00", " ")).otherwise(x))
     t = F.regexp_replace(t, r"\n{3,}", "\n\n")
-    t = F.regexp_replace(t, r"(?m)[\t\x{0B}-\r\x{1C}-\x{20}\x{85}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+(?=\n|\z)", "")
+    # Looked for at line ends only, which is far cheaper; those at the end of the text are stripped.
+    t = let(t, lambda x: F.when(x.rlike(f"(?<={_LINE_BLANK})\n"), F.regexp_replace(x, f"{_LINE_BLANK}+(?=\n)", "")).otherwise(x))
     return strip(t)
 
 
@@ -115,7 +117,15 @@ def repetition(col: Column | str, n: int = 4) -> Column:
 
 def repeats_too_much(col: Column | str, *, limit: float = 0.4, n: int = 4, least: int = 20) -> Column:
     """Looping text: at least ``least`` words and more than ``limit`` of the n-grams repeated."""
-    return F.when(word_count(col) < least, F.lit(False)).otherwise(repetition(col, n) > limit)
+
+    def found(w: Column) -> Column:
+        # Hashes may take two runs for one, never one for two: only where they see too many repeats are the runs compared.
+        hashes = let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: F.transform(F.slice(h, 1, F.size(h) - n + 1), lambda x, i: F.xxhash64(x, *[F.get(h, i + j) for j in range(1, n)])))
+        seems = let(hashes, lambda r: 1.0 - F.size(F.array_distinct(r)) / F.size(r) > limit)
+        exact = lambda: let(_runs(w, n), lambda g: 1.0 - F.size(F.array_distinct(g)) / F.size(g) > limit)
+        return F.when(F.size(w) < max(least, n), F.lit(False)).when(seems, exact()).otherwise(F.lit(False))
+
+    return let(words(col), found)
 
 
 def unigram_repetition(col: Column | str, *, empty: float = 1.0) -> Column:

@@ -65,13 +65,13 @@ def _sets_of(df: DataFrame, key: str, sets: Column) -> Sets:
     """Records are chosen before their sets are computed: Spark does not move a join or a filter below them."""
 
     def chosen(ids: DataFrame | None) -> DataFrame:
-        rows = df if ids is None else df.join(_sent(ids.toDF("__id")), F.col(key) == F.col("__id"), "left_semi")
+        rows = df if ids is None else df.join(sent(ids.toDF("__id")), F.col(key) == F.col("__id"), "left_semi")
         return hashed_sets(rows, key, sets)
 
     return chosen
 
 
-def _sent(ids: DataFrame) -> DataFrame:
+def sent(ids: DataFrame) -> DataFrame:
     """``ids``, a small table, to be sent to all tasks; to be joined if they are too many."""
     return F.broadcast(ids) if ids.count() <= MAX_SENT else ids
 
@@ -361,7 +361,7 @@ def similar_sets(left: DataFrame, threshold: float, right: DataFrame | None = No
     """
     frequent = _frequent(_sampled(left, "id"))
     a, b = (None if d is None else materialize(_sketches(d, threshold, frequent), "sketches") for d in (left, right))
-    of = [lambda ids, d=d: d.select("id", "set").join(_sent(ids), "id", "left_semi") for d in (left, right)]
+    of = [lambda ids, d=d: d.select("id", "set").join(sent(ids), "id", "left_semi") for d in (left, right)]
     return _similarities(_candidates(a, threshold, b), threshold, of[0], None if right is None else of[1])
 
 
@@ -373,7 +373,7 @@ def similar_classes(df: DataFrame, key: str, sets: Column, threshold: float) ->
     frequent = _frequent(hashed_sets(_sampled(df, key), key, sets))
     sketches = materialize(_sketches(hashed_sets(df, key, sets), threshold, frequent), "sketches")
     classes = materialize(first_by(sketches.select("id", "ha", "hb"), ["ha", "hb"], "id", "rep").select("id", "rep"), "classes")
-    reps = sketches.join(_sent(classes.where("id <> rep").select("id")), "id", "left_anti")
+    reps = sketches.join(sent(classes.where("id <> rep").select("id")), "id", "left_anti")
     return classes, _similarities(_candidates(reps, threshold), threshold, _sets_of(df, key, sets))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions.quality import content_reason, issues, pair_reason, schema_reason
 from millrace.functions.text import let, normalize_texts, strip, text_of
 from millrace.operators.decontam import contamination
-from millrace.operators.dedup import first_by, near_duplicates_kept_first, split_contamination
+from millrace.operators.dedup import first_by, near_duplicates_kept_first, sent, split_contamination
 from millrace.operators.normalize import user_prompt
 from millrace.operators.splits import capped_per_source, exact_split, intake, partition_of
 from millrace.session import materialize
@@ -42,16 +42,18 @@ def curate(records: DataFrame, key: str, *, threshold: float = 0.8) -> DataFrame
     Records are taken by rising ``key``. Of records with one id the first valid one stays, then of those with one user
     prompt the first, then of near duplicates the first that is near to no kept one.
     """
-    checked = materialize(validated(records, key), "checked").withColumn("__prompt", user_prompt(F.col("messages")))
+    prompt = F.when(F.col("reason").isNull(), user_prompt(F.col("messages")))
+    checked = materialize(validated(records, key).select(key, "id", "reason", prompt.alias("__prompt")), "checked")
     bad = checked.where("reason is not null").select(key, F.lit("invalid").alias("outcome"), "reason")
-    good = checked.where("reason is null").select(key, "id", "__prompt")
-    by_id = first_by(good, ["id"], key, "__first")
-    twice = by_id.where(F.col("__first") != F.col(key)).select(key, F.lit("duplicate_id").alias("outcome"), F.concat(F.lit("same_id="), "id").alias("reason"))
-    once = materialize(by_id.where(F.col("__first") == F.col(key)).drop("__first"), "once")
     form = F.trim(F.regexp_replace(F.lower("__prompt"), r"\s+", " "))
-    same = first_by(once, [F.sha2(form, 256)], key, "__first")
+    good = checked.where("reason is null").select(key, "id", F.unhex(F.sha2(form, 256)).alias("__form"))
+    by_id = materialize(first_by(good, ["id"], key, "__first"), "by_id")
+    twice = by_id.where(F.col("__first") != F.col(key)).select(key, F.lit("duplicate_id").alias("outcome"), F.concat(F.lit("same_id="), "id").alias("reason"))
+    same = materialize(first_by(by_id.where(F.col("__first") == F.col(key)).select(key, "__form"), ["__form"], key, "__first").select(key, "__first"), "same")
     exact = same.where(F.col("__first") != F.col(key)).select(key, F.lit("exact_duplicate").alias("outcome"), F.concat(F.lit("same_prompt="), F.col("__first").cast("string")).alias("reason"))
-    left = materialize(same.where(F.col("__first") == F.col(key)).drop("__first"), "left")
+    # Prompts don't move: they are read again without the records that are out.
+    out = bad.select(key).unionByName(twice.select(key)).unionByName(exact.select(key))
+    left = materialize(checked.select(key, "__prompt").join(sent(out), key, "left_anti"), "left")
     near = near_duplicates_kept_first(left, "__prompt", key, threshold=threshold)
     last = near.select(key, F.when(F.col("kept_by").isNull(), "accepted").otherwise("near_duplicate").alias("outcome"), F.concat(F.lit("near="), F.col("kept_by").cast("string")).alias("reason"))
     return bad.unionByName(twice).unionByName(exact).unionByName(last)

@@ -49,6 +49,17 @@ def test_curation(spark):
         pipelines.curate_and_split(frame(spark, [record(1, messages=[])]), "row")
 
 
+def test_curation_keeps_no_messages_on_disk_and_moves_no_prompts(spark, monkeypatch):
+    """1 GB of records: whole messages were kept on disk, and prompts went through the shuffles that find copies."""
+    kept, write = {}, pipelines.materialize
+    monkeypatch.setattr(pipelines, "materialize", lambda df, name="table": kept.update({name: df.columns}) or write(df, name))
+    rows = [record(1), record(2, messages=[("user", f" {GOOD_Q.upper()} 1"), ("assistant", GOOD_A)]), record(3, id="rec_1", messages=[("user", "Some other question about a loader?"), ("assistant", GOOD_A)]), record(4, messages=[])]
+    out = {r["row"]: (r["outcome"], r["reason"]) for r in pipelines.curate(frame(spark, rows), "row").collect()}
+    assert out == {1: ("accepted", None), 2: ("exact_duplicate", "same_prompt=1"), 3: ("duplicate_id", "same_id=rec_1"), 4: ("invalid", "messages_few")}
+    assert kept and not any("messages" in columns for columns in kept.values())
+    assert [name for name, columns in kept.items() if "__prompt" in columns] == ["checked", "left"]
+
+
 def test_intake_status(spark):
     answer = "An answer that is long enough to pass the filter."
     bench = spark.createDataFrame([(1, "Reverse a linked list in place please")], "item_id long, text string")
